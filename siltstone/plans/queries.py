@@ -1,6 +1,14 @@
+"""All queries of the library's own operators."""
+
+from __future__ import annotations
+
+from . import arrays, groups, rows, scans  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracles():
-    return {}
+    return dict(ORACLES)
