@@ -41,7 +41,7 @@ def length_buckets(df: DataFrame, length: str, spread: int = 100) -> DataFrame:
             out.append(bucket)
         return pd.DataFrame({length: pdf[length], "bucket": out})
 
-    table = distinct.groupBy(F.lit(1)).applyInPandas(walk, f"`{length}` long, bucket long")
+    table = distinct.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(walk, f"`{length}` long, bucket long")
     return df.join(table, length)
 
 
