@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A bucket with more members than this is compared block against block.
 BUCKET_BLOCK = 4096
+#: A table of large buckets up to so many rows (about 32 bytes each) is broadcast.
+BROADCAST_BUCKETS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,7 +65,9 @@ def bucket_blocks(rows: DataFrame, keys: list[str], spread: str, block: int = BU
     block pairs (lo, hi) that contain its own block, so each two members still
     meet in exactly one pair of blocks, or in (own, own) if they share one.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block)
+    sizes = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block), "large-buckets")
+    if sizes.count() <= BROADCAST_BUCKETS:
+        sizes = F.broadcast(sizes)
     k = F.ceil(F.col("__n") / F.lit(float(block))).cast("int")
     own = F.when(F.col("__n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(spread), F.lit(17)), k).cast("int"))
     other = F.when(F.col("__n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), k - 1))
