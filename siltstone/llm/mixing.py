@@ -4,7 +4,8 @@ Native: only DataFrame and SQL functions. One narrow pass counts tokens; a
 partial aggregate gives the tokens of each (source, language, topic) cell, and
 everything after works on cells. Each round rakes the cell weights to the
 source, then the language, then the topic marginal: sum by value, scale to the
-target, join back. Rounds are stored in the shared folder. A document's
+target, join back. Each step is stored in the shared folder; few cells stay in
+one partition, so that they are not shuffled. A document's
 probability is its cell's calibrated weight over its tokens, times the factor
 that makes the expected sampled tokens the wanted share; where that would
 exceed one, the cell is taken whole and the rest is scaled again. A document is
@@ -73,15 +74,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
         sums = joined.agg(F.sum("share"), F.sum(F.when(F.col("share").isNull(), F.col("observed")))).first()
         scale = (1.0 - (sums[1] or 0.0)) / sums[0] if sums[0] else 1.0
         shares[d] = stored(joined.select("value", (F.coalesce(F.col("share") * F.lit(scale), F.col("observed")) * F.lit(whole)).alias("goal")), "targets")
+    small = now.count() <= BROADCAST_CELLS
     for _ in range(rounds):
-        after = now
         for d in targets:
-            sums = after.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("sum"))
+            # Each step is stored: a step reads the weights twice, so chained steps would double the plan.
+            weights = now.coalesce(1) if small else now
+            sums = weights.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("sum"))
             factor = sums.join(shares[d], "value").select("value", F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(F.lit(0.0)).alias("factor"))
-            after = after.join(factor, F.col(d) == F.col("value")).withColumn("weight", F.col("weight") * F.col("factor")).drop("value", "factor")
-        after = stored(after, "cells")
-        drop_stored(now)
-        now = after
+            scaled = weights.join(factor, F.col(d) == F.col("value")).withColumn("weight", F.col("weight") * F.col("factor")).drop("value", "factor")
+            after = stored(scaled, "cells")
+            drop_stored(now)
+            now = after
     return now
 
 
@@ -97,7 +100,9 @@ def calibrate(raked: DataFrame, share: float, rounds: int = CAP_ROUNDS) -> DataF
         full, free = raked.agg(F.sum(F.when(over, F.col("tokens")).otherwise(0)), F.sum(F.when(~over, F.col("weight")))).first()
         if not free:
             break
-        scale = max(goal - (full or 0), 0.0) / free
+        before, scale = scale, max(goal - (full or 0), 0.0) / free
+        if scale == before:
+            break
     chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") * F.lit(scale) / F.col("tokens"))).otherwise(F.lit(share))
     return raked.withColumn("probability", F.round(chance, 6))
 
