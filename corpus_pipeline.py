@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import mixing, secret_scan, sentencepiece_bpe, simhash, toxicity
 from siltstone.llm.common import stored
-from siltstone.llm.queries import model_path
+from siltstone.llm.queries import HELD_OUT, model_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose whole text scores below the limit."""
+    """Documents whose whole text scores below the limit. Held-out labels are
+    never learnt here either."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.accepted(docs, toxicity.fit(docs, labels))
+    return toxicity.accepted(docs, toxicity.fit(docs, labels, usable=~F.expr(HELD_OUT.format("id"))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
