@@ -136,6 +136,19 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), listed.limit(0), queries.RULES).count() == 0
 
 
+def test_spam_list_decides_verdicts_outside_the_rules(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.page_id: r for r in queries.op5_url_filter_spam(spark, sf).collect()}
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()}
+    labels = {"cheap-pills", "casino-win", "free-bets", "adult-x", "spam-farm"}
+    spam = {k for k, u in urls.items() if labels & set(re.match(r"^.*?://([^/?#]*)", u)[1].lower().split(".")[:-1])}
+    assert got.keys() == urls.keys()
+    assert {k for k, r in got.items() if r.listed} == spam and all(got[k].maybe for k in spam)
+    decided = {k for k, r in got.items() if r.rule is None and r.verdict == "block"}
+    assert decided == {k for k in spam if got[k].rule is None} and len(decided) == 7
+    assert all(r.verdict == "allow" for k, r in got.items() if r.rule is None and k not in spam)
+
+
 # 6 nearest neighbours
 def test_ann_recall(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
