@@ -121,6 +121,22 @@ def test_toxicity(spark):
     assert toxicity.score_documents(docs(spark, ODD), nothing).agg(F.max("score")).first()[0] < 0.01
 
 
+def test_toxicity_reads_every_disguise(spark):
+    words = ["idiot", "stupid", "trash", "scum", "letter", "moron", "follow"]
+    grams = toxicity.grams(w for w in words for _ in range(50))
+    chars = toxicity.CharModel(grams)
+    disguised = {"idi07": "idiot", "1d10t": "idiot", "tra$#": "trash", "tr45#": "trash", "57upid": "stupid", "5(um": "scum", "scu/\\/\\": "scum", "stuupid": "stupid", "sscumm": "scum", "m0r0n": "moron"}
+    for odd, word in disguised.items():
+        assert word in toxicity.readings(odd, chars), odd
+    for odd, found in (("you are a s t u p i d", {"stupid"}), ("s c u m t r a s h", {"scum", "trash"}), ("so s / t / u / p / i / d it", {"stupid"}), ("t r 4 $ h", {"trash"})):
+        assert found <= set(toxicity.spaced(odd, chars)), odd
+    assert toxicity.readings("letter", chars) == ["letter"] and toxicity.readings("follow", chars) == ["follow"]
+    model = toxicity.ToxicityModel(grams, -3.0, {"w:idiot": 5.0, "w:stupid": 5.0, "w:trash": 5.0, "w:scum": 5.0, "w:moron": 5.0})
+    texts = [*disguised, "you are a s t u p i d", "s c u m t r a s h", "letter follow", ""]
+    kept = toxicity.accepted(docs(spark, texts), model)
+    assert [r.text for r in kept.collect()] == ["letter follow", ""]
+
+
 # 5 urls
 def test_urls(spark):
     pages = spark.createDataFrame(
