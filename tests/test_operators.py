@@ -84,6 +84,33 @@ def test_kabsch(spark):
         assert abs(np.sqrt(((x @ u @ flip @ v - y) ** 2).sum(1).mean()) - got[label]) < 1e-5
 
 
+def test_minhash_clusters_are_brute_force(spark):
+    import random
+
+    from siltstone.plans.groups import near_text_clusters
+
+    draw, texts = random.Random(4), ["", "  ", None, "one two", "one  TWO", "one two three"]
+    for _ in range(12):
+        base = [f"w{draw.randrange(4000)}" for _ in range(120)]
+        for edits in (0, 1, 1, 2, 2, 3, 4, 6, 9):
+            copy = list(base)
+            for _ in range(edits):
+                copy[draw.randrange(len(copy))] = f"x{draw.randrange(4000)}"
+            texts.append(" ".join(copy))
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    sets = [shingles((x or "").lower().split()) for x in texts]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            common = len(sets[i] & sets[j])
+            if common and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert len(set(root)) > 30  # some copies are not near enough
+    got = near_text_clusters(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.cluster_id for r in got} == dict(enumerate(root))
+
+
 def test_minhash_groups_equal_texts(spark):
     got = {r.doc_id: r.cluster_id for r in queries()["minhash_clusters"](spark, SF).collect()}
     first = {}
