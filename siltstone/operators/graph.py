@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage with a table in the folder that all executors share."""
-    spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/siltstone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .shared import drop_stored, stored
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -25,17 +17,19 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Data
     n = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
     a, b = edges.columns
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    both = _saved(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    now = _saved(n.select("node", F.col("node").alias("component")), "labels")
+    both = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
+    now = stored(n.select("node", F.col("node").alias("component")), "labels")
     seen = None
     for _ in range(max_rounds):
         near = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("component").alias("low"))
         moved = now.join(near, now["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"))
         jump = moved.select(F.col("node").alias("of"), F.col("component").alias("next"))
-        after = _saved(moved.join(jump, moved["component"] == jump["of"], "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component")), "labels")
+        after = stored(moved.join(jump, moved["component"] == jump["of"], "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component")), "labels")
         state = after.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()
+        drop_stored(now)
         now = after
         if state == seen:
+            drop_stored(both)
             return now
         seen = state
     raise RuntimeError("components did not settle")

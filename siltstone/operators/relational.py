@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 Transform = Callable[[DataFrame], DataFrame]
 
 
@@ -66,13 +68,17 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFr
 def dense_number(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
     """Consecutive numbers in a total order without one task for all rows.
 
-    Rows are range-partitioned by the order and sorted; a second pass adds each
-    partition's offset, taken from the counts of the partitions before it."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    local = spread.withColumn("__local", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    counts = local.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row for each partition
-    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return local.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__local") + F.col("__offset") + (start - 1)).cast("long")).drop("__part", "__local", "__offset")
+    Rows are range-partitioned by the order, sorted and stored once with their
+    partition and their place in it; both the counts and the numbers are read
+    from that table, so that they cannot be of two different partitionings. The
+    one exchange is the range exchange; each partition's offset, the rows of the
+    partitions before it, comes by a broadcast of a row a partition."""
+    place = F.monotonically_increasing_id()
+    placed = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", place), "numbered")
+    placed = placed.withColumn("__part", F.shiftright("__place", 33)).withColumn("__local", F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row for each partition
+    offsets = counts.select(F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
+    return placed.join(F.broadcast(offsets), F.col("__part") == F.col("__of")).withColumn(name, (F.col("__local") + F.col("__offset") + start).cast("long")).drop("__place", "__part", "__local", "__of", "__offset")
 
 
 def dense_ids(df: DataFrame, keys: list[str], name: str, start: int = 0) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators import graph as G
 from ..operators import ordered as O
 from ..operators import relational as R
 from ..operators import spatial as P
+from ..operators.shared import stored
 from .registry import query, table as t
 
 # cells of the hash-picked stand-in coordinates: the first three components, in units of ten
@@ -308,12 +309,12 @@ def minhash_clusters(spark, d):
 
 def near_text_clusters(docs):
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-    sets = G._saved(docs.select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("words")).mapInArrow(shingle_bands, "doc_id bigint, shingles array<bigint>, same binary, keys array<bigint>"), "shingles").filter(F.size("shingles") > 0)
+    sets = stored(docs.select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("words")).mapInArrow(shingle_bands, "doc_id bigint, shingles array<bigint>, same binary, keys array<bigint>"), "shingles").filter(F.size("shingles") > 0)
     # equal sets are joined to their smallest id and only that one is compared
     low = sets.groupBy("same").agg(F.min("doc_id").alias("low"))
     equal = sets.select("doc_id", "same").join(low, "same").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
-    one = G._saved(sets.join(low, (sets["same"] == low["same"]) & (sets["doc_id"] == low["low"]), "left_semi").dropDuplicates(["doc_id"]), "shingle-sets")
-    keyed = G._saved(one.select("doc_id", F.posexplode("keys").alias("band", "key")), "bands")
+    one = stored(sets.join(low, (sets["same"] == low["same"]) & (sets["doc_id"] == low["low"]), "left_semi").dropDuplicates(["doc_id"]), "shingle-sets")
+    keyed = stored(one.select("doc_id", F.posexplode("keys").alias("band", "key")), "bands")
     first = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     near = keyed.join(first, ["band", "key"])
     star = verified(near.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct(), one)
@@ -330,7 +331,7 @@ def verified(pairs, sets, least=0.8):
     side = lambda i, v: sets.select(F.col("doc_id").alias(i), F.col("shingles").alias(v))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return G._saved(both.filter(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b"), "near-texts")
+    return stored(both.filter(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b"), "near-texts")
 
 
 def shingle_bands(batches, rows=4, bands=24, width=5):
