@@ -1,61 +1,19 @@
-"""Shared plumbing: the shared folder, stored intermediates, hot-bucket
-splitting and connected components."""
+"""Shared plumbing: hot-bucket splitting and connected components; stored
+tables come from :mod:`siltstone.operators.shared`."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.shared import drop_stored, shared_path, stored  # noqa: F401
+
 #: A bucket with more members than this is compared block against block.
 BUCKET_BLOCK = 4096
 #: A table of large buckets up to so many rows (about 32 bytes each) is broadcast.
 BROADCAST_BUCKETS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    Read from ``spark.checkpoint.dir``. Only where that is unset, and only on a
-    local master, a temporary folder is used.
-    """
-    try:
-        at = spark.conf.get("spark.checkpoint.dir")
-    except Exception:
-        at = None
-    if not at:
-        at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here,
-    and a lost executor costs no recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Remove what :func:`stored` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bucket_blocks(rows: DataFrame, keys: list[str], spread: str, block: int = BUCKET_BLOCK) -> DataFrame:
     """Deal the members of each bucket so that no task holds an unbounded one.
 
