@@ -2,26 +2,36 @@
 
 The model is over characters, order four: a gram packs four 16-bit symbols in a
 long (code points from U+FFFF on share one symbol), so grams and contexts of
-all orders are shifts and masks of it. Counts of the trusted rows are summed
-in each Arrow batch, then by a sharded aggregate; continuation counts,
-discounts from the counts of counts, context sums and interpolated
-probabilities are joins of the count tables, sharded by gram. All trusted rows
-are counted, so the tables grow with the input.
-
-Scoring looks up every symbol of every whole text. While the model is within
-``BROADCAST_BYTES`` its sorted arrays are broadcast and looked up in Arrow
-batches; beyond, each document's distinct grams are joined with the sharded
-tables. Both give the same perplexities.
+all orders are shifts and masks of it. Counts of the trusted rows are summed in
+each Arrow batch, then by a sharded aggregate; continuation counts, discounts
+from the counts of counts, context sums and interpolated probabilities are
+joins of the count tables, sharded by gram. Grams that begin with the mark of a
+text's begin have one left context only, so raw counts stand for their
+continuation counts. All trusted rows are counted, so the tables grow with the
+input.
+
+Two folds, by a hash of the text so that exact copies share one: a fold's model
+is of its own trusted rows and judges the rows of the other fold. No row is
+judged by a model that has seen it, and thresholds are of unseen good text.
+
+Scoring cuts whole texts into pieces and piles of about ``PILE`` symbols. A
+pile asks for each of its distinct grams once, which pre-aggregates common
+grams; all distinct grams are resolved by joins with the sharded tables, the
+answers meet their piles again, and symbols are summed by document. A pile and
+its answers are bounded, whatever the text; nothing is broadcast.
 
 Thresholds are the ``quantile`` of the trusted rows' perplexities, by language,
 taken from a histogram in steps of 0.001 of log perplexity, so no group is
-gathered. Rows above their language's threshold are rejected.
+gathered. Rows above their language's threshold are rejected; ties with it
+stay.
 
 Defined results: a null text counts as empty; an empty text has only its end
-symbol; a null language is a language of its own; languages without trusted
-rows use the threshold over all of them; without any trusted row everything is
-kept and perplexities are null; repeated rows get equal results; extra columns
-are ignored.
+symbol; very long texts are pieces of their own, summed; a null language is a
+language of its own; languages without trusted rows use the threshold over all
+of them; where one fold has no trusted rows, one model of all trusted rows
+judges every row; without any trusted row everything is kept and perplexities
+are null; a null id is never trusted; repeated rows get equal results; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,53 +41,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 ORDER = 4
 BEGIN, END = 1, 2
-#: Models whose arrays need more bytes than this are not broadcast.
-BROADCAST_BYTES = 48 << 20
 QUANTILE = 0.995
 STEP = 0.001
-#: Symbols of a text that are held at once.
+#: Symbols of a pile, and of a piece of a text, at most (and one text more).
+PILE = 2 << 20
+#: Symbols that are counted at once.
 SLICE = 1 << 20
 
 
-def text_grams(text: str) -> Iterator[np.ndarray]:
-    """Packed grams, as uint64, one for each symbol and the end, by slices."""
+def packed(symbols: np.ndarray) -> np.ndarray:
+    """Grams, as uint64, of ``symbols``: one for each from the fourth on."""
+    size = len(symbols) - ORDER + 1
+    gram = np.zeros(max(size, 0), np.uint64)
+    for k in range(ORDER):
+        gram = gram << np.uint64(16) | symbols[k : k + size]
+    return gram
+
+
+def symbols_of(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = np.r_[np.full(ORDER - 1, BEGIN), np.minimum(points, 0xFFFF), END].astype(np.uint64)
+    return np.r_[np.full(ORDER - 1, BEGIN), np.minimum(points, 0xFFFF), END].astype(np.uint64)
+
+
+def text_grams(text: str) -> Iterator[np.ndarray]:
+    """One gram for each symbol and the end, by slices."""
+    symbols = symbols_of(text)
     for start in range(0, len(symbols) - ORDER + 1, SLICE):
-        part = symbols[start : start + SLICE + ORDER - 1]
-        size = len(part) - ORDER + 1
-        gram = np.zeros(size, np.uint64)
-        for k in range(ORDER):
-            gram = gram << np.uint64(16) | part[k : k + size]
-        yield gram
+        yield packed(symbols[start : start + SLICE + ORDER - 1])
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """(gram, n) of a column ``text``; counted in each batch first."""
+    """(fold, gram, n) of columns fold and text; counted in each batch first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            pile: list[np.ndarray] = []
-            for text in batch.column(0):
-                pile.extend(text_grams(text.as_py() or ""))
-                if sum(map(len, pile[-64:])) > SLICE or len(pile) > 4096:
-                    known, counts = merged(known, counts, pile)
-                    pile = []
-            known, counts = merged(known, counts, pile)
-            if len(known) > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(counts)], names=["gram", "n"])
-                known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(counts)], names=["gram", "n"])
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        known = {0: none, 1: none}
 
-    return texts.select("text").mapInArrow(work, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+        def out(fold: int) -> pa.RecordBatch:
+            grams, counts = known[fold]
+            known[fold] = none
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), fold, np.int32)), pa.array(grams.view(np.int64)), pa.array(counts)], names=["fold", "gram", "n"])
+
+        for batch in batches:
+            folds = batch.column(0).to_numpy(zero_copy_only=False)
+            for fold in (0, 1):
+                pile, size = [], 0
+                for n in np.flatnonzero(folds == fold):
+                    for grams in text_grams(batch.column(1)[int(n)].as_py() or ""):
+                        pile.append(grams)
+                        size += len(grams)
+                        if size > SLICE:
+                            known[fold] = merged(*known[fold], pile)
+                            pile, size = [], 0
+                known[fold] = merged(*known[fold], pile)
+                if len(known[fold][0]) > 2_000_000:
+                    yield out(fold)
+        for fold in (0, 1):
+            yield out(fold)
+
+    return texts.select("fold", "text").mapInArrow(work, "fold int, gram bigint, n bigint").groupBy("fold", "gram").agg(F.sum("n").alias("n"))
 
 
 def merged(known: np.ndarray, counts: np.ndarray, pile: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,41 +129,6 @@ def context(gram: Column) -> Column:
     return F.shiftrightunsigned(gram, 16)
 
 
-def fit(texts: DataFrame) -> DataFrame:
-    """Stored model: (ord, kind, code, value); kind ``p`` has the log
-    probability of a gram, kind ``g`` the log of what a context hands to the
-    shorter one, both of grams and contexts of that order; order 0 has one row,
-    the log probability of a symbol that was never seen."""
-    grams = stored(count_grams(texts), "grams")
-    orders = {ORDER: grams}
-    for k in range(ORDER - 1, 0, -1):
-        orders[k] = orders[k + 1].groupBy(suffix(F.col("gram"), k).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    tables, lower = None, None
-    for k in range(1, ORDER + 1):
-        now = stored(orders[k], "order") if k < ORDER else orders[k]
-        c = now.agg(*[F.count(F.when(F.col("n") == i, 1)) for i in (1, 2, 3, 4)], F.count(F.lit(1)), F.sum("n")).first()
-        d1, d2, d3 = discounts(*c[:4])
-        cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        sums = now.groupBy(context(F.col("gram")).alias("ctx")).agg(F.sum("n").alias("sum"), F.sum(cut).alias("cut"))
-        sums = stored(sums.select("ctx", "sum", (F.col("cut") / F.col("sum")).alias("gamma")), "contexts")
-        if k == 1:
-            kinds = (c[4] or 0) + 1  # and one symbol for all that was never seen
-            first = sums.first()
-            floor = math.log(first.gamma / kinds) if first and first.gamma > 0 else math.log(1 / kinds)
-            flat = texts.sparkSession.range(1).select(F.lit(0).alias("ord"), F.lit("p").alias("kind"), F.lit(0).cast("long").alias("code"), F.lit(floor).alias("value"))
-            base = F.lit(1.0 / kinds)
-            joined = now.join(sums, context(F.col("gram")) == F.col("ctx")).withColumn("q", base)
-        else:
-            joined = now.join(sums, context(F.col("gram")) == F.col("ctx"))
-            joined = joined.join(lower.select(F.col("gram").alias("short"), F.col("p").alias("q")), suffix(F.col("gram"), k - 1) == F.col("short"))
-        p = F.greatest(F.col("n") - cut, F.lit(0.0)) / F.col("sum") + F.col("gamma") * F.col("q")
-        lower = stored(joined.select("gram", p.alias("p")), "probabilities")
-        part = lower.select(F.lit(k).alias("ord"), F.lit("p").alias("kind"), F.col("gram").alias("code"), F.log("p").alias("value"))
-        part = part.unionByName(sums.select(F.lit(k).alias("ord"), F.lit("g").alias("kind"), F.col("ctx").alias("code"), F.log(F.greatest(F.col("gamma"), F.lit(1e-12))).alias("value")))
-        tables = part.unionByName(flat) if tables is None else tables.unionByName(part)
-    return tables
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts; 0.5, 1, 1.5 where counts are too few."""
     if not (n1 and n2 and n3 and n4):
@@ -143,119 +138,163 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))
 
 
-class Tables:
-    """Sorted arrays of a model."""
-
-    def __init__(self, order: np.ndarray, is_p: np.ndarray, code: np.ndarray, value: np.ndarray):
-        self.p, self.g = {}, {}
-        for k in range(1, ORDER + 1):
-            for kind, out in ((True, self.p), (False, self.g)):
-                own = (order == k) & (is_p == kind)
-                keys, values = code[own].view(np.uint64), value[own]
-                at = np.argsort(keys)
-                out[k] = (keys[at], values[at])
-        self.floor = float(value[(order == 0)][0])
-
-    @staticmethod
-    def look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, values = table
-        if not len(known):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return known[at] == keys, values[at]
-
-    def log_probability(self, gram: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(gram))
-        open_, short = np.arange(len(gram)), gram
-        for k in range(ORDER, 0, -1):
-            hit, value = self.look(self.p[k], short)
-            out[open_[hit]] += value[hit]
-            open_, short = open_[~hit], short[~hit]
-            if not len(open_):
-                return out
-            hit, value = self.look(self.g[k], short >> np.uint64(16))
-            if k > 1:
-                out[open_[hit]] += value[hit]
-                short = short & np.uint64((1 << 16 * (k - 1)) - 1)
-        out[open_] += self.floor
-        return out
-
-
-def perplexities(rows: DataFrame, model: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``rows`` (id, lang, trusted, text) with text replaced by n_symbols (its
-    end included) and log_perplexity."""
-    entries = model.count()
-    if entries * 16 > broadcast_bytes:
-        return perplexities_joined(rows, model)
-    got = model.select("ord", (F.col("kind") == "p").alias("is_p"), "code", "value").toArrow()  # within broadcast_bytes
-    arrays = [got.column(k).to_numpy() for k in range(4)]
-    sent = rows.sparkSession.sparkContext.broadcast([arrays[0].astype(np.int8), arrays[1], arrays[2], arrays[3].astype(np.float64)])
+class Model:
+    """Tables sharded by gram: ``p[k]`` (fold, gram, p) and ``g[k]`` (fold, ctx,
+    gamma) of order k, and by fold the probability of a symbol never seen."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Tables(*sent.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                counts, means = [], []
-                pile: list[np.ndarray] = []
-                ends: list[int] = []
-
-                def settle() -> None:
-                    if not ends:
-                        return
-                    every = tables.log_probability(np.concatenate(pile))
-                    begins = np.r_[0, np.cumsum(ends)[:-1]]
-                    means.extend((-np.add.reduceat(every, begins) / np.array(ends)).tolist())
-                    counts.extend(ends)
-                    pile.clear()
-                    ends.clear()
-
-                held = 0
-                for text in part.column(3):
-                    body = text.as_py() or ""
-                    if len(body) > SLICE:
-                        settle()
-                        held = 0
-                        total = sum(float(tables.log_probability(g).sum()) for g in text_grams(body))
-                        counts.append(len(body) + 1)
-                        means.append(-total / (len(body) + 1))
-                        continue
-                    pile.extend(text_grams(body))
-                    ends.append(len(body) + 1)
-                    held += len(body) + 1
-                    if held > SLICE // 2:
-                        settle()
-                        held = 0
-                settle()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(counts, pa.int64()), pa.array(means, pa.float64())], names=["id", "lang", "trusted", "n_symbols", "log_perplexity"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "lang", "trusted", "text").mapInArrow(work, f"id {kind}, lang string, trusted boolean, n_symbols bigint, log_perplexity double")
-
-
-def perplexities_joined(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """The same by joins of each document's distinct grams with the sharded
-    tables; for models of any size."""
-    numbered = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored-rows")
+    def __init__(self, p: dict[int, DataFrame], g: dict[int, DataFrame], floor: dict[int, float]):
+        self.p, self.g, self.floor = p, g, floor
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, text in zip(batch.column(0), batch.column(1)):
-                for gram in text_grams(text.as_py() or ""):
-                    codes, n = np.unique(gram, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), row.as_py())), pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], names=["row", "gram", "n"])
 
-    now = numbered.select("row", "text").mapInArrow(work, "row bigint, gram bigint, n bigint").withColumn("acc", F.lit(0.0)).withColumn("lp", F.lit(None).cast("double"))
-    table = lambda k, kind: model.filter((F.col("ord") == k) & (F.col("kind") == kind))
+def fit(texts: DataFrame) -> Model:
+    """The models of columns fold and text."""
+    raw = stored(count_grams(texts), "grams")
+    orders = {ORDER: raw.withColumn("raw", F.col("n"))}
+    for k in range(ORDER - 1, 0, -1):
+        shorter = orders[k + 1].groupBy("fold", suffix(F.col("gram"), k).alias("gram")).agg(F.count(F.lit(1)).alias("after"), F.sum("raw").alias("raw"))
+        begins = F.shiftrightunsigned("gram", 16 * (k - 1)) == BEGIN
+        orders[k] = stored(shorter.select("fold", "gram", F.when(begins, F.col("raw")).otherwise(F.col("after")).alias("n"), "raw"), "order")
+    p, g, floor = {}, {}, {}
+    for k in range(1, ORDER + 1):
+        now = orders[k]
+        counts = now.groupBy("fold").agg(*[F.count(F.when(F.col("n") == i, 1)) for i in (1, 2, 3, 4)], F.count(F.lit(1))).collect()  # a row a fold
+        cut = F.lit(None).cast("double")
+        for fold, n1, n2, n3, n4, _ in counts:
+            d1, d2, d3 = discounts(n1, n2, n3, n4)
+            cut = F.when(F.col("fold") == fold, F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)).otherwise(cut)
+        sums = now.groupBy("fold", context(F.col("gram")).alias("ctx")).agg(F.sum("n").alias("sum"), (F.sum(cut) / F.sum("n")).alias("gamma"))
+        if k < ORDER:
+            sums = stored(sums, "contexts")
+        joined = now.withColumn("cut", cut).withColumn("ctx", context(F.col("gram"))).join(sums, ["fold", "ctx"])
+        if k == 1:
+            gamma = {r.fold: r.gamma for r in sums.collect()}  # a row a fold: the empty context
+            floor = {r[0]: gamma[r[0]] / (r[5] + 1) for r in counts}  # one symbol for all that was never seen
+            flat = F.lit(None).cast("double")
+            for fold, value in floor.items():
+                flat = F.when(F.col("fold") == fold, value).otherwise(flat)
+            joined = joined.withColumn("backed", flat)
+        else:
+            short = p[k - 1].select("fold", F.col("gram").alias("short"), F.col("p").alias("q"))
+            joined = joined.withColumn("short", suffix(F.col("gram"), k - 1)).join(short, ["fold", "short"]).withColumn("backed", F.col("gamma") * F.col("q"))
+        p[k] = stored(joined.select("fold", "gram", (F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("sum") + F.col("backed")).alias("p")), "probabilities")
+        g[k] = sums.select("fold", "ctx", "gamma")
+    g[ORDER] = stored(g[ORDER], "contexts")
+    return Model(p, g, floor)
+
+
+def resolve(grams: DataFrame, model: Model) -> DataFrame:
+    """``grams`` (fold, gram) with ``lp``, the log probability of the gram's
+    last symbol after its first three: the longest order that has it, and what
+    the longer contexts hand down."""
+    now = grams.withColumn("acc", F.lit(0.0)).withColumn("lp", F.lit(None).cast("double"))
     for k in range(ORDER, 0, -1):
-        p = table(k, "p").select(F.col("code").alias("code_p"), F.col("value").alias("value_p"))
-        now = now.join(p, suffix(F.col("gram"), k) == F.col("code_p"), "left").withColumn("lp", F.coalesce("lp", F.col("acc") + F.col("value_p"))).drop("code_p", "value_p")
+        p = model.p[k].select(F.col("fold"), F.col("gram").alias("short"), F.col("p").alias("found"))
+        now = now.withColumn("short", suffix(F.col("gram"), k)).join(p, ["fold", "short"], "left").withColumn("lp", F.coalesce("lp", F.col("acc") + F.log("found"))).drop("short", "found")
         if k > 1:
-            g = table(k, "g").select(F.col("code").alias("code_g"), F.col("value").alias("value_g"))
-            now = now.join(g, context(suffix(F.col("gram"), k)) == F.col("code_g"), "left").withColumn("acc", F.col("acc") + F.coalesce("value_g", F.lit(0.0))).drop("code_g", "value_g")
-    floor = table(0, "p").first().value
-    sums = now.groupBy("row").agg(F.sum(F.col("n") * F.coalesce("lp", F.col("acc") + F.lit(floor))).alias("total"), F.sum("n").alias("n_symbols"))
-    return numbered.drop("text").join(sums, "row").select("id", "lang", "trusted", "n_symbols", (-F.col("total") / F.col("n_symbols")).alias("log_perplexity"))
+            g = model.g[k].withColumnRenamed("gamma", "down")
+            now = now.withColumn("ctx", context(suffix(F.col("gram"), k))).join(g, ["fold", "ctx"], "left")
+            now = now.withColumn("acc", F.col("acc") + F.coalesce(F.log("down"), F.lit(0.0))).drop("ctx", "down")
+    floor = F.lit(None).cast("double")
+    for fold, value in model.floor.items():
+        floor = F.when(F.col("fold") == fold, math.log(value)).otherwise(floor)
+    return now.select("fold", "gram", F.coalesce("lp", F.col("acc") + floor).alias("lp"))
+
+
+def pieces(rows: DataFrame, size: int = PILE) -> DataFrame:
+    """``rows`` (id, lang, trusted, fold, text) with texts in pieces of at most
+    ``size`` symbols: (id, lang, trusted, row, pile, fold, head, body, ends),
+    ``head`` the three symbols before a piece. The pieces of a pile are of one
+    fold and, but for the last, hold less than ``size`` symbols."""
+    plain = rows.select(F.struct("id", "lang", "trusted").alias("who"), "fold", "text")
+    who = plain.schema["who"].dataType.simpleString()
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        made, read, open_ = 0, 0, {}
+
+        def out(batch: pa.RecordBatch, at: list[int], cut: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(zip(*cut), kinds)]], names=["who", "row", "pile", "fold", "head", "body", "ends"])
+
+        for batch in batches:
+            at, cut, held = [], [], 0
+            for n, (fold, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+                body = text.as_py() or ""
+                for start in range(0, len(body) or 1, size):
+                    part = body[start : start + size]
+                    pile, used = open_.get(fold, (None, 0))
+                    if pile is None:
+                        pile, made = task + made, made + 1
+                    at.append(n)
+                    cut.append((task + read, pile, fold, body[max(0, start - ORDER + 1) : start], part, start + size >= len(body)))
+                    held += len(part) + 1
+                    used += len(part) + 1
+                    open_[fold] = (pile, used) if used < size else (None, 0)
+                    if held >= size:
+                        yield out(batch, at, cut)
+                        at, cut, held = [], [], 0
+                read += 1
+            if cut:
+                yield out(batch, at, cut)
+
+    made = plain.mapInArrow(work, f"who {who}, row bigint, pile bigint, fold int, head string, body string, ends boolean")
+    return made.select("who.id", "who.lang", "who.trusted", "row", "pile", "fold", "head", "body", "ends")
+
+
+def piece_grams(head: str, body: str, ends: bool) -> np.ndarray:
+    """The grams of a piece's symbols; a head of less than three symbols is the
+    text's begin."""
+    symbols = symbols_of(head + body)
+    begin = len(head) if len(head) == ORDER - 1 else 0
+    return packed(symbols[begin : None if ends else -1])
+
+
+def perplexities(rows: DataFrame, model: Model, size: int = PILE) -> DataFrame:
+    """(id, lang, trusted, n_symbols, log_perplexity) of ``rows`` (id, lang,
+    trusted, fold, text), fold the model that judges; symbols include the end."""
+    cut = stored(pieces(rows, size), "pieces")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # by pile: fold, distinct grams, grams that wait to be made distinct, their number
+        open_: dict[int, list] = {}
+
+        def out(pile: int) -> pa.RecordBatch:
+            fold, mine, wait, _ = open_.pop(pile)
+            grams = np.unique(np.concatenate([mine, *wait]))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), pile)), pa.array(np.full(len(grams), fold, np.int32)), pa.array(grams.view(np.int64))], names=["pile", "fold", "gram"])
+
+        for batch in batches:
+            for pile, fold, head, body, ends in zip(*[c.to_pylist() for c in batch.columns]):
+                if pile not in open_:
+                    if len(open_) >= 4:
+                        yield out(next(iter(open_)))  # done, or its rest asks again, which does no harm
+                    open_[pile] = [fold, np.zeros(0, np.uint64), [], 0]
+                state = open_[pile]
+                state[2].append(piece_grams(head, body, ends))
+                state[3] += len(state[2][-1])
+                if state[3] > SLICE:
+                    state[1:] = [np.unique(np.concatenate([state[1], *state[2]])), [], 0]
+        for pile in list(open_):
+            yield out(pile)
+
+    asked = stored(cut.select("pile", "fold", "head", "body", "ends").mapInArrow(ask, "pile bigint, fold int, gram bigint"), "asked")
+    answers = asked.join(stored(resolve(asked.select("fold", "gram").distinct(), model), "resolved"), ["fold", "gram"]).select("pile", "gram", "lp")
+
+    def answer(texts: pa.Table, known: pa.Table) -> pa.Table:
+        grams = known["gram"].to_numpy().view(np.uint64)
+        order = np.argsort(grams)
+        grams, values = grams[order], known["lp"].to_numpy()[order]
+        sums, sizes = [], []
+        for head, body, ends in zip(texts["head"], texts["body"], texts["ends"]):
+            own = piece_grams(head.as_py(), body.as_py(), ends.as_py())
+            sums.append(float(values[np.searchsorted(grams, own)].sum()))
+            sizes.append(len(own))
+        return texts.select(["id", "lang", "trusted", "row"]).append_column("total", pa.array(sums, pa.float64())).append_column("n", pa.array(sizes, pa.int64()))
+
+    kind = cut.schema["id"].dataType.simpleString()
+    judged = cut.groupBy("pile").cogroup(answers.groupBy("pile")).applyInArrow(answer, f"id {kind}, lang string, trusted boolean, row bigint, total double, n bigint")
+    sums = judged.groupBy("id", "lang", "trusted", "row").agg(F.sum("n").alias("n_symbols"), (-F.sum("total") / F.sum("n")).alias("log_perplexity"))
+    return sums.drop("row")
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -264,16 +303,12 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     steps = scored.filter("trusted").select(F.col("lang"), F.ceil(F.col("log_perplexity") / F.lit(STEP)).alias("step"))
     counted = stored(steps.groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n")), "histogram")
     both = counted.unionByName(counted.groupBy("step").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string")).select("lang", "step", "n"))
-    from pyspark.sql import Window
-
     order = Window.partitionBy("lang").orderBy("step")
     running = both.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
     return running.filter(F.col("upto") >= F.col("all") * F.lit(quantile)).groupBy("lang").agg((F.min("step") * F.lit(STEP)).alias("most"))
 
 
-def classify(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE, size: int = PILE) -> DataFrame:
     """Columns: ``id_col``, lang, n_symbols, perplexity, threshold, kept.
     Trusted rows are those whose largest label is 1."""
     good = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id IS NOT NULL").groupBy("id").agg(F.max("y").alias("y")).filter("y = 1").select("id", F.lit(True).alias("good"))
@@ -281,15 +316,18 @@ def classify(
     ids = stored(source.select("id").join(good, "id").select("id").distinct(), "trusted")
     if ids.count() <= 2_000_000:  # at most 16 MB of ids
         ids = F.broadcast(ids)
-    rows = source.join(ids.withColumn("good", F.lit(True)), "id", "left").select("id", "lang", F.coalesce("good", F.lit(False)).alias("trusted"), "text")
-    trusted = rows.filter("trusted")
-    if trusted.limit(1).count() == 0:
+    rows = source.join(ids.withColumn("good", F.lit(True)), "id", "left")
+    rows = rows.select("id", "lang", F.coalesce("good", F.lit(False)).alias("trusted"), F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), "text")
+    having = [r.fold for r in rows.filter("trusted").select("fold").distinct().collect()]  # two at most
+    if not having:
         return source.select(F.col("id").alias(id_col), "lang", (F.char_length("text") + 1).cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
-    scored = stored(perplexities(rows, fit(trusted.select("text")), broadcast_bytes), "perplexities")
+    if len(having) == 1:
+        rows = rows.withColumn("fold", F.lit(having[0]))
+    judge = F.col("fold") if len(having) == 1 else 1 - F.col("fold")
+    model = fit(rows.filter("trusted").select("fold", "text"))
+    scored = stored(perplexities(rows.withColumn("fold", judge), model, size), "perplexities")
     most = stored(thresholds(scored, quantile), "thresholds")
     overall = most.filter("lang IS NULL").first().most
     by_lang = most.filter("lang IS NOT NULL").select(F.col("lang").alias("of"), "most")
     done = scored.join(by_lang, F.col("lang") == F.col("of"), "left").withColumn("limit", F.coalesce("most", F.lit(overall)))
-    return done.select(
-        F.col("id").alias(id_col), "lang", "n_symbols", F.round(F.exp("log_perplexity"), 4).alias("perplexity"), F.round(F.exp("limit"), 4).alias("threshold"), (F.col("log_perplexity") <= F.col("limit")).alias("kept")
-    )
+    return done.select(F.col("id").alias(id_col), "lang", "n_symbols", F.round(F.exp("log_perplexity"), 4).alias("perplexity"), F.round(F.exp("limit"), 4).alias("threshold"), (F.col("log_perplexity") <= F.col("limit")).alias("kept"))
