@@ -7,18 +7,23 @@ an anisotropic loss: the residual's share parallel to the vector weighs
 the largest inner products. Codebooks are fitted on a bounded sample (the
 ``SAMPLE`` vectors of smallest hash); every row is indexed.
 
-Queries go out in chunks of at most ``QUERY_CHUNK`` vectors, so what is
-broadcast is bounded, and each chunk is held against all rows in blocks: a
-table of 16 scores for each part and query is summed over the blocks' codes,
-the best ``rerank`` of each block and query, and all that tie with the last of
-them, are scored exactly in double precision on the original vectors, and a
-task keeps its ``k`` best for each query. A last window ranks them.
+The index is made once and stored: for each row its packed codes, two parts a
+byte, its length and its vector, dealt by number into groups of bounded size.
+Queries, one for each id, are numbered into chunks of bounded size and stored
+likewise. Rows go to groups by their place, so repeated ids spread. Each group meets each chunk in a task of its own, by one shuffle, so
+nothing goes to the driver and nothing is broadcast, and a group's memory does
+not grow with the input: a table of 256 scores for each byte and query is
+summed over the codes, the best ``rerank`` of a block and query, and all that
+tie with the last of them, are scored exactly in double precision on the
+original vectors, and a task keeps its ``k`` best for each query. A last window
+ranks them. The scan is of all queries and rows and so quadratic by meaning.
 
 Defined results: vectors that are null, empty, zero, of another length than the
-first query, or that hold null or non-finite components take no part; ties go
-to the smaller id; repeated rows are candidates of their own; fewer candidates
-than ``k`` give fewer rows; an empty table gives no rows; extra columns are
-ignored.
+query of smallest id, or that hold null or non-finite components, and null ids,
+take no part; ties go to the smaller id. Rows that share an id are one
+candidate, with the best of their scores, and one query, with the least of
+their vectors; fewer candidates than ``k`` give fewer rows; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,15 +32,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.relational import dense_number
+from .common import stored
 from .embedding_dedup import usable
 
 #: Vectors that codebooks are fitted on, at most.
 SAMPLE = 20_000
-#: Queries that are broadcast at once, at most.
-QUERY_CHUNK = 4096
+#: Rows of a group of the index, at most.
+GROUP = 16384
+#: A table of so many groups (16 bytes each) is broadcast.
+BROADCAST_GROUPS = 200_000
+#: Queries of a chunk, at most.
+QUERY_CHUNK = 16384
 #: Rows of a block that are scored together.
 BLOCK = 4096
 WORDS = 16
@@ -126,67 +138,100 @@ def nearest(
         return spark.createDataFrame([], schema)
     dim = first[0]
     source = source.filter(F.size("vec") == dim)
-    sample = np.array([r.vec for r in source.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], dtype=np.float64)
-    unit = sample / _lengths(sample)[:, None]
+    queries = source.filter("q").groupBy("id").agg(F.min("vec").alias("vec"))
+    queries = stored(dense_number(queries, [F.col("id")], "at").select("id", "vec", F.floor(F.col("at") / QUERY_CHUNK).alias("chunk")), "queries")
+    sample = np.array([r.vec for r in source.select("id", "vec").orderBy(F.xxhash64("id"), "id", "vec").limit(SAMPLE).collect()], dtype=np.float64)
     eta = eta_for(dim, threshold)
-    books = fit_codebooks(unit, eta)
-    queries = source.filter("q").select("id", "vec")
-    chunks = -(-queries.count() // QUERY_CHUNK)
-    found = None
-    for n in range(chunks):
-        part = queries if chunks == 1 else queries.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(chunks)) == n)
-        rows = part.orderBy("id").collect()  # about QUERY_CHUNK rows, whatever the input
-        if not rows:
-            continue
-        asked = np.array([r.id for r in rows], np.int64)
-        q = np.array([r.vec for r in rows], dtype=np.float64)
-        scan = source.select("id", "vec").mapInArrow(_scan(dim, books, eta, asked, q, k, rerank), "query_id bigint, vec_id bigint, score double")
-        found = scan if found is None else found.unionByName(scan)
+    books = fit_codebooks(sample / _lengths(sample)[:, None], eta)
+    index = stored(encoded(source.select("id", "vec"), dim, books, eta), "index")
+    names = stored(dense_number(index.select("dealt").distinct(), [F.col("dealt")], "group"), "groups")  # a row a group
+    groups, chunks = names.count(), queries.agg(F.max("chunk")).first()[0] + 1
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = index.join(F.broadcast(names) if groups <= BROADCAST_GROUPS else names, "dealt").withColumn("chunk", upto(chunks))
+    asked = queries.withColumn("group", upto(groups))
+    keys = ["group", "chunk"]
+    found = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(_scan(dim, books, k, rerank), "query_id bigint, vec_id bigint, score double")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(dim: int, books: np.ndarray, eta: float, asked: np.ndarray, q: np.ndarray, k: int, rerank: int):
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Two codes of four bits a byte."""
+    if codes.shape[1] % 2:
+        codes = np.c_[codes, np.zeros(len(codes), np.uint8)]
+    return (codes[:, 0::2] << 4 | codes[:, 1::2]).astype(np.uint8)
+
+
+def encoded(source: DataFrame, dim: int, books: np.ndarray, eta: float) -> DataFrame:
+    """(dealt, id, codes, length, vec) of (id, vec), ``dealt`` the group of at
+    most ``GROUP`` rows, whatever their ids; narrow."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = len(books)
+        task, read = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                dealt = task + np.arange(read, read + part.num_rows) // GROUP
+                read += part.num_rows
+                x = _matrix(part.column(1), dim)
+                length = _lengths(x)
+                unit = x / length[:, None]
+                codes = packed(anisotropic_assign(np.c_[unit, np.zeros(len(unit))] if dim % 2 else unit, books, eta))
+                yield pa.RecordBatch.from_arrays([pa.array(dealt), part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), part.column(1)], names=["dealt", "id", "codes", "length", "vec"])
+
+    return source.mapInArrow(work, f"dealt bigint, id bigint, codes binary, length double, vec {source.schema['vec'].dataType.simpleString()}")
+
+
+def _scan(dim: int, books: np.ndarray, k: int, rerank: int):
+    def work(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        kinds = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]
+        if not asked.num_rows or not rows.num_rows:
+            return pa.table({name: pa.array([], kind) for name, kind in kinds})
+        number = asked["id"].to_numpy()
+        q = _matrix(asked["vec"].combine_chunks(), dim)
         long = _lengths(q)
         turned = q / long[:, None]
         if dim % 2:
             turned = np.c_[turned, np.zeros(len(q))]
-        table = np.einsum("npc,pwc->npw", turned.reshape(len(q), parts, 2), books).astype(np.float32)
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
-        for ids, x in _blocks(batches, dim):
-            length = _lengths(x)
-            unit = x / length[:, None]
-            codes = np.concatenate([anisotropic_assign(np.c_[u, np.zeros(len(u))] if dim % 2 else u, books, eta) for u in np.array_split(unit, -(-len(unit) // 1024))])
+        for batch in rows.select(["id", "codes", "length", "vec"]).to_batches(BLOCK):
+            ids, length = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            codes = np.stack([np.frombuffer(c.as_py(), np.uint8) for c in batch.column(1)])
+            x = _matrix(batch.column(3), dim)
             for start in range(0, len(q), 256):
-                some = table[start : start + 256]
-                rough = np.zeros((len(some), len(x)), np.float32)
-                for p in range(parts):
-                    rough += some[:, p][:, codes[:, p]]
-                rough[asked[start : start + 256][:, None] == ids[None, :]] = -np.inf
+                table = _byte_table(turned[start : start + 256], books)
+                rough = np.zeros((len(table), len(x)), np.float32)
+                for p in range(codes.shape[1]):
+                    rough += table[:, p][:, codes[:, p]]
+                rough[number[start : start + 256][:, None] == ids[None, :]] = -np.inf
                 take = min(rerank, len(x))
                 floor = np.partition(rough, len(x) - take, axis=1)[:, len(x) - take]
-                for n in range(len(some)):
+                for n in range(len(table)):
                     near = np.flatnonzero((rough[n] >= floor[n]) & (rough[n] > -np.inf))
-                    if not len(near):
-                        continue
-                    m = start + n
-                    score = (x[near] @ q[m]) / (length[near] * long[m])
-                    score, number = np.r_[best[m][0], score], np.r_[best[m][1], ids[near]]
-                    top = np.lexsort((number, -score))[:k]
-                    best[m] = (score[top], number[top])
+                    if len(near):
+                        m = start + n
+                        score = (x[near] @ q[m]) / (length[near] * long[m])
+                        best[m] = _best(np.r_[best[m][0], score], np.r_[best[m][1], ids[near]], k)
         counts = [len(b[0]) for b in best]
-        if sum(counts):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(asked, counts)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))], names=["query_id", "vec_id", "score"]
-            )
+        columns = [np.repeat(number, counts), np.concatenate([b[1] for b in best]), np.concatenate([b[0] for b in best])]
+        return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds, columns)})
 
     return work
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(start, BLOCK)
-            yield part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(part.column(1), dim)
+def _byte_table(turned: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Scores of each query, byte of codes and value of that byte."""
+    table = np.einsum("npc,pwc->npw", turned.reshape(len(turned), len(books), 2), books).astype(np.float32)
+    if table.shape[1] % 2:
+        table = np.concatenate([table, np.zeros_like(table[:, :1])], axis=1)
+    both = table[:, 0::2, :, None] + table[:, 1::2, None, :]
+    return np.ascontiguousarray(both.reshape(len(turned), -1, WORDS * WORDS))
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of distinct ids, ties to the smaller id."""
+    order = np.lexsort((ids, -score))
+    score, ids = score[order], ids[order]
+    top = np.sort(np.unique(ids, return_index=True)[1])[:k]
+    return score[top], ids[top]

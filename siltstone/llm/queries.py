@@ -69,7 +69,7 @@ def op5_url_filter_spam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anisotropic_ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return anisotropic_ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,7 +213,7 @@ def test_spam_list_decides_verdicts_outside_the_rules(spark):
 def test_ann_recall(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     extra = spark.createDataFrame([(1000, None, 1), (1050, [0.0] * 64, 1), (1001, [float("inf")] * 64, 1), (1002, [1.0], 1)], df.schema)
-    got = anisotropic_ann.nearest(df.unionByName(extra), F.col("id") % 50 == 0).collect()
+    got = anisotropic_ann.nearest(df.unionByName(extra), F.col("vec_id") % 50 == 0).collect()
     rows = df.collect()
     ids = np.array([r.vec_id for r in rows])
     unit = np.array([r.embedding for r in rows], float)
@@ -227,7 +227,25 @@ def test_ann_recall(spark):
         hit += len({m[1] for m in mine} & set(best.tolist()))
         assert all(abs(m[2] - s[ids == m[1]][0]) < 1e-9 for m in mine)
     assert hit / (5 * (ids % 50 == 0).sum()) >= 0.9
-    assert anisotropic_ann.nearest(df.limit(0), F.col("id") % 50 == 0).count() == 0
+    assert anisotropic_ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_ann_of_repeated_rows_ties_and_clashing_columns(spark):
+    draw = np.random.default_rng(2)
+    x = np.round(draw.standard_normal((120, 9)), 2)
+    x[60:90] = x[:30]  # ties
+    rows = [(n, v.tolist(), n, 0.0) for n, v in enumerate(x)] + [(0, x[0].tolist(), 1, 0.0)] * 3 + [(7, x[7].tolist(), 1, 0.0), (7, x[8].tolist(), 1, 0.0), (None, x[0].tolist(), 1, 0.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, chunk long, score double").withColumn("id", F.lit(1)).withColumn("group", F.lit("g"))
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in anisotropic_ann.nearest(df, F.col("vec_id") % 50 == 0).collect())
+    best: dict = {}
+    unit = lambda v: np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float))
+    for q in (0, 50, 100):
+        for i, v, *_ in rows:
+            if i is not None and i != q:
+                best[q, i] = max(best.get((q, i), -2), round(float(unit(v) @ unit(x[q])), 9))
+    want = [(q, r, i) for q in (0, 50, 100) for r, (_, i) in enumerate(sorted((-s, i) for (k, i), s in best.items() if k == q)[:5], 1)]
+    assert got == want
+    assert anisotropic_ann.nearest(df.filter("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
 # 7 secrets
