@@ -16,9 +16,11 @@ judged by a model that has seen it, and thresholds are of unseen good text.
 
 Scoring cuts whole texts into pieces and piles of about ``PILE`` symbols. A
 pile asks for each of its distinct grams once, which pre-aggregates common
-grams; all distinct grams are resolved by joins with the sharded tables, the
-answers meet their piles again, and symbols are summed by document. A pile and
-its answers are bounded, whatever the text; nothing is broadcast.
+grams: one list for each shard, that of the gram's two middle symbols, where
+the grams of orders four and three and their contexts meet (those of orders two
+and one go to all shards). The shards' answers, in single precision, meet the
+piles again and symbols are summed by document. A pile and a shard are bounded,
+whatever the texts; nothing is broadcast.
 
 Thresholds are the ``quantile`` of the trusted rows' perplexities, by language,
 taken from a histogram in steps of 0.001 of log perplexity, so no group is
@@ -52,7 +54,9 @@ BEGIN, END = 1, 2
 QUANTILE = 0.995
 STEP = 0.001
 #: Symbols of a pile, and of a piece of a text, at most (and one text more).
-PILE = 2 << 20
+PILE = 4 << 20
+#: Shards of a model, at least, and entries of a shard, about.
+LEAST_SHARDS, SHARD_ENTRIES = 32, 1 << 20
 #: Symbols that are counted at once.
 SLICE = 1 << 20
 
@@ -138,23 +142,19 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))
 
 
-class Model:
-    """Tables sharded by gram: ``p[k]`` (fold, gram, p) and ``g[k]`` (fold, ctx,
-    gamma) of order k, and by fold the probability of a symbol never seen."""
-
-    def __init__(self, p: dict[int, DataFrame], g: dict[int, DataFrame], floor: dict[int, float]):
-        self.p, self.g, self.floor = p, g, floor
-
-
-def fit(texts: DataFrame) -> Model:
-    """The models of columns fold and text."""
+def fit(texts: DataFrame) -> DataFrame:
+    """Stored models of columns fold and text, one for each fold: (fold, ord,
+    kind, code, value). Kind ``p`` has the log probability of a gram, kind ``g``
+    the log of what a context hands to the shorter one, both of grams and
+    contexts of that order; order 0 has one row, the log probability of a
+    symbol that was never seen."""
     raw = stored(count_grams(texts), "grams")
     orders = {ORDER: raw.withColumn("raw", F.col("n"))}
     for k in range(ORDER - 1, 0, -1):
         shorter = orders[k + 1].groupBy("fold", suffix(F.col("gram"), k).alias("gram")).agg(F.count(F.lit(1)).alias("after"), F.sum("raw").alias("raw"))
         begins = F.shiftrightunsigned("gram", 16 * (k - 1)) == BEGIN
         orders[k] = stored(shorter.select("fold", "gram", F.when(begins, F.col("raw")).otherwise(F.col("after")).alias("n"), "raw"), "order")
-    p, g, floor = {}, {}, {}
+    tables, lower = None, None
     for k in range(1, ORDER + 1):
         now = orders[k]
         counts = now.groupBy("fold").agg(*[F.count(F.when(F.col("n") == i, 1)) for i in (1, 2, 3, 4)], F.count(F.lit(1))).collect()  # a row a fold
@@ -162,83 +162,157 @@ def fit(texts: DataFrame) -> Model:
         for fold, n1, n2, n3, n4, _ in counts:
             d1, d2, d3 = discounts(n1, n2, n3, n4)
             cut = F.when(F.col("fold") == fold, F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)).otherwise(cut)
-        sums = now.groupBy("fold", context(F.col("gram")).alias("ctx")).agg(F.sum("n").alias("sum"), (F.sum(cut) / F.sum("n")).alias("gamma"))
-        if k < ORDER:
-            sums = stored(sums, "contexts")
+        sums = stored(now.groupBy("fold", context(F.col("gram")).alias("ctx")).agg(F.sum("n").alias("sum"), (F.sum(cut) / F.sum("n")).alias("gamma")), "contexts")
         joined = now.withColumn("cut", cut).withColumn("ctx", context(F.col("gram"))).join(sums, ["fold", "ctx"])
         if k == 1:
             gamma = {r.fold: r.gamma for r in sums.collect()}  # a row a fold: the empty context
-            floor = {r[0]: gamma[r[0]] / (r[5] + 1) for r in counts}  # one symbol for all that was never seen
-            flat = F.lit(None).cast("double")
-            for fold, value in floor.items():
-                flat = F.when(F.col("fold") == fold, value).otherwise(flat)
-            joined = joined.withColumn("backed", flat)
+            floor = [(r[0], gamma[r[0]] / (r[5] + 1)) for r in counts]  # one symbol for all that was never seen
+            flat = texts.sparkSession.createDataFrame(floor, "fold int, flat double")
+            joined = joined.join(F.broadcast(flat), "fold").withColumn("backed", F.col("flat"))  # two rows at most
+            tables = flat.select("fold", F.lit(0).alias("ord"), F.lit("p").alias("kind"), F.lit(0).cast("long").alias("code"), F.log("flat").alias("value"))
         else:
-            short = p[k - 1].select("fold", F.col("gram").alias("short"), F.col("p").alias("q"))
+            short = lower.select("fold", F.col("gram").alias("short"), F.col("p").alias("q"))
             joined = joined.withColumn("short", suffix(F.col("gram"), k - 1)).join(short, ["fold", "short"]).withColumn("backed", F.col("gamma") * F.col("q"))
-        p[k] = stored(joined.select("fold", "gram", (F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("sum") + F.col("backed")).alias("p")), "probabilities")
-        g[k] = sums.select("fold", "ctx", "gamma")
-    g[ORDER] = stored(g[ORDER], "contexts")
-    return Model(p, g, floor)
-
-
-def resolve(grams: DataFrame, model: Model) -> DataFrame:
-    """``grams`` (fold, gram) with ``lp``, the log probability of the gram's
-    last symbol after its first three: the longest order that has it, and what
-    the longer contexts hand down."""
-    now = grams.withColumn("acc", F.lit(0.0)).withColumn("lp", F.lit(None).cast("double"))
-    for k in range(ORDER, 0, -1):
-        p = model.p[k].select(F.col("fold"), F.col("gram").alias("short"), F.col("p").alias("found"))
-        now = now.withColumn("short", suffix(F.col("gram"), k)).join(p, ["fold", "short"], "left").withColumn("lp", F.coalesce("lp", F.col("acc") + F.log("found"))).drop("short", "found")
+        lower = stored(joined.select("fold", "gram", (F.greatest(F.col("n") - F.col("cut"), F.lit(0.0)) / F.col("sum") + F.col("backed")).alias("p")), "probabilities")
+        tables = tables.unionByName(lower.select("fold", F.lit(k).alias("ord"), F.lit("p").alias("kind"), F.col("gram").alias("code"), F.log("p").alias("value")))
         if k > 1:
-            g = model.g[k].withColumnRenamed("gamma", "down")
-            now = now.withColumn("ctx", context(suffix(F.col("gram"), k))).join(g, ["fold", "ctx"], "left")
-            now = now.withColumn("acc", F.col("acc") + F.coalesce(F.log("down"), F.lit(0.0))).drop("ctx", "down")
-    floor = F.lit(None).cast("double")
-    for fold, value in model.floor.items():
-        floor = F.when(F.col("fold") == fold, math.log(value)).otherwise(floor)
-    return now.select("fold", "gram", F.coalesce("lp", F.col("acc") + floor).alias("lp"))
+            tables = tables.unionByName(sums.select("fold", F.lit(k).alias("ord"), F.lit("g").alias("kind"), F.col("ctx").alias("code"), F.log("gamma").alias("value")))
+    return tables
+
+
+class Tables:
+    """Sorted arrays of one model, or of a shard of it."""
+
+    def __init__(self, order: np.ndarray, is_p: np.ndarray, code: np.ndarray, value: np.ndarray):
+        self.of = {}
+        for k in range(ORDER + 1):
+            for kind in (True, False):
+                own = (order == k) & (is_p == kind)
+                keys, values = code[own].view(np.uint64), value[own]
+                at = np.argsort(keys)
+                self.of[k, kind] = (keys[at], values[at])
+
+    def look(self, k: int, is_p: bool, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known, values = self.of[k, is_p]
+        if not len(known):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return known[at] == keys, values[at]
+
+    def log_probability(self, gram: np.ndarray) -> np.ndarray:
+        """Of the grams' last symbols: the longest order that has a gram, and
+        what the longer contexts hand down."""
+        out = np.zeros(len(gram))
+        open_, short = np.arange(len(gram)), gram
+        for k in range(ORDER, 0, -1):
+            hit, value = self.look(k, True, short)
+            out[open_[hit]] += value[hit]
+            open_, short = open_[~hit], short[~hit]
+            if not len(open_):
+                return out
+            if k > 1:
+                hit, value = self.look(k, False, short >> np.uint64(16))
+                out[open_[hit]] += value[hit]
+                short = short & np.uint64((1 << 16 * (k - 1)) - 1)
+        out[open_] += self.of[0, True][1][0]
+        return out
+
+
+def shard_of(middle: np.ndarray, shards: int) -> np.ndarray:
+    """Of the two middle symbols, 32 bits."""
+    mixed = middle * np.uint64(0x9E3779B97F4A7C15)  # odd multiplier: 2^64 by the golden ratio
+    return ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
+
+
+def sharded(model: DataFrame, shards: int) -> DataFrame:
+    """``model`` with its shard; orders below three go to all shards."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.uint64(0xFFFFFFFF)
+        for batch in batches:
+            order, code = batch.column(1).to_numpy(), batch.column(3).to_numpy().view(np.uint64)
+            is_p = batch.column(2).to_numpy(zero_copy_only=False) == "p"
+            middle = np.where(is_p, code >> np.uint64(16), code) & low
+            short = np.flatnonzero(order < 3)
+            long = np.flatnonzero(order >= 3)
+            yield _with(batch, long, shard_of(middle[long], shards))
+            for s in range(shards if len(short) else 0):
+                yield _with(batch, short, np.full(len(short), s, np.int32))
+
+    def _with(batch: pa.RecordBatch, at: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+        part = batch.take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(shard)], names=[*part.schema.names, "shard"])
+
+    return model.select("fold", "ord", "kind", "code", "value").mapInArrow(work, "fold int, ord int, kind string, code bigint, value double, shard int")
 
 
-def pieces(rows: DataFrame, size: int = PILE) -> DataFrame:
+def pieces(rows: DataFrame, shards: int, size: int = PILE) -> DataFrame:
     """``rows`` (id, lang, trusted, fold, text) with texts in pieces of at most
     ``size`` symbols: (id, lang, trusted, row, pile, fold, head, body, ends),
     ``head`` the three symbols before a piece. The pieces of a pile are of one
-    fold and, but for the last, hold less than ``size`` symbols."""
+    fold and, but for the last, hold less than ``size`` symbols. For each pile
+    and shard one more row has its distinct grams: (pile, fold, shard, grams)."""
     plain = rows.select(F.struct("id", "lang", "trusted").alias("who"), "fold", "text")
     who = plain.schema["who"].dataType.simpleString()
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.int64())]
+    names = ["who", "row", "pile", "fold", "head", "body", "ends", "shard", "grams"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
-        made, read, open_ = 0, 0, {}
+        made, read, nobody = 0, 0, None
+        # by fold: pile, symbols, distinct grams, grams that wait to be made distinct, their number
+        open_: dict[int, list] = {}
+
+        def texts(batch: pa.RecordBatch, at: list[int], cut: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(c, k) for c, k in zip(zip(*cut), kinds)]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns, pa.nulls(len(cut), kinds[6]), pa.nulls(len(cut), kinds[7])], names=names)
 
-        def out(batch: pa.RecordBatch, at: list[int], cut: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(zip(*cut), kinds)]], names=["who", "row", "pile", "fold", "head", "body", "ends"])
+        def asked(fold: int) -> pa.RecordBatch:
+            pile, _, mine, wait, _ = open_.pop(fold)
+            lists = by_shard(np.unique(np.concatenate([mine, *wait])), shards)
+            columns = [pa.array([c] * shards, k) for c, k in zip((None, pile, fold, None, None, None), kinds)]
+            return pa.RecordBatch.from_arrays([pa.nulls(shards, nobody), *columns, pa.array(range(shards), kinds[6]), pa.array([g.view(np.int64) for g in lists], kinds[7])], names=names)
 
         for batch in batches:
+            nobody = batch.column(0).type
             at, cut, held = [], [], 0
             for n, (fold, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
                 body = text.as_py() or ""
                 for start in range(0, len(body) or 1, size):
-                    part = body[start : start + size]
-                    pile, used = open_.get(fold, (None, 0))
-                    if pile is None:
-                        pile, made = task + made, made + 1
+                    part, head = body[start : start + size], body[max(0, start - ORDER + 1) : start]
+                    ends = start + size >= len(body)
+                    if fold not in open_:
+                        open_[fold], made = [task + made, 0, np.zeros(0, np.uint64), [], 0], made + 1
+                    state = open_[fold]
                     at.append(n)
-                    cut.append((task + read, pile, fold, body[max(0, start - ORDER + 1) : start], part, start + size >= len(body)))
+                    cut.append((task + read, state[0], fold, head, part, ends))
+                    grams = piece_grams(head, part, ends)
+                    state[1] += len(part) + 1
+                    state[3].append(grams)
+                    state[4] += len(grams)
+                    if state[4] > SLICE:
+                        state[2:] = [np.unique(np.concatenate([state[2], *state[3]])), [], 0]
                     held += len(part) + 1
-                    used += len(part) + 1
-                    open_[fold] = (pile, used) if used < size else (None, 0)
+                    if state[1] >= size:
+                        yield asked(fold)
                     if held >= size:
-                        yield out(batch, at, cut)
+                        yield texts(batch, at, cut)
                         at, cut, held = [], [], 0
                 read += 1
             if cut:
-                yield out(batch, at, cut)
+                yield texts(batch, at, cut)
+        for fold in list(open_):
+            yield asked(fold)
 
-    made = plain.mapInArrow(work, f"who {who}, row bigint, pile bigint, fold int, head string, body string, ends boolean")
-    return made.select("who.id", "who.lang", "who.trusted", "row", "pile", "fold", "head", "body", "ends")
+    made = plain.mapInArrow(work, f"who {who}, row bigint, pile bigint, fold int, head string, body string, ends boolean, shard int, grams array<bigint>")
+    return made.select("who.id", "who.lang", "who.trusted", "row", "pile", "fold", "head", "body", "ends", "shard", "grams")
+
+
+def by_shard(grams: np.ndarray, shards: int) -> list[np.ndarray]:
+    """Sorted distinct grams, cut into those of each shard."""
+    shard = shard_of(grams >> np.uint64(16) & np.uint64(0xFFFFFFFF), shards)
+    order = np.argsort(shard, kind="stable")
+    return np.split(grams[order], np.searchsorted(shard[order], np.arange(1, shards)))
 
 
 def piece_grams(head: str, body: str, ends: bool) -> np.ndarray:
@@ -249,50 +323,63 @@ def piece_grams(head: str, body: str, ends: bool) -> np.ndarray:
     return packed(symbols[begin : None if ends else -1])
 
 
-def perplexities(rows: DataFrame, model: Model, size: int = PILE) -> DataFrame:
-    """(id, lang, trusted, n_symbols, log_perplexity) of ``rows`` (id, lang,
-    trusted, fold, text), fold the model that judges; symbols include the end."""
-    cut = stored(pieces(rows, size), "pieces")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # by pile: fold, distinct grams, grams that wait to be made distinct, their number
-        open_: dict[int, list] = {}
-
-        def out(pile: int) -> pa.RecordBatch:
-            fold, mine, wait, _ = open_.pop(pile)
-            grams = np.unique(np.concatenate([mine, *wait]))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), pile)), pa.array(np.full(len(grams), fold, np.int32)), pa.array(grams.view(np.int64))], names=["pile", "fold", "gram"])
+def answers(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """(pile, shard, lps) of ``asked`` (fold, shard, pile, grams): a task holds
+    the tables of one shard at a time, and the lists stream past them."""
+    keys = ["fold", "shard"]
+    entries = model.select(*keys, F.lit(0).alias("later"), "ord", "kind", "code", "value", F.lit(None).cast("long").alias("pile"), F.lit(None).cast("array<bigint>").alias("grams"))
+    lists = asked.select(*keys, F.lit(1).alias("later"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("value"), "pile", "grams")
+    both = entries.unionByName(lists).repartition(*keys).sortWithinPartitions(*keys, "later")
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heap, tables = None, [], None
         for batch in batches:
-            for pile, fold, head, body, ends in zip(*[c.to_pylist() for c in batch.columns]):
-                if pile not in open_:
-                    if len(open_) >= 4:
-                        yield out(next(iter(open_)))  # done, or its rest asks again, which does no harm
-                    open_[pile] = [fold, np.zeros(0, np.uint64), [], 0]
-                state = open_[pile]
-                state[2].append(piece_grams(head, body, ends))
-                state[3] += len(state[2][-1])
-                if state[3] > SLICE:
-                    state[1:] = [np.unique(np.concatenate([state[1], *state[2]])), [], 0]
-        for pile in list(open_):
-            yield out(pile)
-
-    asked = stored(cut.select("pile", "fold", "head", "body", "ends").mapInArrow(ask, "pile bigint, fold int, gram bigint"), "asked")
-    answers = asked.join(stored(resolve(asked.select("fold", "gram").distinct(), model), "resolved"), ["fold", "gram"]).select("pile", "gram", "lp")
-
-    def answer(texts: pa.Table, known: pa.Table) -> pa.Table:
-        grams = known["gram"].to_numpy().view(np.uint64)
-        order = np.argsort(grams)
-        grams, values = grams[order], known["lp"].to_numpy()[order]
-        sums, sizes = [], []
-        for head, body, ends in zip(texts["head"], texts["body"], texts["ends"]):
-            own = piece_grams(head.as_py(), body.as_py(), ends.as_py())
-            sums.append(float(values[np.searchsorted(grams, own)].sum()))
-            sizes.append(len(own))
+            fold, shard, later = (batch.column(k).to_numpy() for k in range(3))
+            number = np.cumsum(np.r_[0, (fold[1:] != fold[:-1]) | (shard[1:] != shard[:-1])])
+            for n in range(int(number[-1]) + 1 if len(number) else 0):
+                at, to = np.searchsorted(number, [n, n + 1])
+                if (fold[at], shard[at]) != now:
+                    now, heap, tables = (fold[at], shard[at]), [], None
+                first = at + int(np.searchsorted(later[at:to], 1))
+                if first > at:
+                    part = batch.slice(at, first - at)
+                    heap.append((part.column(3).to_numpy(), part.column(4).to_numpy(zero_copy_only=False) == "p", part.column(5).to_numpy(), part.column(6).to_numpy()))
+                if first == to:
+                    continue
+                if tables is None:
+                    tables, heap = Tables(*[np.concatenate(c) for c in zip(*heap)]), []
+                part = batch.slice(first, to - first)
+                for pile, lists in zip(part.column(7).to_pylist(), part.column(8)):
+                    grams = lists.values.to_numpy().view(np.uint64)
+                    lps = tables.log_probability(grams).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([pile], pa.int64()), pa.array([now[1]], pa.int32()), pa.array([lps], pa.list_(pa.float32()))], names=["pile", "shard", "lps"])
+
+    return both.mapInArrow(work, "pile bigint, shard int, lps array<float>")
+
+
+def perplexities(rows: DataFrame, model: DataFrame, size: int = PILE) -> DataFrame:
+    """(id, lang, trusted, n_symbols, log_perplexity) of ``rows`` (id, lang,
+    trusted, fold, text), fold the model that judges; symbols include the end."""
+    shards = max(LEAST_SHARDS, -(-model.count() // SHARD_ENTRIES))
+    made = stored(pieces(rows, shards, size), "pieces")
+    cut = made.filter("shard IS NULL").drop("shard", "grams")
+    found = answers(made.filter("shard IS NOT NULL").select("fold", "shard", "pile", "grams"), sharded(model, shards))
+
+    def judge(texts: pa.Table, known: pa.Table) -> pa.Table:
+        own = [piece_grams(*x) for x in zip(texts["head"].to_pylist(), texts["body"].to_pylist(), texts["ends"].to_pylist())]
+        every = np.concatenate(own)
+        distinct, place = np.unique(every, return_inverse=True)
+        values = np.zeros(len(distinct))
+        lists = {s: v.values.to_numpy() for s, v in zip(known["shard"].to_pylist(), known["lps"])}
+        shard = shard_of(distinct >> np.uint64(16) & np.uint64(0xFFFFFFFF), shards)
+        for s, lps in lists.items():
+            values[shard == s] = lps
+        sizes = np.array([len(x) for x in own])
+        sums = np.add.reduceat(values[place], np.r_[0, np.cumsum(sizes)[:-1]])
         return texts.select(["id", "lang", "trusted", "row"]).append_column("total", pa.array(sums, pa.float64())).append_column("n", pa.array(sizes, pa.int64()))
 
     kind = cut.schema["id"].dataType.simpleString()
-    judged = cut.groupBy("pile").cogroup(answers.groupBy("pile")).applyInArrow(answer, f"id {kind}, lang string, trusted boolean, row bigint, total double, n bigint")
+    judged = cut.groupBy("pile").cogroup(found.groupBy("pile")).applyInArrow(judge, f"id {kind}, lang string, trusted boolean, row bigint, total double, n bigint")
     sums = judged.groupBy("id", "lang", "trusted", "row").agg(F.sum("n").alias("n_symbols"), (-F.sum("total") / F.sum("n")).alias("log_perplexity"))
     return sums.drop("row")
 
