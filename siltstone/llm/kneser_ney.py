@@ -39,6 +39,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -248,14 +249,15 @@ def sharded(model: DataFrame, shards: int) -> DataFrame:
 
 def pieces(rows: DataFrame, shards: int, size: int = PILE) -> DataFrame:
     """``rows`` (id, lang, trusted, fold, text) with texts in pieces of at most
-    ``size`` symbols: (id, lang, trusted, row, pile, fold, head, body, ends),
-    ``head`` the three symbols before a piece. The pieces of a pile are of one
-    fold and, but for the last, hold less than ``size`` symbols. For each pile
-    and shard one more row has its distinct grams: (pile, fold, shard, grams)."""
+    ``size`` symbols, ``head`` the three symbols before a piece. The pieces of a
+    pile are of one fold and, but for the last, hold less than ``size`` symbols.
+    A row has the pieces of a pile that were read together: (pile, fold, and
+    lists who, row, head, length, ends), their texts joined and packed in
+    ``body``. For each pile and shard one more row has its distinct grams:
+    (pile, fold, shard, grams)."""
     plain = rows.select(F.struct("id", "lang", "trusted").alias("who"), "fold", "text")
     who = plain.schema["who"].dataType.simpleString()
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.int64())]
-    names = ["who", "row", "pile", "fold", "head", "body", "ends", "shard", "grams"]
+    kinds = {"pile": pa.int64(), "fold": pa.int32(), "row": pa.list_(pa.int64()), "head": pa.list_(pa.string()), "length": pa.list_(pa.int32()), "ends": pa.list_(pa.bool_()), "body": pa.binary(), "shard": pa.int32(), "grams": pa.list_(pa.int64())}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
@@ -263,19 +265,29 @@ def pieces(rows: DataFrame, shards: int, size: int = PILE) -> DataFrame:
         # by fold: pile, symbols, distinct grams, grams that wait to be made distinct, their number
         open_: dict[int, list] = {}
 
-        def texts(batch: pa.RecordBatch, at: list[int], cut: list[tuple]) -> pa.RecordBatch:
-            columns = [pa.array(c, k) for c, k in zip(zip(*cut), kinds)]
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns, pa.nulls(len(cut), kinds[6]), pa.nulls(len(cut), kinds[7])], names=names)
+        def rows_of(who: list[pa.Array], **columns) -> pa.RecordBatch:
+            size = len(columns["pile"])
+            arrays = [pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(w) for w in who])].astype(np.int32)), pa.concat_arrays(who)) if who else pa.nulls(size, pa.list_(nobody))
+            return pa.RecordBatch.from_arrays([*arrays, lists], names=[*kinds, "who"])
+
+        def texts(batch: pa.RecordBatch, cut: list[tuple]) -> pa.RecordBatch:
+            piles = sorted({c[2] for c in cut})
+            of = [[c for c in cut if c[2] == pile] for pile in piles]
+            return rows_of(
+                [batch.column(0).take(pa.array([c[0] for c in own], pa.int64())) for own in of],
+                pile=piles, fold=[own[0][3] for own in of], row=[[c[1] for c in own] for own in of], head=[[c[4] for c in own] for own in of], length=[[len(c[5]) for c in own] for own in of],
+                ends=[[c[6] for c in own] for own in of], body=[zlib.compress("".join(c[5] for c in own).encode("utf-8", "surrogatepass"), 1) for own in of],
+            )
 
         def asked(fold: int) -> pa.RecordBatch:
             pile, _, mine, wait, _ = open_.pop(fold)
             lists = by_shard(np.unique(np.concatenate([mine, *wait])), shards)
-            columns = [pa.array([c] * shards, k) for c, k in zip((None, pile, fold, None, None, None), kinds)]
-            return pa.RecordBatch.from_arrays([pa.nulls(shards, nobody), *columns, pa.array(range(shards), kinds[6]), pa.array([g.view(np.int64) for g in lists], kinds[7])], names=names)
+            return rows_of([], pile=[pile] * shards, fold=[fold] * shards, shard=range(shards), grams=[g.view(np.int64) for g in lists])
 
         for batch in batches:
             nobody = batch.column(0).type
-            at, cut, held = [], [], 0
+            cut, held = [], 0
             for n, (fold, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
                 body = text.as_py() or ""
                 for start in range(0, len(body) or 1, size):
@@ -284,8 +296,7 @@ def pieces(rows: DataFrame, shards: int, size: int = PILE) -> DataFrame:
                     if fold not in open_:
                         open_[fold], made = [task + made, 0, np.zeros(0, np.uint64), [], 0], made + 1
                     state = open_[fold]
-                    at.append(n)
-                    cut.append((task + read, state[0], fold, head, part, ends))
+                    cut.append((n, task + read, state[0], fold, head, part, ends))
                     grams = piece_grams(head, part, ends)
                     state[1] += len(part) + 1
                     state[3].append(grams)
@@ -296,16 +307,15 @@ def pieces(rows: DataFrame, shards: int, size: int = PILE) -> DataFrame:
                     if state[1] >= size:
                         yield asked(fold)
                     if held >= size:
-                        yield texts(batch, at, cut)
-                        at, cut, held = [], [], 0
+                        yield texts(batch, cut)
+                        cut, held = [], 0
                 read += 1
             if cut:
-                yield texts(batch, at, cut)
+                yield texts(batch, cut)
         for fold in list(open_):
             yield asked(fold)
 
-    made = plain.mapInArrow(work, f"who {who}, row bigint, pile bigint, fold int, head string, body string, ends boolean, shard int, grams array<bigint>")
-    return made.select("who.id", "who.lang", "who.trusted", "row", "pile", "fold", "head", "body", "ends", "shard", "grams")
+    return plain.mapInArrow(work, f"pile bigint, fold int, row array<bigint>, head array<string>, length array<int>, ends array<boolean>, body binary, shard int, grams array<bigint>, who array<{who}>")
 
 
 def by_shard(grams: np.ndarray, shards: int) -> list[np.ndarray]:
@@ -362,11 +372,16 @@ def perplexities(rows: DataFrame, model: DataFrame, size: int = PILE) -> DataFra
     trusted, fold, text), fold the model that judges; symbols include the end."""
     shards = max(LEAST_SHARDS, -(-model.count() // SHARD_ENTRIES))
     made = stored(pieces(rows, shards, size), "pieces")
-    cut = made.filter("shard IS NULL").drop("shard", "grams")
+    cut = made.filter("shard IS NULL").drop("fold", "shard", "grams")
     found = answers(made.filter("shard IS NOT NULL").select("fold", "shard", "pile", "grams"), sharded(model, shards))
 
     def judge(texts: pa.Table, known: pa.Table) -> pa.Table:
-        own = [piece_grams(*x) for x in zip(texts["head"].to_pylist(), texts["body"].to_pylist(), texts["ends"].to_pylist())]
+        own = []
+        for body, *lists in zip(texts["body"], *[texts[c].to_pylist() for c in ("head", "length", "ends")]):
+            text, at = zlib.decompress(body.as_py()).decode("utf-8", "surrogatepass"), 0
+            for head, length, ends in zip(*lists):
+                own.append(piece_grams(head, text[at : at + length], ends))
+                at += length
         every = np.concatenate(own)
         distinct, place = np.unique(every, return_inverse=True)
         values = np.zeros(len(distinct))
@@ -376,9 +391,10 @@ def perplexities(rows: DataFrame, model: DataFrame, size: int = PILE) -> DataFra
             values[shard == s] = lps
         sizes = np.array([len(x) for x in own])
         sums = np.add.reduceat(values[place], np.r_[0, np.cumsum(sizes)[:-1]])
-        return texts.select(["id", "lang", "trusted", "row"]).append_column("total", pa.array(sums, pa.float64())).append_column("n", pa.array(sizes, pa.int64()))
+        who = texts["who"].combine_chunks().flatten()
+        return pa.table({**dict(zip(("id", "lang", "trusted"), who.flatten())), "row": texts["row"].combine_chunks().flatten(), "total": pa.array(sums, pa.float64()), "n": pa.array(sizes, pa.int64())})
 
-    kind = cut.schema["id"].dataType.simpleString()
+    kind = rows.schema["id"].dataType.simpleString()
     judged = cut.groupBy("pile").cogroup(found.groupBy("pile")).applyInArrow(judge, f"id {kind}, lang string, trusted boolean, row bigint, total double, n bigint")
     sums = judged.groupBy("id", "lang", "trusted", "row").agg(F.sum("n").alias("n_symbols"), (-F.sum("total") / F.sum("n")).alias("log_perplexity"))
     return sums.drop("row")
