@@ -52,6 +52,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As :func:`stored`, in as many buckets of ``key`` as a shuffle has
+    partitions: grouping by ``key`` then needs no shuffle of what is stored."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    table = f"siltstone_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    back = spark.table(table)
+    back._stored_at = path
+    return back
+
+
 def drop_stored(df: DataFrame) -> None:
     """Remove what :func:`stored` wrote, once nothing reads it any more."""
     remove(df.sparkSession, df._stored_at)
