@@ -48,6 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.shared import stored_by
 from .common import stored
 
 ORDER = 4
@@ -371,7 +372,7 @@ def perplexities(rows: DataFrame, model: DataFrame, size: int = PILE) -> DataFra
     """(id, lang, trusted, n_symbols, log_perplexity) of ``rows`` (id, lang,
     trusted, fold, text), fold the model that judges; symbols include the end."""
     shards = max(LEAST_SHARDS, -(-model.count() // SHARD_ENTRIES))
-    made = stored(pieces(rows, shards, size), "pieces")
+    made = stored_by(pieces(rows, shards, size), "pieces", "pile")  # so that texts need no shuffle to meet their answers
     cut = made.filter("shard IS NULL").drop("fold", "shard", "grams")
     found = answers(made.filter("shard IS NOT NULL").select("fold", "shard", "pile", "grams"), sharded(model, shards))
 
