@@ -77,8 +77,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.round_trip(_read(spark, sf_dir, "pages")).filter("ok")
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ import base64
 import hashlib
 import math
 import os
+import random
 import re
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -289,14 +291,61 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
         at = sizes[0] + sizes[1] - 20
         broken[at : at + 4] = b"\xff\x00\xff\x00"
         found = list(warc.salvage(bytes(broken)))
-        assert [f[2]["warc-record-id"][-2] for f in found if f[2]] == ["0", "2", "3"]
-        gap = [f for f in found if f[2] is None]
+        assert [f[3]["warc-record-id"][-2] for f in found if f[3]] == ["0", "2", "3"]
+        gap = [f for f in found if f[3] is None]
         assert [(g[0], g[1]) for g in gap] == [(sizes[0], sizes[1])]
         cut = list(warc.salvage(data[: len(data) - 7]))
-        assert sum(1 for f in cut if f[2]) == 3 and cut[-1][2] is None
+        assert sum(1 for f in cut if f[3]) == (3 if data[:4] == b"WARC" else 4) and cut[-1][3] is None  # a member whose end is cut decodes
     assert zlib.decompress(warc.EMPTY_MEMBER, 31) == b""
 
 
+def warc_record(k, size=50):
+    payload = random.Random(k).randbytes(size)
+    return warc.record_bytes(k, "u", payload, base64.b32encode(hashlib.sha1(payload).digest()).decode(), None)
+
+
+def test_warc_salvage_within_members():
+    records = [warc_record(k, 400) for k in range(100)]
+    numbers = lambda found: [int(f[3]["warc-record-id"][len("<urn:page:") : -1]) for f in found if f[3]]
+    whole = b"".join(records)
+    member = warc.gzip_member(whole)
+    assert numbers(warc.salvage(member)) == list(range(100)) and all(f[3] for f in warc.salvage(member))
+    for cut in (10, 200):  # cut short: all but the last records
+        found = list(warc.salvage(member[:-cut]))
+        assert numbers(found) == list(range(100)) if cut == 10 else numbers(found)[:99] == list(range(99))
+        assert found[-1][2:4] == (None, None) and (found[-1][0], found[-1][1]) == (0, len(member) - cut)
+    at = len(b"".join(records[:40])) + 600  # one bad record in a sound member: 99 come back
+    bad = warc.gzip_member(whole[:at] + b"???" + whole[at + 3 :])
+    found = list(warc.salvage(bad + warc.gzip_member(warc_record(100))))
+    assert numbers(found) == [k for k in range(101) if k != 40]
+    assert [(f[1], f[2]) for f in found if f[3] is None] == [(len(records[40]), len(b"".join(records[:40])))]
+    hurt = bytearray(member)  # damaged in the middle, a sound member behind
+    hurt[len(hurt) // 2 : len(hurt) // 2 + 40] = bytes(40)
+    found = list(warc.salvage(bytes(hurt) + warc.gzip_member(warc_record(100))))
+    got = numbers(found)
+    assert got[-1] == 100 and got[:-1] == list(range(len(got) - 1)) and len(got) > 40
+    assert sum(f[1] for f in found if f[2] is None) == len(hurt) + len(warc.gzip_member(warc_record(100)))
+    assert list(warc.salvage(b"")) == [] and [f[3] for f in warc.salvage(b"no record")] == [None]
+
+
+def test_warc_reader_is_linear(spark, tmp_path):
+    data = b"".join(warc.gzip_member(warc_record(k, 4000)) for k in range(25_000))
+    assert len(data) > 100_000_000
+    began = time.time()
+    assert sum(1 for f in warc.salvage(data) if f[3]) == 25_000
+    assert time.time() - began < 30
+    # files are bounded by bytes, one record beyond
+    pages = spark.range(3).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.base64(F.encode(F.repeat(F.sha2(F.col("id").cast("string"), 512), F.lit(1)), "utf-8")).alias("html"))
+    warc.write_archives(pages.coalesce(1), f"{tmp_path}/w")
+    assert warc.read_archives(spark, f"{tmp_path}/w").filter("ok").count() == 3
+
+
+def test_warc_clashing_columns_and_null_ids(spark):
+    pages = spark.createDataFrame([(1, "u", "a", b"p", "d", 9), (1, "u", "a", b"p", "d", 9), (None, "v", "a", None, None, None), (2, "w", "b", None, None, None)], "page_id long, url string, html string, payload binary, digest string, first int")
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    assert got == [(0, "revisit", 1), (1, "response", None), (1, "response", None), (2, "response", None)]
+
+
 # 9 SentencePiece
 def test_sentencepiece_is_the_library(spark):
     import sentencepiece
