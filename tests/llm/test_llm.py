@@ -276,6 +276,42 @@ def test_secrets(spark):
     assert secret_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_with_many_matches(spark):
+    draw = random.Random(1)
+    kinds = [lambda: f"token={draw.randbytes(8).hex()}A{draw.randrange(10)}", lambda: draw.randbytes(20).hex(), lambda: "AKIA" + "Z" * draw.randrange(11, 20), lambda: "aB3" * 9, lambda: "é😀 plain"]
+    texts = [" ".join(draw.choice(kinds)() for _ in range(n)) for n in (3, 300, 700)]
+    many = " ".join(draw.randbytes(20).hex() for _ in range(50_000))
+    every = docs(spark, [*texts, many])
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(every)).collect()}
+    for n, text in enumerate([*texts, many]):
+        assert got[n].base_sha256 == hashlib.sha256(base_by_hand(text).encode()).hexdigest()
+    assert got[3].n_hex == 50_000
+    clean = {r.doc_id: r.text for r in secret_scan.redact_live(every).collect()}
+    assert clean[3] == " ".join(["<SECRET>"] * 50_000)
+    for n, text in enumerate(texts):
+        live = sorted((s["start"], s["end"]) for s in secret_scan.scan(every).filter(F.col("doc_id") == n).first().found if s["live"])
+        out, at = "", 0
+        for start, end in live:
+            if start >= at:
+                out += text[at:start] + "<SECRET>"
+            at = max(at, end)
+        assert clean[n] == out + text[at:]
+    # a mixed token counts unless a base span touches it
+    mixed = {tuple(map(int, x.split(":")[1:])) for x in got[1].spans.split(",") if x.startswith("mixed")}
+    base = [tuple(map(int, x.split(":")[1:])) for x in got[1].spans.split(",") if not x.startswith("mixed")]
+    looks = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}", texts[1]) if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+    assert mixed == {m for m in looks if not any(a < m[1] and m[0] < b for a, b in base)} and mixed
+
+
+def test_secrets_of_clashing_and_missing_columns(spark):
+    row = ("password = abcdefgh12", "v")
+    df = spark.createDataFrame([(1, *row), (1, *row), (2, None, "v"), (None, *row)], "doc_id long, text string, value string").withColumn("row", F.lit(3)).withColumn("heavy", F.lit(1)).withColumn("base", F.lit("b"))
+    got = sorted((r.doc_id or 0, r.n_assign, r.n_live) for r in secret_scan.digest(secret_scan.scan(df)).collect())
+    assert got == [(0, 1, 1), (1, 1, 1), (1, 1, 1), (2, 0, 0)]
+    out = secret_scan.redact_live(df)
+    assert out.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, "<SECRET>"), (1, "<SECRET>"), (1, "<SECRET>"), (2, None)]
+
+
 # 8 WARC
 def test_warc_round_trip_and_salvage(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/\n", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (3, None, None), (4, "u", ""), (None, "u", "z")], "page_id long, url string, html string")
