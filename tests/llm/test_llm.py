@@ -43,9 +43,30 @@ def test_mixing_margins_and_edges(spark):
     rows = mixing.prepared(d, "doc_id", "text", "source", "lang", None)
     cells = rows.groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     goals = spark.createDataFrame([("en", 0.25), ("de", 0.25), ("fr", 0.25), ("es", 0.25)], "value string, share double")
-    raked = mixing.rake(cells, {"lang": goals}, 3)
+    raked = mixing.rake(cells, {"lang": goals})
     total = raked.agg(F.sum("weight")).first()[0]
     assert all(abs(r[1] / total - 0.25) < 1e-9 for r in raked.groupBy("lang").agg(F.sum("weight")).collect())
+    assert raked.first().residual < 1e-9
+    sources = cells.select("source").distinct().withColumn("share", F.when(F.col("source") == "src0", 0.5).otherwise(0.1)).withColumnRenamed("source", "value")
+    both = mixing.rake(cells, {"lang": goals, "source": sources})
+    want = {(r.source, r.lang, r.topic): float(r.tokens) for r in cells.collect()}
+    lang, share = {r.value: 0.25 for r in goals.collect()}, {r.value: r.share for r in sources.collect()}
+    share = {k: v / sum(share.values()) for k, v in share.items()}
+    whole = sum(want.values())
+    for _ in range(400):
+        for k, goal in ((1, lang), (0, share)):
+            have = {}
+            for c, w in want.items():
+                have[c[k]] = have.get(c[k], 0) + w
+            want = {c: w * goal[c[k]] * whole / have[c[k]] for c, w in want.items()}
+    assert all(abs(r.weight - want[r.source, r.lang, r.topic]) < 1e-6 * whole for r in both.collect()) and both.first().residual < 1e-8
+    # targets that no weights meet: the residual says so
+    odd = spark.createDataFrame([("a", "x", 1), ("b", "y", 1)], "source string, lang string, tokens long").withColumn("topic", F.lit(""))
+    half = lambda a, b: spark.createDataFrame([(a, 0.5), (b, 0.5)], "value string, share double")
+    odd_goals = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "value string, share double"), "lang": half("x", "y")}
+    assert abs(mixing.rake(odd, odd_goals).first().residual - 4) < 1e-6
+    shares = mixing.calibrate(spark.createDataFrame([(n, 10, 10.0 * 2**n) for n in range(8)], "cell int, tokens long, weight double"), 0.6).collect()
+    assert abs(sum(r.probability * r.tokens for r in shares) - 48) < 1e-4 and max(r.probability for r in shares) == 1
     assert mixing.mix(docs(spark, ODD)).count() == len(ODD)
     assert mixing.mix(docs(spark, [])).count() == 0
     assert mixing.sampled(docs(spark, ODD), share=1.0).columns == docs(spark, []).columns
