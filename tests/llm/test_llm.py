@@ -179,7 +179,7 @@ def test_toxicity(spark):
     assert hit / sum(x.toxic for x in r) > 0.85 and hit / sum(x.predicted for x in r) > 0.9
     chars = toxicity.CharModel(model.gram_counts)
     for odd, word in (("1d10t", "idiot"), ("st.u.p.i.d", "stupid"), ("stuuuupid", "stupid"), ("tr@sh", "trash"), ("m0r0n", "moron")):
-        assert word in toxicity.readings(odd, chars) or odd == "1d10t"
+        assert word in toxicity.readings(odd, chars)
     assert "stupid" in toxicity.spaced("so s t u p i d it is", chars)
     scores = toxicity.score_documents(docs(spark, ODD), model)
     assert scores.count() == len(ODD) and scores.filter("predicted = 1").count() == 0
@@ -204,6 +204,61 @@ def test_toxicity_reads_every_disguise(spark):
     assert [r.text for r in kept.collect()] == ["letter follow", ""]
 
 
+def cheapest_by_hand(chars, observed, letter_gone):
+    """Every path through the lattice, one by one."""
+    best = math.inf
+
+    def walk(at, state, spent):
+        nonlocal best
+        if at == len(observed):
+            best = min(best, spent + (chars.cost(state + " ") if state[1] != " " else 0.0))
+            return
+        c = observed[at]
+        blank, mark = c in toxicity.BLANKS, c in toxicity.SEPARATORS
+        letters = [] if blank or (mark and c != "'") else [(c, 6.0 if mark else 5.0 if c in toxicity.LOOKS_LIKE else 0.0)]
+        letters += [(x, 1.0) for x in toxicity.LOOKS_LIKE.get(c, "")] if not blank and not mark else []
+        for x, price in letters:
+            walk(at + 1, state[1] + x, spent + price + chars.cost(state + x))
+            if x == state[1]:
+                walk(at + 1, state, spent + 1.2)
+        if blank and state[1] != " ":
+            walk(at + 1, "  ", spent + 0.3 + chars.cost(state + " "))
+        gone = 0.3 if blank or mark else toxicity.MARK_GONE if c in toxicity.LOOKS_LIKE else letter_gone
+        if gone < math.inf:
+            walk(at + 1, state, spent + gone)
+
+    walk(0, "  ", 0.0)
+    return best
+
+
+def test_restoring_is_exhaustive_search(spark, monkeypatch):
+    words = ["idiot", "stupid", "trash", "scum", "letter", "moron", "follow", "hill", "illicit"]
+    chars = toxicity.CharModel(toxicity.grams(w for w in words for _ in range(50)))
+    draw = random.Random(6)
+    seen = [0, 0]
+    for beam in (16, 2):  # with two states the first pass leaves most out, and the second has to make up for it
+        monkeypatch.setattr(toxicity, "BEAM", beam)
+        for _ in range(150):
+            observed = "".join(draw.choice("idtsl1!|0@$3 .-'aor7") for _ in range(draw.randrange(1, 8)))
+            for gone in (math.inf, 12.0):
+                want = cheapest_by_hand(chars, observed, gone)
+                cost, text, exact = chars.search(observed, gone, math.inf)
+                if want == math.inf:
+                    continue
+                seen[exact] += 1
+                if not exact:
+                    cost, text, _ = chars.search(observed, gone, cost)
+                assert abs(cost - want) < 1e-9, observed
+    assert min(seen) > 50
+
+
+def test_toxicity_fit_of_repeated_ids(spark):
+    df = docs(spark, ["you idiot", "fine day", "you idiot again", "lovely day"]).unionByName(docs(spark, ["you idiot", "fine day"] * 3).withColumn("doc_id", F.lit(0).cast("long")))
+    labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (2, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    sample, positive, negative = toxicity.training_sample(df.withColumn("y", F.lit("clash")), labels, "doc_id", "text", "toxic", None)
+    assert sorted((r.id, r.y) for r in sample.collect()) == [(0, 1), (1, 0), (2, 1), (3, 0)] and (positive, negative) == (2, 2)
+
+
 # 5 urls
 def test_urls(spark):
     pages = spark.createDataFrame(
