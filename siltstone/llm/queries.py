@@ -14,10 +14,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def model_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
+#: A vocabulary file by its name; each worker looks up where it is.
+MODEL = "piece_bpe_32k.model"
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,26 +44,28 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The rules (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Hosts whose pages make up the list of urls to block.
-LISTED_HOSTS = "(^|[.])(cheap-pills|casino|free-money|adult)[.]"
-
+# Parts of the urls of the list to block.
+SPAM_NAMES, SPAM_PREFIXES, SPAM_TLDS, SPAM_LANGS = ["cheap-pills", "casino-win", "free-bets", "adult-x", "spam-farm"], ["", "www.", "m.", "blog."], ["com", "net", "org"], ["en", "de", "fr", "es"]
+#: Article numbers of a host's sections are below it, and every so many of them is listed, from the host's own number on.
+SPAM_PAGES, SPAM_STEP = 10_000, 3
 
-def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _read(spark, sf_dir, "pages")
-    listed = pages.filter(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select("url")
-    return url_filter.judge(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
+def blocklist(spark: SparkSession) -> DataFrame:
+    """The list of urls to block: by a rule of its own, from no table. Some of
+    its urls are of pages, most are not, and some spam pages are not on it."""
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    hosts = len(SPAM_NAMES) * len(SPAM_PREFIXES) * len(SPAM_TLDS)
+    each = SPAM_PAGES // SPAM_STEP
+    n = F.col("id")
+    host, lang = F.floor(n / (each * 4)), F.floor(n / each)
+    name, prefix, tld = pick(SPAM_NAMES, host), pick(SPAM_PREFIXES, F.floor(host / len(SPAM_NAMES))), pick(SPAM_TLDS, F.floor(host / (len(SPAM_NAMES) * len(SPAM_PREFIXES))))
+    number = n % each * SPAM_STEP + host % SPAM_STEP
+    return spark.range(hosts * 4 * each).select(F.concat(F.lit("http://"), prefix, name, F.lit(".example."), tld, F.lit("/"), pick(SPAM_LANGS, lang), F.lit("/"), number.cast("string")).alias("url"))
 
-#: Spam hosts of the driver pages, as whole labels. The list of LISTED_HOSTS is
-#: fixed by op5_url_filter's SQL and decides no verdict on the driver tables.
-SPAM_HOSTS = "(^|[.])(cheap-pills|casino-win|free-bets|adult-x|spam-farm)[.]"
 
-
-def op5_url_filter_spam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op5_url_filter, with a list that decides verdicts outside the rules."""
-    pages = _read(spark, sf_dir, "pages")
-    listed = pages.filter(url_filter.host_of(F.col("url")).rlike(SPAM_HOSTS)).select("url")
-    return url_filter.judge(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict", "maybe", "listed")
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(_read(spark, sf_dir, "pages"), blocklist(spark), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.encode_documents(_read(spark, sf_dir, "documents"), model_path(), keep_ids=False)
+    return sentencepiece_bpe.encode_documents(_read(spark, sf_dir, "documents"), MODEL, keep_ids=False)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +95,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mixing, op2_embedding_dedup, op3_quality, op4_toxicity, op5_url_filter, op5_url_filter_spam, op6_ann, op7_secrets, op8_warc, op9_sentencepiece, op10_simhash, pipeline]
+    named = [op1_mixing, op2_embedding_dedup, op3_quality, op4_toxicity, op5_url_filter, op6_ann, op7_secrets, op8_warc, op9_sentencepiece, op10_simhash, pipeline]
     return {f.__name__: f for f in named}

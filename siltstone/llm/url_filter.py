@@ -4,15 +4,19 @@ exact join with the listed urls.
 The Bloom filter is a table of 512-bit blocks, eight longs each, built by a
 partial ``bit_or`` aggregate; a url's bits all lie in one block, so a probe is
 one lookup. The table is broadcast while its size, known from the list's
-count, is within ``BROADCAST_BYTES``, and joined by block number beyond. Only
-urls that pass go on to the exact join, which removes the false positives.
+count, is within ``BROADCAST_BYTES``, and joined by block number beyond. Pages
+are parsed once; what they were parsed into and whether they may be listed is
+stored, a few dozen bytes a page. Only urls that pass go on to the exact join,
+which removes the false positives.
 
 Rules (host, path) fit their host and its subdomains if the path starts with
 the rule's; the longest fitting rule decides, else the list does.
 
 Defined results: a null url or one without ``://`` has an empty host and path,
-fits no rule and is not listed; equal rows get equal verdicts; an empty list
-blocks nothing; an empty table gives an empty result; extra columns are ignored.
+fits no rule and is not listed; rows without an id are judged like others;
+equal rows get equal verdicts, and rules of equal length go by host; urls of any
+length are taken whole; an empty list blocks nothing; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,7 +98,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]]
     for h in hit[1:]:
         all_hit = all_hit & h
     probed = source.withColumn("at", block).join(table, F.col("at") == F.col("block"), "left").withColumn("maybe", F.col("url").isNotNull() & F.coalesce(all_hit, F.lit(False)))
-    probed = probed.select("id", "host", "path", "url", "fit", "maybe")
+    probed = stored(probed.select("id", "host", "path", F.when(F.col("maybe"), F.col("url")).alias("url"), "fit", "maybe"), "probed")
     passed = probed.filter("maybe").join(urls.select("url", F.lit(True).alias("listed")), "url", "left").select("id", "host", "path", "fit", "maybe", F.coalesce("listed", F.lit(False)).alias("listed"))
     stopped = probed.filter("not maybe").select("id", "host", "path", "fit", "maybe", F.lit(False).alias("listed"))
     by_list = F.when(F.col("listed"), "block").otherwise("allow")
