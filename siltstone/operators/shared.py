@@ -25,10 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
+def shared_path(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A new path; with ``outer`` the innermost :func:`scratch` leaves it."""
     path = f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    for paths in _open[-1 - outer :][:1] if len(_open) > outer else []:
+        paths.append(path)
     return path
 
 
@@ -42,10 +43,10 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     and a lost executor costs no recomputation."""
-    path = shared_path(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name, outer)
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._stored_at = path
