@@ -18,7 +18,9 @@ Defined results: a null text counts as empty, and a text without words has
 fingerprint zero, linked like any other; equal texts have equal fingerprints;
 an empty table gives an empty result; extra columns are ignored; rows with a
 null id get a result too and never are a component's id unless all its ids are
-null.
+null. Texts of any length are taken whole. Where documents are dropped, a group
+keeps the row of its smallest id, null last, of the least text digest where
+texts share that id, and one of the rows that share both.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_blocks, components, stored
@@ -61,8 +63,8 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp long) for each row; narrow."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(id, fp long, same: digest of the text) for each row; narrow."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_digest(F.col(text_col)).alias("same"))
     kind = source.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,9 +72,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 prints = np.array([fingerprint(t.as_py(), shingle, seed) for t in part.column(1)], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64)), part.column(2)], names=["id", "fp", "same"])
 
-    return source.mapInArrow(work, f"id {kind}, fp bigint")
+    return source.mapInArrow(work, f"id {kind}, fp bigint, same binary")
+
+
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -277,13 +283,9 @@ def links(nodes: DataFrame, plan: list[tuple[list[int], int]], limit: int) -> Da
     return sorted_rows.mapInArrow(work, "a bigint, b bigint")
 
 
-def simhash_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, limit: int = 4, seed: int = 42
-) -> DataFrame:
-    """Columns: ``id_col``, fingerprint (16 hex digits), component_id (smallest
-    id reachable by links of at most ``limit`` differing bits), n_same (rows of
-    the same fingerprint), kept (its id is the component's)."""
-    prints = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+def labelled_prints(prints: DataFrame, limit: int) -> DataFrame:
+    """(fp, root, low, n_same) of the stored :func:`fingerprints`: ``root`` the
+    same for all that links connect, ``low`` the fingerprint's smallest id."""
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n_same")), "nodes")
     count, both = bit_statistics(nodes)
     if count:
@@ -291,7 +293,17 @@ def simhash_components(
         roots = stored(components(edges, "simhash"), "roots")
     else:
         roots = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", "n_same", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low", "n_same")
+
+
+def simhash_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, limit: int = 4, seed: int = 42
+) -> DataFrame:
+    """Columns: ``id_col``, fingerprint (16 hex digits), component_id (smallest
+    id reachable by links of at most ``limit`` differing bits), n_same (rows of
+    the same fingerprint), kept (its id is the component's)."""
+    prints = stored(fingerprints(docs, id_col, text_col, shingle, seed).drop("same"), "fingerprints")
+    rooted = labelled_prints(prints, limit)
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     labelled = rooted.join(least, "root").select("fp", "n_same", "component_id")
     return (
@@ -304,3 +316,25 @@ def simhash_components(
             F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
         )
     )
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, limit: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, all their columns, without near copies: one row of
+    each component. Decided by (id, digest of the text), so rows that share an
+    id stay apart if their texts are no copies."""
+    prints = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    # rows that share id and text are one key; copies are combined before they meet
+    keys = prints.groupBy("fp", "id", "same").agg(F.count(F.lit(1)).alias("rows"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "same")
+    best = keys.groupBy("fp").agg(F.min(order).alias("best"))
+    rooted = labelled_prints(prints, limit).select("fp", "root").join(best, "fp")
+    winner = rooted.groupBy("root").agg(F.min("best").alias("winner"))
+    of_print = rooted.join(winner, "root").select("fp", "winner")
+    judged = keys.join(of_print, "fp").withColumn("wins", F.col("id").eqNullSafe(F.col("winner.id")) & (F.col("same") == F.col("winner.same")))
+    gone = stored(judged.filter("NOT wins OR rows > 1").select(F.col("id").alias("of"), F.col("same").alias("text_of"), F.col("wins").alias("again")), "near-copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("same"))
+    match = F.col("id").eqNullSafe(F.col("of")) & (F.col("same") == F.col("text_of"))
+    kept = rows.join(gone, match, "left_anti")
+    if gone.filter("again").limit(1).count():
+        kept = kept.unionByName(rows.join(gone.filter("again"), match, "left_semi").dropDuplicates(["id", "same"]))
+    return kept.select("row.*")

@@ -519,7 +519,60 @@ def test_simhash(spark):
             assert any(len(gone & set(b)) <= t for b, t in plan)
 
 
+def kept_by_hand(rows):
+    """Of rows (id, text) the (id, text) kept by SimHash, one a component."""
+    prints = np.array([fingerprint_by_hand(t) for _, t in rows], np.uint64)
+    root = np.arange(len(rows))
+    i, j = np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None]) <= 4)
+    root = embedding_dedup._joined(root, i, j)
+    best: dict = {}
+    for (number, text), r in zip(rows, root):
+        key = (number is None, number or 0, hashlib.md5((text or "").encode()).digest())
+        if r not in best or key < best[r][0]:
+            best[r] = key, (number, text or "")
+    return sorted(((n is None, n or 0, t) for _, (n, t) in best.values()))
+
+
 # pipeline
+NASTY = "doc_id long, text string, lang string, source string, n_chars long, gone string, row int, id int, same string, kept boolean, weight double"
+
+
+def nasty(spark):
+    """Repeated, null and shared ids, null and empty texts, clashing columns."""
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (None, "quite another text with no copy anywhere at all"), (None, "quite another text with no copy anywhere at all"), (7, None), (8, ""), (9, " "), (9, "password = hunter2hunter2 for the one and only machine here"), (10, "you stupid idiot scum"), (11, "long " * 30_000)]
+    return spark.createDataFrame([(n, t, None if n == 7 else "en", None if n == 8 else f"s{(n or 0) % 2}", len(t or ""), "g", 1, 2, "s", False, 0.5) for n, t in rows], NASTY)
+
+
+def test_pipeline_stages_with_nasty_rows(spark):
+    import corpus_pipeline
+
+    d = nasty(spark)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    every = sorted(map(key, d.collect()))
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out[name] = stage(spark, d, SF)
+        assert name == "sentencepiece" or out[name].columns == d.columns, name
+        assert stage(spark, d.limit(0), SF).count() == 0, name
+    assert sorted(map(key, out["simhash"].collect())) == kept_by_hand([(r.doc_id, r.text) for r in d.collect()])
+    kept = sorted(map(key, out["simhash"].collect()))
+    assert len(kept) == 7 and (False, 5, "one two three four five six seven eight nine") in kept
+    # every row stays, live-looking secrets go, null texts stay null
+    redacted = out["secrets"].collect()
+    want = sorted((n, i, re.sub("password = [a-z0-9]+", "<SECRET>", t)) for n, i, t in every)
+    assert sorted(map(key, redacted)) == want and sum(r.text is None for r in redacted) == 1
+    # toxicity: rows go by the score of their own text, whatever their ids
+    from siltstone.llm.queries import HELD_OUT
+
+    model = toxicity.fit(d, spark.read.parquet(f"{SF}/labels.parquet"), usable=~F.expr(HELD_OUT.format("id")))
+    score = model.scorer()
+    assert sorted(map(key, out["toxicity"].collect())) == [k for k in every if score(k[2]) < 0.3]
+    mixed = mixing.mix(d).filter("kept")
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out["mixing"].collect()) == sorted((r.doc_id is None, r.doc_id or 0) for r in mixed.collect())
+    assert out["sentencepiece"].count() == d.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
