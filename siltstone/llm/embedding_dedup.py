@@ -12,17 +12,27 @@ pair counts in its first common filter only, so nothing is counted twice and no
 pair leaves the task: a bucket returns counts for its members and a spanning
 forest of its links. Buckets above a size are cut into blocks.
 
-Equal vectors of one label collapse to a node first. The code's size grows with
+Equal vectors of one label collapse to a node first, and vectors that make up a
+thousandth of all rows or more find their node by a broadcast of a thousand rows
+at most. Each node is decoded once and stored with its list of filters; bucket
+sizes and the rows that are dealt to buckets are both read from that table. A
+vector travels to each of its filters, some 28 with the parameters as they are:
+its pairs are verified where they meet, since the pairs themselves, within dense
+groups, would be far more. The code's size grows with
 the number of nodes so that buckets stay of one expected size, and the height
 follows from the wanted expected number of common filters of a pair at exactly
 the threshold (``shared``; a pair is missed with chance about exp(-shared), less
 the closer it is).
 
+Up to seven dimensions caps tell little apart: there is one filter, a bucket of
+each label, cut into blocks.
+
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and rows with a null label, link with nothing: n_links 0, their own
 component, kept. Vectors of different lengths never link. Repeated rows are
-vectors of their own and link. An empty table gives an empty result; extra
-columns are ignored.
+vectors of their own and link; a null id is never a component's unless all its
+ids are null. A cosine equal to the threshold links. An empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +53,8 @@ SHARED = 16.0
 #: Independent rotations; their codes share out the directions.
 ROTATIONS = 12
 SEED = 20
+#: A vector of so large a share of all rows finds its node by broadcast.
+HEAVY_SHARE = 1 / 1000
 
 
 def _tail(dim: int, height: np.ndarray | float) -> np.ndarray:
@@ -138,20 +150,14 @@ def links(nodes: DataFrame, dim: int, count: int, cosine: float, shared: float,
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
                 rows, filters = code.decode(_unit(part.column(1), dim))
-                if not len(rows):
-                    continue
                 per = np.bincount(rows, minlength=part.num_rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per)].astype(np.int32)), pa.array(filters.astype(np.int32)))
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), pa.array(filters), part.column(2).take(take), part.column(3).take(take), part.column(1).take(take), lists.take(take)],
-                    names=["label", "filter", "node", "weight", "vec", "filters"],
-                )
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["label", "vec", "node", "weight", "filters"])
 
     label = nodes.schema["label"].dataType.simpleString()
     vec = nodes.schema["vec"].dataType.simpleString()
-    rows = nodes.select("label", "vec", "node", "weight").mapInArrow(code_rows, f"label {label}, filter bigint, node bigint, weight bigint, vec {vec}, filters array<int>")
-    dealt = bucket_blocks(rows, ["label", "filter"], "node")
+    decoded = stored(nodes.select("label", "vec", "node", "weight").mapInArrow(code_rows, f"label {label}, vec {vec}, node bigint, weight bigint, filters array<int>"), "decoded")
+    dealt = bucket_blocks(decoded.select("label", F.explode("filters").alias("filter"), "node", "weight", "vec", "filters"), ["label", "filter"], "node")
     keys = ["label", "filter", "lo", "hi"]
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "own", "node", "weight", "vec", "filters")
 
@@ -247,6 +253,18 @@ def _pairs(unit: np.ndarray, cosine: float, block: int = 1024) -> Iterator[tuple
             yield rows, columns, unit[rows] @ unit[columns].T >= cosine
 
 
+def joined_back(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (id, label, vec) with what is known of their vector. At most
+    1 / HEAVY_SHARE vectors make up that share of all rows each; they are
+    broadcast, and their rows are not shuffled."""
+    known = stored(known, "known")
+    most = (known.agg(F.sum("weight")).first()[0] or 0) * HEAVY_SHARE
+    heavy = F.broadcast(known.filter(F.col("weight") > F.greatest(F.lit(most), F.lit(1.0))).select(F.col("label").alias("of"), F.col("vec").alias("vec_of"), F.struct("n_links", "component").alias("heavy")))
+    met = rows.join(heavy, (F.col("label") == F.col("of")) & (F.col("vec") == F.col("vec_of")), "left").drop("of", "vec_of")
+    rest = met.filter("heavy IS NULL").drop("heavy").join(known, ["label", "vec"])
+    return met.filter("heavy IS NOT NULL").select("id", "heavy.*").unionByName(rest.select("id", "n_links", "component"))
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -277,8 +295,8 @@ def near_duplicates(
         .select("label", "vec", "low", "weight", F.coalesce("gained", F.lit(0)).alias("gained"), F.coalesce("root", "node").alias("root"))
     )
     least = labelled.groupBy("root").agg(F.min("low").alias("component"))
-    known = labelled.join(least, "root").select("label", "vec", (F.col("gained") + F.col("weight") - 1).alias("n_links"), "component")
-    linked = source.filter("ok").join(known, ["label", "vec"]).select("id", "n_links", "component")
+    known = labelled.join(least, "root").select("label", "vec", "weight", (F.col("gained") + F.col("weight") - 1).alias("n_links"), "component")
+    linked = joined_back(source.filter("ok").select("id", "label", "vec"), known).select("id", "n_links", "component")
     alone = source.filter("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.unionByName(alone).select(
         F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.col("component").cast("long").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")

@@ -94,6 +94,8 @@ def test_embedding_links(spark):
     want = [(int(ids[k]), int(link[k].sum()), int(least[root[k]])) for k in range(len(ok))]
     rest = [(i, 0, i) for i, v, label in rows if not (label is not None and v and len(v) == 32 and np.isfinite(v).all() and any(v))]
     assert got == sorted(want + rest)
+    clash = df.selectExpr("*", "1 id", "2 node", "3 weight", "4 vec", "5 filter", "6 heavy", "7 ok")
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(clash).select("vec_id", "n_links", "component_id").collect())) == got
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
