@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -124,3 +125,90 @@ def list_literal(s: Column, kind: str = "array<int>") -> Column:
 def spaced_numbers(s: Column) -> Column:
     """An array from a printed array of blank-separated numbers."""
     return F.transform(F.filter(F.split(F.regexp_replace(s, r"[\[\]]", ""), r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
+
+
+def species_of_uniprot(description: Column) -> Column:
+    """Species of a UniProtKB entry name, empty if there is none: the first
+    word up to ``/`` as ``db|accession|name_SPECIES``."""
+    word = F.substring_index(F.get(F.filter(F.split(description, r"\s+"), lambda x: x != ""), F.lit(0)), "/", 1)
+    form = r"^(?:tr|sp)\|[A-Za-z0-9]{6,10}(?:_\d)?\|[A-Za-z0-9]+_([A-Za-z0-9]{1,5})(?:_\d+)?$"
+    return F.coalesce(F.regexp_extract(word, form, 1), F.lit(""))
+
+
+def species_of_uniref(description: Column) -> Column:
+    """The part after the second and last ``_`` before ``/`` of a UniRef100
+    description, else empty."""
+    head = F.substring_index(description, "/", 1)
+    fits = description.startswith("UniRef100") & F.contains(description, F.lit("/")) & (F.size(F.split(head, "_")) == 3)
+    return F.coalesce(F.when(fits, F.substring_index(head, "_", -1)), F.lit(""))
+
+
+#: Species by the data base that pairs are searched in.
+SPECIES = {"uniprot": species_of_uniprot, "uniref100": species_of_uniref}
+
+
+def species_of(data_base: str) -> Callable[[Column], Column]:
+    for prefix, found in SPECIES.items():
+        if data_base.startswith(prefix):
+            return found
+    raise NotImplementedError(f"no species rule for {data_base}")
+
+
+def entry_and_chain(hit: Column) -> Column:
+    """Struct (entry, chain) of a hit's name ``1abc_A``, which it begins with;
+    the query fails for any other."""
+    name = F.regexp_extract(hit, r"^([a-zA-Z\d]{4}_[a-zA-Z0-9.]+)", 1)
+    sound = F.when(name == "", F.raise_error(F.concat(F.lit("no entry and chain in "), hit)).cast("string")).otherwise(name)
+    return F.struct(F.lower(F.substring(sound, 1, 4)).alias("entry"), F.substring(sound, 6, 1 << 30).alias("chain"))
+
+
+def bias_of(items: Column) -> Column:
+    """Map of ``name:value`` items; the query fails for an item without a colon
+    or a number. Of repeated names the last counts."""
+    wrong = lambda x: F.raise_error(F.concat(F.lit("not name:value: "), x))
+    name = lambda x: F.when(F.contains(x, F.lit(":")), F.trim(F.substring_index(x, ":", 1))).otherwise(wrong(x).cast("string"))
+    value = lambda x: F.coalesce(F.trim(F.regexp_extract(x, r"(?s)^[^:]*:(.*)$", 1)).try_cast("double"), wrong(x).cast("double"))
+    last = F.filter(items, lambda x, i: ~F.exists(F.slice(items, i + 2, F.size(items)), lambda y: F.trim(F.substring_index(y, ":", 1)) == F.trim(F.substring_index(x, ":", 1))))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(name(x), value(x))))
+
+
+def contig_parts(contig: Column) -> Column:
+    """Parts of a contig such as ``A1-10,5-8 B3,0``: array of structs (segment,
+    chain, low, high). A part that begins with a letter names residues of that
+    chain; others are free lengths, chain null; ``0`` ends a segment."""
+    part = lambda n, p: F.struct(
+        n.alias("segment"), F.when(p.rlike("^[A-Za-z]"), F.substring(p, 1, 1)).alias("chain"),
+        F.regexp_extract(p, r"(\d+)", 1).cast("int").alias("low"), F.coalesce(F.nullif(F.regexp_extract(p, r"-(\d+)$", 1), F.lit("")), F.regexp_extract(p, r"(\d+)", 1)).cast("int").alias("high"),
+    )
+    return F.flatten(F.transform(F.split(F.trim(contig), r"\s+"), lambda s, n: F.transform(F.split(s, ","), lambda p: part(n, p))))
+
+
+def contig_length(parts: Column) -> Column:
+    """Struct (low, high): residues that a contig's parts make at least and at most."""
+    size = lambda p, free: F.when(p["chain"].isNotNull(), p["high"] - p["low"] + 1).otherwise(free)
+    add = lambda free: F.aggregate(parts, F.lit(0), lambda s, p: s + size(p, p[free]))
+    return F.struct(add("low").alias("low"), add("high").alias("high"))
+
+
+def virtual_cb(n: Column, ca: Column, c: Column) -> Column:
+    """The virtual CB of a residue's three backbone points, arrays of three."""
+    # Weights of b x c, b and c, for b = CA - N and c = C - CA.
+    weights = (-0.58273431, 0.56802827, -0.54067466)
+    g = lambda a, i: F.get(a, F.lit(i)).cast("double")
+    b, e = [g(ca, i) - g(n, i) for i in range(3)], [g(c, i) - g(ca, i) for i in range(3)]
+    cross = [b[j] * e[k] - b[k] * e[j] for j, k in ((1, 2), (2, 0), (0, 1))]
+    return F.array(*[F.lit(weights[0]) * cross[i] + F.lit(weights[1]) * b[i] + F.lit(weights[2]) * e[i] + g(ca, i) for i in range(3)])
+
+
+def bin_centres_weight(probabilities: Column, low: float, high: float, tokens: Column) -> Column:
+    """Sum of probability / (1 + (bin centre / norm)^2), norm by ``tokens``."""
+    norm = F.lit(1.24) * F.cbrt(F.greatest(tokens, F.lit(19)) - 15) - F.lit(1.8)
+    width = F.lit(high - low) / F.size(probabilities)
+    share = lambda p, i: p / (1 + F.pow((F.lit(low) + (i + 0.5) * width) / norm, F.lit(2.0)))
+    return F.aggregate(F.transform(probabilities, share), F.lit(0.0), lambda s, x: s + x)
+
+
+def softmax(logits: Column) -> Column:
+    top = F.array_max(logits).cast("double")
+    powers = F.transform(logits, lambda v: F.exp(v.cast("double") - top))
+    return F.get(F.transform(F.array(powers), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, x: s + x))), F.lit(0))

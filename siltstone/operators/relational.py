@@ -24,6 +24,17 @@ def pipeline(*steps: Transform) -> Transform:
     return run
 
 
+def bound(step: Callable[..., DataFrame], *args, **kwargs) -> Transform:
+    """A transform of ``step`` with all arguments but the table given."""
+    return lambda df: step(df, *args, **kwargs)
+
+
+def each_variant(df: DataFrame, step: Callable[[DataFrame, int], DataFrame], variants: int, name: str = "variant") -> DataFrame:
+    """The rows of ``step(df, k)`` for each of a few variants k, marked ``name``:
+    a union, so that the variants run side by side."""
+    return union_all(*[step(df, k).withColumn(name, F.lit(k)) for k in range(variants)])
+
+
 def null_tokens(df: DataFrame, columns: list[str], tokens: list[str]) -> DataFrame:
     """Strings among ``tokens`` become null."""
     return df.withColumns({c: F.when(~F.col(c).isin(tokens), F.col(c)) for c in columns})

@@ -14,15 +14,14 @@ def component(i):
     return F.get("embedding", F.lit(i)).cast("double")
 
 
-@query("""SELECT vec_id, round(-0.58273431 * (b2 * c3 - b3 * c2) + 0.56802827 * b1 - 0.54067466 * c1 + x1, 6) AS cb FROM (SELECT vec_id, embedding[1]::DOUBLE AS x1,
-embedding[1]::DOUBLE - embedding[4]::DOUBLE AS b1, embedding[2]::DOUBLE - embedding[5]::DOUBLE AS b2, embedding[3]::DOUBLE - embedding[6]::DOUBLE AS b3,
-embedding[7]::DOUBLE - embedding[1]::DOUBLE AS c1, embedding[8]::DOUBLE - embedding[2]::DOUBLE AS c2, embedding[9]::DOUBLE - embedding[3]::DOUBLE AS c3 FROM embeddings)""")
+@query("""SELECT vec_id, [round(-0.58273431 * (b2 * c3 - b3 * c2) + 0.56802827 * b1 - 0.54067466 * c1 + y1, 6), round(-0.58273431 * (b3 * c1 - b1 * c3) + 0.56802827 * b2 - 0.54067466 * c2 + y2, 6),
+round(-0.58273431 * (b1 * c2 - b2 * c1) + 0.56802827 * b3 - 0.54067466 * c3 + y3, 6)] AS cb FROM (SELECT vec_id, embedding[4]::DOUBLE AS y1, embedding[5]::DOUBLE AS y2, embedding[6]::DOUBLE AS y3,
+embedding[4]::DOUBLE - embedding[1]::DOUBLE AS b1, embedding[5]::DOUBLE - embedding[2]::DOUBLE AS b2, embedding[6]::DOUBLE - embedding[3]::DOUBLE AS b3,
+embedding[7]::DOUBLE - embedding[4]::DOUBLE AS c1, embedding[8]::DOUBLE - embedding[5]::DOUBLE AS c2, embedding[9]::DOUBLE - embedding[6]::DOUBLE AS c3 FROM embeddings)""")
 def virtual_point(spark, d):
-    """First coordinate of the virtual CB of (N, CA, C)."""
-    b = [component(i) - component(3 + i) for i in range(3)]
-    c = [component(6 + i) - component(i) for i in range(3)]
-    x = -0.58273431 * (b[1] * c[2] - b[2] * c[1]) + 0.56802827 * b[0] - 0.54067466 * c[0] + component(0)
-    return t(spark, d, "embeddings").select("vec_id", F.round(x, 6).alias("cb"))
+    """The virtual CB of (N, CA, C)."""
+    part = lambda k: F.slice("embedding", 1 + 3 * k, 3)
+    return t(spark, d, "embeddings").select("vec_id", F.transform(X.virtual_cb(part(0), part(1), part(2)), lambda x: F.round(x, 6)).alias("cb"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2))), 6) AS distance FROM embeddings")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arrays, groups, rows, scans, structures  # noqa: F401
+from . import arrays, files, groups, rows, scans, scores, structures  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -121,3 +121,54 @@ def tblout_e_values(rows: DataFrame) -> DataFrame:
     hits = rows.filter(~F.col("value").rlike(r"^\s*(#|$)")).select("line", part[0].alias("name"), F.get(part, F.lit(4)).try_cast("double").alias("e_value"))
     last = hits.groupBy("name").agg(F.max_by("e_value", "line").alias("e_value"))
     return last.filter("name <> 'query'").unionByName(rows.sparkSession.createDataFrame([("query", 0.0)], "name string, e_value double"))
+
+
+def fasta_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, description, sequence) of FASTA files. A record is what lies
+    between two lines that begin with ``>``, so files of any size are split.
+    Sequence lines are trimmed and joined, blank ones skipped, and so are
+    records that are blank altogether. A file's first line that is not blank is
+    a header, with or without its mark."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.replace("value", F.lit("\r"), F.lit("")).alias("value"))
+    # only the first record of a file still has its mark
+    body = F.regexp_replace("value", r"^>", "")
+    rows = rows.filter(F.trim(F.regexp_replace(body, r"\s", "")) != "")
+    line = F.split(body, "\n")
+    rest = F.transform(F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0))), lambda x: F.trim(x))
+    return rows.select("file", F.trim(F.get(line, F.lit(0))).alias("description"), F.array_join(rest, "").alias("sequence"))
+
+
+def proteinnet_residues(files: DataFrame) -> DataFrame:
+    """(file, index, residue, known, n, ca, c) of ProteinNet ``text``: the
+    backbone points of each residue in Angstrom (the text has picometres).
+    Letters other than the twenty become X; without a mask every residue counts
+    as known."""
+    section = lambda tag: F.regexp_extract("text", rf"(?s)(?:^|\n)\[{tag}\]\n(.*?)(?:\n\[[A-Z]+\]|$)", 1)
+    first_line = lambda s: F.trim(F.split(s, "\n")[0])
+    axes = F.transform(F.slice(F.split(section("TERTIARY"), "\n"), 1, 3), lambda row: F.transform(F.filter(F.split(row, r"\s+"), lambda x: x != ""), lambda x: x.cast("double") / 100))
+    rows = files.select("file", letters(first_line(section("PRIMARY"))).alias("residues"), letters(first_line(section("MASK"))).alias("mask"), axes.alias("axes"))
+    each = rows.select("file", "mask", "axes", F.posexplode("residues").alias("index", "residue"))
+    at = lambda k: F.transform("axes", lambda axis: F.get(axis, F.col("index") * 3 + k))
+    known = F.coalesce(F.get("mask", F.col("index")) == "+", F.lit(True))
+    return each.select("file", "index", F.when(F.col("residue").rlike("^[ARNDCQEGHILKMFPSTWYV]$"), F.col("residue")).otherwise("X").alias("residue"), known.alias("known"), at(0).alias("n"), at(1).alias("ca"), at(2).alias("c"))
+
+
+def mol2_molecules(files: DataFrame) -> DataFrame:
+    """(file, atoms): heavy atoms of the first molecule of MOL2 ``text``; null
+    where it is malformed or flat. The element is the atom type's part before
+    the dot."""
+    block = F.regexp_extract("text", r"(?s)@<TRIPOS>ATOM\n(.*?)(?:\n?@<TRIPOS>|$)", 1)
+    part = F.transform(F.filter(F.split(block, "\n"), lambda x: F.trim(x) != ""), lambda x: F.split(F.trim(x), r"\s+"))
+    number = lambda p, k: F.get(p, F.lit(k)).try_cast("double")
+    atom = lambda p: F.struct(*[number(p, 2 + k).alias(a) for k, a in enumerate("xyz")], F.split(F.coalesce(F.get(p, F.lit(5)), F.lit("")), r"\.")[0].alias("symbol"))
+    every = F.transform(part, atom)
+    sound = (F.size(every) > 0) & F.forall(every, lambda a: a["x"].isNotNull() & a["y"].isNotNull() & a["z"].isNotNull() & (a["symbol"] != "")) & F.exists(every, lambda a: a["z"] != 0)
+    return files.select("file", F.when(sound, F.filter(every, lambda a: a["symbol"] != "H")).alias("atoms"))
+
+
+def molecules(mol2: DataFrame, sdf: DataFrame, key: Column) -> DataFrame:
+    """(molecule, atoms): from the MOL2 file, from the SDF file where that is
+    absent or malformed. ``key`` names the molecule of a ``file``."""
+    a = mol2_molecules(mol2).select(key.alias("molecule"), F.col("atoms").alias("first"))
+    b = sdf_molecules(sdf).select(key.alias("molecule"), F.col("atoms").alias("second"))
+    return a.join(b, "molecule", "full").select("molecule", F.coalesce("first", "second").alias("atoms"))

@@ -3,9 +3,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import exprs as X
+from siltstone.operators import nested as nested_ops
 from siltstone.operators import ordered, relational, sampling, spatial
 from siltstone.plans.queries import queries
 
@@ -137,3 +139,22 @@ def test_minhash_groups_equal_texts(spark):
     for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
         if r.text.strip():
             assert got[r.doc_id] == got[first.setdefault(r.text, r.doc_id)]
+
+
+def test_wrong_names_and_biases_fail(spark):
+    assert one(spark, X.entry_and_chain(F.lit("1aBc_A.2 x"))).asDict() == {"entry": "1abc", "chain": "A.2"}
+    assert one(spark, X.bias_of(F.array(F.lit("ALA:-0.5"), F.lit(" PRO : 1"), F.lit("ALA:2")))) == {"ALA": 2.0, "PRO": 1.0}
+    for wrong in (X.entry_and_chain(F.lit("nothing here")), X.bias_of(F.array(F.lit("ALA"))), X.bias_of(F.array(F.lit("ALA:x")))):
+        with pytest.raises(Exception, match="no entry|not name:value"):
+            one(spark, wrong)
+    with pytest.raises(NotImplementedError):
+        X.species_of("other")
+
+
+def test_flatten_and_merge(spark):
+    nested = spark.sql("SELECT 1 AS a, named_struct('b', 2, 'c', named_struct('d', 'x', 'e.f', 3)) AS s")
+    assert nested_ops.flatten_columns(nested).columns == ["a", "s:b", "s:c:d", "s:c:e.f"]
+    assert tuple(nested_ops.flatten_columns(nested).first()) == (1, 2, "x", 3)
+    df = spark.sql("SELECT * FROM VALUES (1, 2, map('a', 1)), (1, 1, map('a', 5, 'b', 6)), (2, 1, map()) AS t(k, o, m)")
+    assert {(r.k, r.key): r["values"] for r in nested_ops.merge_maps(df, ["k"], "m", ["o"]).collect()} == {(1, "a"): [5, 1], (1, "b"): [6]}
+    assert {(r.k, r.key): r["values"] for r in nested_ops.merge_maps(df, ["k"], "m", ["o"], F.array_max).collect()} == {(1, "a"): 5, (1, "b"): 6}

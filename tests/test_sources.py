@@ -2,7 +2,9 @@ import gzip
 
 import pytest
 
-from siltstone.sources import mmcif, sinks, texts
+from pyspark.sql import functions as F
+
+from siltstone.sources import mmcif, sinks, tabular, texts
 
 CIF = """data_1abc
 # a comment
@@ -96,3 +98,38 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.append_errors(errors, str(tmp_path / "e"), ["pdb", "chain"])
     assert spark.read.json(str(tmp_path / "e")).count() == 2
+
+
+def test_csv_types_are_inferred(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('id,name,value\n1,"a ""b"", c",2.5\n2,NA,\n')
+    got = tabular.typed_csv(spark, str(tmp_path / "t.csv"))
+    assert [f.dataType.simpleString() for f in got.schema] == ["int", "string", "double"]
+    assert sorted(map(tuple, got.collect())) == [(1, 'a "b", c', 2.5), (2, "NA", None)]
+    assert [tuple(r) for r in tabular.text_csv(spark, str(tmp_path / "t.csv")).orderBy("id").collect()] == [("1", 'a "b", c', "2.5"), ("2", "NA", None)]
+
+
+def test_fasta(spark, tmp_path):
+    (tmp_path / "a.fasta").write_text("\n\n>one first \r\nAC\r\n\r\n  GT \n>two\n>three\nAA\nCC")
+    (tmp_path / "b.fasta").write_text(">four\nTT\n")
+    (tmp_path / "c.fasta").write_text("")
+    got = sorted((r.description, r.sequence) for r in texts.fasta_records(spark, str(tmp_path)).collect())
+    assert got == [("four", "TT"), ("one first", "ACGT"), ("three", "AACC"), ("two", "")]
+
+
+def test_proteinnet(spark, tmp_path):
+    numbers = lambda k: " ".join(str(100 * (9 * k + i)) for i in range(9))
+    (tmp_path / "p").write_text(f"[ID]\nx\n[PRIMARY]\nABK\n[TERTIARY]\n{numbers(0)}\n{numbers(1)}\n{numbers(2)}\n[MASK]\n+-+\n")
+    got = texts.proteinnet_residues(texts.whole(spark, str(tmp_path))).orderBy("index").collect()
+    assert [(r.residue, r.known) for r in got] == [("A", True), ("X", False), ("K", True)]
+    assert got[1].ca == [4.0, 13.0, 22.0] and got[2].c == [8.0, 17.0, 26.0]
+
+
+MOL2 = "@<TRIPOS>MOLECULE\nm\n@<TRIPOS>ATOM\n 1 C1 0.0 1.0 {z} C.ar 1 L 0.1\n 2 H1 1 1 1 H\n 3 CL 2 2 2 Cl\n@<TRIPOS>BOND\n 1 1 2 ar\n@<TRIPOS>MOLECULE\n@<TRIPOS>ATOM\n 1 N 9 9 9 N.3\n"
+SDF = "m\n p\n c\n  2  1  0  0\n    1.0000    2.0000    3.0000 O   0  0\n    1.0000    2.0000    4.0000 H   0  0\n  1  2  1\nM  END\n$$$$\n"
+
+
+def test_mol2_and_its_fallback(spark):
+    mol2 = spark.createDataFrame([("x/a.mol2", MOL2.format(z=0.5)), ("x/b.mol2", MOL2.format(z="bad"))], "file string, text string")
+    sdf = spark.createDataFrame([("x/a.sdf", SDF), ("x/b.sdf", SDF), ("x/c.sdf", SDF)], "file string, text string")
+    got = {r.molecule: [(a.symbol, a.x, a.z) for a in r.atoms] for r in texts.molecules(mol2, sdf, F.regexp_extract("file", "/([a-z]+)\\.", 1)).collect()}
+    assert got == {"a": [("C", 0.0, 0.5), ("Cl", 2.0, 2.0)], "b": [("O", 1.0, 3.0)], "c": [("O", 1.0, 3.0)]}
