@@ -200,15 +200,24 @@ def virtual_cb(n: Column, ca: Column, c: Column) -> Column:
     return F.array(*[F.lit(weights[0]) * cross[i] + F.lit(weights[1]) * b[i] + F.lit(weights[2]) * e[i] + g(ca, i) for i in range(3)])
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def bin_centres_weight(probabilities: Column, low: float, high: float, tokens: Column) -> Column:
     """Sum of probability / (1 + (bin centre / norm)^2), norm by ``tokens``."""
     norm = F.lit(1.24) * F.cbrt(F.greatest(tokens, F.lit(19)) - 15) - F.lit(1.8)
-    width = F.lit(high - low) / F.size(probabilities)
-    share = lambda p, i: p / (1 + F.pow((F.lit(low) + (i + 0.5) * width) / norm, F.lit(2.0)))
-    return F.aggregate(F.transform(probabilities, share), F.lit(0.0), lambda s, x: s + x)
+    scale = F.struct((F.lit(low) / norm).alias("low"), (F.lit(high - low) / F.size(probabilities) / norm).alias("width"))
+
+    def total(s: Column) -> Column:
+        ratio = lambda i: s["low"] + (i + 0.5) * s["width"]
+        return F.aggregate(F.transform(probabilities, lambda p, i: p / (1 + ratio(i) * ratio(i))), F.lit(0.0), lambda x, y: x + y)
+
+    return bind(scale, total)
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits).cast("double")
-    powers = F.transform(logits, lambda v: F.exp(v.cast("double") - top))
-    return F.get(F.transform(F.array(powers), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, x: s + x))), F.lit(0))
+    powers = lambda top: F.transform(logits, lambda v: F.exp(v.cast("double") - top))
+    shares = lambda e: bind(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda whole: F.transform(e, lambda v: v / whole))
+    return bind(bind(F.array_max(logits).cast("double"), powers), shares)

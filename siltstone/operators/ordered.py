@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import dense_number
+
 
 def islands(df: DataFrame, keys: list[str], order: list[Column], value: Column) -> DataFrame:
     """Adds ``island``: the number, from 1, of each run of equal values."""
@@ -47,16 +49,21 @@ def length_buckets(df: DataFrame, length: str, spread: int = 100) -> DataFrame:
 
 def batch_assign(df: DataFrame, bucket: str, length: str, order: list[Column], most: int, budget: int, replicas: int) -> DataFrame:
     """Adds ``batch``, ``replica`` within each bucket; rows beyond the last full
-    batch of all replicas are dropped."""
-    w = Window.partitionBy(bucket)
-    size = F.least(F.lit(most), F.floor(F.lit(budget) / (F.max(length).over(w) * F.max(length).over(w))) + 1).cast("long")
-    sized = df.withColumn("__size", size).withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__rn", F.row_number().over(Window.partitionBy(bucket).orderBy(*order)) - 1)
+    batch of all replicas are dropped. Places within a bucket come from one
+    numbering of all rows, so a large bucket is not one task's."""
+    numbered = dense_number(df, [F.col(bucket), *order], "__at")
+    of = df.groupBy(F.col(bucket).alias("__bucket")).agg(F.count(F.lit(1)).alias("__n"), F.max(length).alias("__longest"))
+    first = numbered.groupBy(F.col(bucket).alias("__bucket")).agg(F.min("__at").alias("__first"))
+    size = F.least(F.lit(most), F.floor(F.lit(budget) / (F.col("__longest") * F.col("__longest"))) + 1).cast("long")
+    # a row a bucket, whose number the longest row bounds
+    known = of.join(first, "__bucket").withColumn("__size", size).drop("__longest")
+    sized = numbered.join(known, F.col(bucket) == F.col("__bucket")).withColumn("__rn", F.col("__at") - F.col("__first"))
     full = F.floor(F.col("__n") / (F.col("__size") * replicas)) * F.col("__size") * replicas
     return (
         sized.filter(F.col("__rn") < full)
         .withColumn("batch", F.floor(F.col("__rn") / (F.col("__size") * replicas)).cast("long"))
         .withColumn("replica", (F.floor(F.col("__rn") / F.col("__size")) % replicas).cast("long"))
-        .drop("__size", "__n", "__rn")
+        .drop("__size", "__n", "__rn", "__at", "__first", "__bucket")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import squared_distance
+from .relational import dense_number
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius: float, keys: list[str] | None = None, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -16,7 +17,8 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, keys: list[st
     Both sides have ``axes`` and the columns ``keys``; other columns must differ
     in name. Cells of one radius: each left row goes to its own and the
     neighbouring cells, so an equi-join on the cell replaces a nested loop, and
-    the exact distance removes the rest."""
+    the exact distance removes the rest. A crowded cell's pairs are all within
+    two radii, so most of them are results; adaptive execution splits its join."""
     keys = keys or []
     cell = [F.floor(F.col(a) / F.lit(radius)).cast("long") for a in axes]
     offsets = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
@@ -30,14 +32,33 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, keys: list[st
     return joined.withColumn("distance", F.sqrt(total)).filter(F.col("distance") <= radius).drop(*axes, *[f"__l{x}" for x in axes], *[f"__c{i}" for i in range(len(axes))])
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, keys: list[str], query_id: str, point_id: str, query_vec: str, point_vec: str) -> DataFrame:
-    """The ``k`` nearest points of each query within the same ``keys``: a
-    grouped pair join and a group limit, ties to the smaller id."""
-    pairs = queries.join(points, keys).withColumn("d2", squared_distance(F.col(query_vec), F.col(point_vec)))
+def knn(queries: DataFrame, points: DataFrame, k: int, keys: list[str], query_id: str, point_id: str, query_vec: str, point_vec: str, shares: int = 8) -> DataFrame:
+    """The ``k`` nearest points of each query within the same ``keys`` (a
+    structure), itself included if it is among them; ties to the smaller id.
+
+    Queries of a structure are dealt to ``shares`` tasks, and its points go to
+    each, so one large structure is not one task's; each task keeps its ``k``
+    best (a group limit before the shuffle)."""
+    dealt = queries.withColumn("__share", F.pmod(F.xxhash64(query_id), F.lit(shares)).cast("int"))
+    each = points.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    pairs = dealt.join(each, [*keys, "__share"]).withColumn("d2", squared_distance(F.col(query_vec), F.col(point_vec)))
     order = Window.partitionBy(query_id).orderBy("d2", point_id)
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*keys, query_id, point_id, "d2", "rank")
 
 
+def nearest_centre(rows: DataFrame, centres: DataFrame, row_id: str, signs: str, centre_id: str, centre_signs: str, block: int = 1000) -> DataFrame:
+    """(row, cluster, agree): of any number of centres the one that most columns
+    agree with, the smaller id on ties. Centres meet the rows in blocks of
+    bounded size, and a row's blocks are joined by a partial maximum."""
+    numbered = dense_number(centres.select(F.col(centre_id).alias("__id"), F.col(centre_signs).alias("__signs")), [F.col("__id")], "__at").withColumn("__block", F.floor(F.col("__at") / block))
+    listed = numbered.groupBy("__block").agg(F.collect_list(F.struct("__id", "__signs")).alias("__centres"))
+    blocks = -(-centres.count() // block)
+    each = rows.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(blocks, 1) - 1).cast("long")))).join(listed, "__block")
+    agree = lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda v: v)).cast("long")
+    best = F.array_max(F.transform("__centres", lambda c: F.struct(agree(F.col(signs), c["__signs"]).alias("agree"), (-c["__id"]).alias("minus"))))
+    return each.groupBy(row_id).agg(F.max(best).alias("__best")).select(row_id, (-F.col("__best.minus")).alias("cluster"), F.col("__best.agree").alias("agree"))
+
+
 def lddt(pairs: DataFrame, keys: list[str], true: Column, predicted: Column, radius: float = 15.0) -> DataFrame:
     """Share of the true distances below ``radius`` kept within 0.5, 1, 2, 4."""
     error = F.abs(true - predicted)

@@ -79,15 +79,21 @@ def with_torsion(df: DataFrame, a: Column, b: Column, c: Column, d: Column, name
     return local.withColumn(name, F.struct((z / size).alias("sin"), (y / size).alias("cos"))).drop("__frame", "__local")
 
 
-def clash_removals(records: DataFrame, structure: str, first: str, second: str, hits_first: str, hits_second: str, atoms_first: str, atoms_second: str, core_first: str, core_second: str, limit: float = 0.3) -> DataFrame:
+def clash_removals(records: DataFrame, structure: str, first: str, second: str, hits_first: str, hits_second: str, atoms_first: str, atoms_second: str, core_first: str, core_second: str, limit: float = 0.3, bonded: DataFrame | None = None) -> DataFrame:
     """(structure, chain): the chains that a scan of the clashing pairs removes.
 
     ``records`` has one row for each unordered pair of chains, smaller first,
     with the atoms of each that clash with the other. Pairs are taken in order;
     one of whose chains is gone already is skipped. A pair above ``limit`` on
     either side loses the chain outside the core, else that of larger share,
-    else of fewer atoms, else of larger id. The scan is a fold over a
-    structure's pairs above the limit, the only rows that are gathered."""
+    else of fewer atoms, else of larger id. Chains that are one molecule do not
+    clash: ``bonded`` has (structure, chain, chain) of those that covalent bonds
+    join, in either order. The scan is a fold over a structure's pairs above the
+    limit, the only rows that are gathered."""
+    if bonded is not None:
+        s, a, b = bonded.columns
+        joined = bonded.select(F.col(s).alias(structure), F.least(a, b).alias(first), F.greatest(a, b).alias(second))
+        records = records.join(joined, [structure, first, second], "left_anti")
     share_i, share_j = F.col(hits_first) / F.col(atoms_first), F.col(hits_second) / F.col(atoms_second)
     core_i, core_j = F.coalesce(F.col(core_first), F.lit(False)), F.coalesce(F.col(core_second), F.lit(False))
     loses_i = (

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import exprs as X
 from siltstone.operators import nested as nested_ops
-from siltstone.operators import ordered, relational, sampling, spatial
+from siltstone.operators import graph, ordered, relational, sampling, spatial
+from siltstone.operators.quantiles import exact_quantiles
 from siltstone.plans.queries import queries
 
 SF = "/root/testdata/sf0.001"
@@ -158,3 +159,43 @@ def test_flatten_and_merge(spark):
     df = spark.sql("SELECT * FROM VALUES (1, 2, map('a', 1)), (1, 1, map('a', 5, 'b', 6)), (2, 1, map()) AS t(k, o, m)")
     assert {(r.k, r.key): r["values"] for r in nested_ops.merge_maps(df, ["k"], "m", ["o"]).collect()} == {(1, "a"): [5, 1], (1, "b"): [6]}
     assert {(r.k, r.key): r["values"] for r in nested_ops.merge_maps(df, ["k"], "m", ["o"], F.array_max).collect()} == {(1, "a"): 5, (1, "b"): 6}
+
+
+def test_exact_quantiles(spark):
+    draw = np.random.default_rng(3)
+    big = draw.normal(size=60_000).round(3)
+    small = draw.normal(size=7)
+    rows = spark.createDataFrame([("big", float(v)) for v in big] + [("small", float(v)) for v in small] + [("one", 2.0), ("one", None), (None, 5.0)], "k string, v double")
+    wanted = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}
+    got = {r.k: [r[n] for n in wanted] for r in exact_quantiles(rows, ["k"], "v", wanted).collect()}
+    assert set(got) == {"big", "small", "one", None} and got["one"] == [2.0] * 5 and got[None] == [5.0] * 5
+    for k, values in (("big", big), ("small", small)):
+        assert np.allclose(got[k], np.quantile(values, list(wanted.values())), atol=1e-12)
+    # the lines above the bracket's accuracy go through the sketch
+    hot = spark.range(100_000).select(F.lit("k").alias("k"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000).cast("double").alias("v"))
+    want = np.quantile([7.0 if i % 3 == 0 else i % 1000 for i in range(100_000)], [0.3, 0.5])
+    assert np.allclose(list(exact_quantiles(hot, ["k"], "v", {"x": 0.3, "y": 0.5}).select("x", "y").first()), want)
+
+
+def test_components_are_union_find(spark):
+    got = {r.node: r.component for r in queries()["components"](spark, SF).collect()}
+    orders = {r.o_orderkey: r.o_custkey * 2 for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect():
+        a, b = find(orders[r.l_orderkey]), find(r.l_suppkey * 2 + 1)
+        root[max(a, b)] = min(a, b)
+    assert got == {x: find(x) for x in list(root)}
+    # many components, chains and a hub
+    edges = [(i, i + 1) for i in range(0, 90) if i % 10] + [(1000, 1000 + i) for i in range(1, 200)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    root.clear()
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert {r.node: r.component for r in graph.components(df.select("a").union(df.select("b")), df).collect()} == {x: find(x) for x in list(root)}

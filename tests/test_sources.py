@@ -94,6 +94,10 @@ def test_sinks(spark, tmp_path):
         sinks.overwrite_with_backup(now.selectExpr("id + 1 AS id"), at)
     assert sorted(r.id for r in spark.read.parquet(at).collect()) == [2, 3, 4]
     assert sorted(r.id for r in spark.read.parquet(at + "_backup").collect()) == [0, 1, 2]
+    # cut off between the renames: the table set aside comes back
+    (tmp_path / "t").rename(tmp_path / "t_aside")
+    sinks.recover(spark, at)
+    assert sorted(r.id for r in spark.read.parquet(at).collect()) == [2, 3, 4] and not (tmp_path / "t_aside").exists()
     errors = spark.createDataFrame([("a", None, "x"), ("a", None, "x"), ("b", "1", "y")], "pdb string, chain string, message string")
     for _ in range(2):
         sinks.append_errors(errors, str(tmp_path / "e"), ["pdb", "chain"])

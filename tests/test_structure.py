@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import structure
+from siltstone.operators import sidechain, structure
 
 
 def test_atom37(spark):
@@ -80,3 +80,50 @@ def test_clash_removals_query(spark):
                 near[i, j].add(a)
     want = scanned(sorted(atoms), atoms, {k: len(v) for k, v in near.items()}, {3})
     assert sorted(r.chain for r in queries()["clash_removals"](spark, sf).collect()) == sorted(want) and want
+
+
+def test_bonded_chains_do_not_clash(spark):
+    names = ["structure", "i", "j", "hits_i", "hits_j", "atoms_i", "atoms_j", "core_i", "core_j"]
+    rows = spark.createDataFrame([(1, "A", "B", 9, 9, 10, 20, False, False), (1, "A", "C", 9, 9, 10, 20, False, False)], names)
+    bonds = spark.createDataFrame([(1, "B", "A")], "structure long, a string, b string")
+    assert {tuple(r) for r in structure.clash_removals(rows, *names).collect()} == {(1, "A")}
+    alone = structure.clash_removals(rows.filter("j = 'B'"), *names, bonded=bonds)
+    assert alone.count() == 0 and structure.clash_removals(rows, *names, bonded=bonds).count() == 1
+
+
+def test_sidechain_features(spark):
+    got = {(r.residue, r.atom): r for r in sidechain.feature_table(spark).collect()}
+    f = lambda residue, atom: got[residue, atom].features
+    # SP2, aromatic, in a ring: the rings' atoms
+    for residue, number, atoms in (("PHE", 4, "CG CD1 CD2 CE1 CE2 CZ"), ("HIS", 6, "ND1 NE2"), ("TRP", 18, "CG CD1 CD2 CE2 CE3 NE1 CH2 CZ2 CZ3")):
+        for atom in atoms.split():
+            assert f(residue, atom)[1] == f(residue, atom)[7] == f(residue, atom)[8] == 1 and got[residue, atom].number == number
+    assert f("CYS", "SG")[10] == 0.5 and f("LYS", "NZ")[9] == 1 and f("LYS", "NZ")[2] == 1
+    assert [got["PHE", a].slot for a in "CG CD1 CD2 CE1 CE2 CZ".split()] == [0, 7, 8, 15, 16, 27] and got["LYS", "NZ"].slot == 30 and got["CYS", "SG"].slot == 5
+    assert f("ASN", "ND2")[1] == 1 and f("ASN", "ND2")[9] == 1 and f("HIS", "ND1")[9] == 0 and f("TRP", "CD2")[11] == 3 / 5
+    wide = sidechain.with_features(spark.createDataFrame([(0,), (5,), (4,), (20,), (None,), (99,)], "n int"), "n").collect()
+    total = {r.n: sum(map(sum, r.features)) if r.features else 0 for r in wide}
+    assert total[0] == total[5] == total[20] == total[None] == total[99] == 0 and total[4] > 0
+    assert len(wide) == 6 and all(len(r.features) == 32 and len(r.features[0]) == 12 for r in wide if r.n in (0, 4, 5, 20))
+
+
+def test_slots_and_chi(spark):
+    draw = random.Random(2)
+    rows = []
+    for residue, atoms in sidechain.RESIDUE_ATOMS.items():
+        slots = [[draw.uniform(-5, 5) for _ in range(3)] if a in atoms.split() else None for a in structure.ATOM_SLOTS]
+        rows.append((residue, slots))
+    rows.append(("UNK", [None] * 37))
+    df = spark.createDataFrame(rows, "residue string, slots array<array<double>>")
+    packed = df.withColumn("own", sidechain.to_14(F.col("residue"), F.col("slots")))
+    back = packed.withColumn("again", sidechain.to_37(F.col("residue"), F.col("own"))).collect()
+    for r in back:
+        assert r.again == r.slots and len(r.own) == 14
+        named = dict(zip(structure.ATOM_SLOTS, r.slots))
+        assert [p for p in r.own if p] == [named[a] for a in sidechain.RESIDUE_ATOMS.get(r.residue, "").split()]
+    chi = {r.residue: r for r in sidechain.with_chi(df, "residue", "slots").collect()}
+    count = {r: sum(chi[r][f"chi{k}"] is not None for k in (1, 2, 3, 4)) for r in chi}
+    assert (count["ALA"], count["GLY"], count["SER"], count["LYS"], count["ARG"], count["PHE"], count["MET"], count["UNK"]) == (0, 0, 1, 4, 4, 2, 3, 0)
+    lys = dict(zip(structure.ATOM_SLOTS, dict(rows)["LYS"]))
+    four = [F.array(*[F.lit(x) for x in lys[a]]) for a in ("CA", "CB", "CG", "CD")]
+    assert structure.with_torsion(spark.range(1), *four, "t").first().t == chi["LYS"].chi2
