@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import bucket_blocks, components, stored
 
 BITS = 64
+#: A table of so many keys of rows to drop (about 64 bytes each) is broadcast.
+BROADCAST_KEYS = 1_000_000
 #: Within a bucket up to this size, each two members are compared by shifts.
 SMALL_BUCKET = 48
 
@@ -334,6 +336,8 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gone = stored(judged.filter("NOT wins OR rows > 1").select(F.col("id").alias("of"), F.col("same").alias("text_of"), F.col("wins").alias("again")), "near-copies")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("same"))
     match = F.col("id").eqNullSafe(F.col("of")) & (F.col("same") == F.col("text_of"))
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
     kept = rows.join(gone, match, "left_anti")
     if gone.filter("again").limit(1).count():
         kept = kept.unionByName(rows.join(gone.filter("again"), match, "left_semi").dropDuplicates(["id", "same"]))
