@@ -252,6 +252,10 @@ def test_restoring_is_exhaustive_search(spark, monkeypatch):
                     cost, text, _ = chars.search(observed, gone, cost)
                 assert abs(cost - want) < 1e-9, observed
     assert min(seen) > 50
+    for _ in range(300):  # letters only: run by run
+        observed = "".join(draw.choice("idotsulx") * draw.choice([1, 1, 2, 2, 3]) for _ in range(draw.randrange(1, 5)))
+        cost, text, _ = chars.search(observed, math.inf, cheapest_by_hand(chars, observed, math.inf))
+        assert abs(cost - cheapest_by_hand(chars, observed, math.inf)) < 1e-9 and chars.undoubled(observed) == text, observed
 
 
 def test_toxicity_fit_of_repeated_ids(spark):
@@ -481,7 +485,7 @@ def test_sentencepiece_is_the_library(spark):
     texts = ["".join(draw.choice(list("ab e\nth▁é😀  0xin,."), 60)) for _ in range(800)] + [t or "" for t in ODD]
     assert encoder.encode_batch(texts) == [library.encode(t) for t in texts]
     assert [encoder.merge(r) for r in encoder.split(texts[0])] == [tuple(encoder.memo[r]) for r in encoder.split(texts[0])]
-    got = sentencepiece_bpe.encode_documents(docs(spark, ODD), queries.MODEL)
+    got = sentencepiece_bpe.encode_documents(docs(spark, ODD), queries.MODEL, check_every=1)
     for r in got.collect():
         ids = library.encode(ODD[r.doc_id] or "")
         assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == (library.decode(ids) if ids else "")
