@@ -1,13 +1,13 @@
-"""Queries of the ten operators over the driver tables, and the pipeline."""
+"""Queries of the operators over the driver tables, and the pipeline."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic_ann, embedding_dedup, kneser_ney, mixing, secret_scan, sentencepiece_bpe, simhash, toxicity, url_filter, warc
+from . import anisotropic_ann, embedding_dedup, keyed_upsert, kneser_ney, mixing, secret_scan, sentencepiece_bpe, simhash, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,6 +88,36 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+#: What a change of ``client_changes`` sets, and what orders a client's changes.
+CLIENT_VALUES, CLIENT_ORDER = ["source", "segment", "city", "balance"], ["seq", "change_id"]
+
+
+def _crc(c: Column) -> Column:
+    return F.crc32(c.cast("string"))
+
+
+def client_decision(first: Column, change: Column) -> Column:
+    """What a change does in the home whose first client is ``first``."""
+    h = F.coalesce(_crc(first), F.lit(0)) % 10
+    gone = F.coalesce(change["op"] == "D", F.lit(False)) | F.coalesce(_crc(change["change_id"]) % 8 < h, F.lit(False))
+    return F.when(h > 7, "ignore").when(gone, "delete").otherwise("set")
+
+
+def op11_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients, changes = _read(spark, sf_dir, "clients"), _read(spark, sf_dir, "client_changes")
+    most = 1 + clients.count() // 1500
+    folder = keyed_upsert.new_folder(spark, "clients")
+    keyed_upsert.write_sorted(clients.filter(_crc(F.col("client_id")) % 7 > 3), "client_id", most, folder)
+    winners = keyed_upsert.latest(changes, "client_id", CLIENT_ORDER, ["op", *CLIENT_VALUES])
+    files = keyed_upsert.upsert(spark, folder, clients.schema, "client_id", winners, CLIENT_VALUES, most, client_decision)
+    text = F.concat_ws("|", *[F.coalesce(F.col(f"row.{c}"), F.lit("")) for c in ("source", "segment", "city")])
+    cents = F.coalesce(F.floor(100 * F.col("row.balance") + 0.5), F.lit(0)).cast("long")
+    rows = keyed_upsert.rows_of(spark, clients.schema, folder).select("path", "at", F.col("row.client_id").alias("id"), cents.alias("cents"), F.crc32(text).alias("crc"))
+    columns = ",".join(spark.read.parquet(folder).columns) if not files.isEmpty() else ""
+    found = keyed_upsert.summaries(rows).join(files, "path")
+    return found.select("first_id", "n_rows", "cents", "rows_crc", "ids_sha256", F.lit(columns).alias("columns"), "path", "rewritten")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,5 +125,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mixing, op2_embedding_dedup, op3_quality, op4_toxicity, op5_url_filter, op6_ann, op7_secrets, op8_warc, op9_sentencepiece, op10_simhash, pipeline]
+    named = [op1_mixing, op2_embedding_dedup, op3_quality, op4_toxicity, op5_url_filter, op6_ann, op7_secrets, op8_warc, op9_sentencepiece, op10_simhash, op11_keyed_upsert, pipeline]
     return {f.__name__: f for f in named}
