@@ -1,5 +1,5 @@
-"""Shared plumbing: hot-bucket splitting and connected components; stored
-tables come from :mod:`siltstone.operators.shared`."""
+"""Shared plumbing: hot-bucket splitting, joins of hot keys and connected
+components; stored tables come from :mod:`siltstone.operators.shared`."""
 
 from __future__ import annotations
 
@@ -12,6 +12,25 @@ from ..operators.shared import drop_stored, shared_path, stored  # noqa: F401
 BUCKET_BLOCK = 4096
 #: A table of large buckets up to so many rows (about 32 bytes each) is broadcast.
 BROADCAST_BUCKETS = 200_000
+#: A key of so large a share of all rows is joined by broadcast.
+HEAVY_SHARE = 1 / 1000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, a stored table of unique keys
+    ``on`` (null equals null) that has each key's number of rows in ``count``.
+
+    Keys of a ``HEAVY_SHARE`` of ``total`` rows or more meet by a broadcast: at
+    most 1 / HEAVY_SHARE of them for each time a key has ``total`` rows to share
+    (each part of a vector, say). The others meet by a shuffle."""
+    names = [c for c in table.columns if c not in (*on, count)]
+    known = table.select(*[F.col(c).alias(f"__{c}") for c in on], F.struct(*names).alias("__found"), F.col(count).alias("__n"))
+    equal = lambda: [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on]
+    drop = [*[f"__{c}" for c in on], "__n"]
+    met = rows.join(F.broadcast(known.filter(F.col("__n") >= total * HEAVY_SHARE)), equal(), "left").drop(*drop)
+    light = known.filter(F.col("__n") < total * HEAVY_SHARE)
+    rest = met.filter("__found IS NULL").drop("__found").join(light, equal()).drop(*drop)
+    return met.filter("__found IS NOT NULL").unionByName(rest).select(*rows.columns, "__found.*")
 
 
 def bucket_blocks(rows: DataFrame, keys: list[str], spread: str, block: int = BUCKET_BLOCK) -> DataFrame:

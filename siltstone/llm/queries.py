@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic_ann, embedding_dedup, keyed_upsert, kneser_ney, mixing, secret_scan, sentencepiece_bpe, simhash, toxicity, url_filter, warc
+from . import anisotropic_ann, embedding_dedup, keyed_upsert, kneser_ney, mixing, secret_scan, sentencepiece_bpe, sharding, simhash, toxicity, url_filter, vector_code, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -118,6 +118,14 @@ def op11_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("first_id", "n_rows", "cents", "rows_crc", "ids_sha256", F.lit(columns).alias("columns"), "path", "rewritten")
 
 
+def op12_vector_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_code.compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_read(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,5 +133,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_mixing, op2_embedding_dedup, op3_quality, op4_toxicity, op5_url_filter, op6_ann, op7_secrets, op8_warc, op9_sentencepiece, op10_simhash, op11_keyed_upsert, pipeline]
+    named = [op1_mixing, op2_embedding_dedup, op3_quality, op4_toxicity, op5_url_filter, op6_ann, op7_secrets, op8_warc, op9_sentencepiece, op10_simhash, op11_keyed_upsert, op12_vector_code, op13_sharding, pipeline]
     return {f.__name__: f for f in named}
