@@ -53,14 +53,17 @@ def stored(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     return back
 
 
-def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As :func:`stored`, in as many buckets of ``key`` as a shuffle has
-    partitions: grouping by ``key`` then needs no shuffle of what is stored."""
+def stored_by(df: DataFrame, name: str, key: str, buckets: int = 0) -> DataFrame:
+    """As :func:`stored`, in ``buckets`` of ``key``, by default as many as a
+    shuffle has partitions: grouping or joining by ``key`` then needs no shuffle
+    of what is stored. Each task writes a file for each bucket that it has rows
+    of. The catalogue forgets the table as soon as it is read from."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     table = f"siltstone_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
     back = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # external: the files stay
     back._stored_at = path
     return back
 
