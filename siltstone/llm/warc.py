@@ -126,6 +126,11 @@ class Bad(ValueError):
     """A failed check."""
 
 
+def whole_number(text: str) -> int | None:
+    """A number of up to 18 digits, so one that fits a long; else None."""
+    return int(text) if len(text) <= 18 and text.isascii() and text.isdigit() else None
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """(headers in lower case, block, end) of the plain record at ``at``."""
     line = re.compile(rb"WARC/1\.[01]\r\n").match(data, at)
@@ -140,10 +145,12 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         if not colon:
             raise Bad("header without a colon")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    size = headers.get("content-length", "")
-    if not size.isascii() or not size.isdigit():
+    size = whole_number(headers.get("content-length", ""))
+    if size is None:
         raise Bad("no valid length")
-    begin, end = close + 4, close + 4 + int(size)
+    if headers.get("warc-type") == "revisit" and whole_number(headers.get("x-payload-length", "0")) is None:
+        raise Bad("no valid payload length")
+    begin, end = close + 4, close + 4 + size
     if data[end : end + 4] != b"\r\n\r\n":
         raise Bad("record is cut short or has a wrong length")
     block = data[begin:end]
@@ -250,8 +257,9 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, int | None, dict[str, str]
 
 
 def _page(urn: str) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+)>", urn)
-    return int(m[1]) if m else None
+    """A page's number; None for other urns and for what does not fit a long."""
+    m = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", urn)
+    return int(m[1]) if m and -(1 << 63) <= int(m[1]) < 1 << 63 else None
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
