@@ -220,19 +220,21 @@ def redact_live(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with live-looking secrets replaced in their texts and
     ``size_col`` renewed for the texts that change; same rows and columns.
 
-    Rows without a candidate pass through untouched; only the others meet the
-    corpus-wide counts, so texts in general are not shuffled."""
+    Rows without a candidate pass through untouched; the others are stored once
+    and meet the corpus-wide counts, so texts in general are not shuffled. A row
+    travels as one struct, so its columns may have any names."""
     columns = docs.columns
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     suspicious = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(MIXED)
     clean = docs.filter(~suspicious)
-    key = F.sha2(text, 256)
-    rows = docs.filter(suspicious)
-    scanned = scan(rows.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("__key"), F.col(text_col), *[F.col(c) for c in ("source", "lang") if c in columns]), "__key", text_col, **how)
-    live = scanned.select("__key", F.filter("found", lambda s: s["live"]).alias("__live")).filter(F.size("__live") > 0).groupBy("__key").agg(F.first("__live").alias("__live"))
-    joined = rows.withColumn("__text_key", F.struct(F.col(id_col).alias("id"), key.alias("key"))).join(live, F.col("__text_key").eqNullSafe(F.col("__key")), "left")
-    changed = F.when(F.col("__live").isNotNull(), redacted(text, F.col("__live"))).otherwise(F.col(text_col))
-    out = joined.withColumn(text_col, changed)
+    names = [c for c in ("source", "lang") if c in columns and c not in (id_col, text_col)]
+    row, key = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.struct(F.col(f"`{id_col}`").alias("id"), F.sha2(text, 256).alias("sha")).alias("key")
+    rows = stored(docs.filter(suspicious).select(row, key), "suspicious")
+    scanned = scan(rows.select("key", F.col(f"row.`{text_col}`").alias("text"), *[F.col(f"row.{c}").alias(c) for c in names]), "key", "text", **how)
+    live = scanned.select(F.col("key").alias("of"), F.filter("found", lambda s: s["live"]).alias("live")).filter(F.size("live") > 0).groupBy("of").agg(F.first("live").alias("live"))
+    joined = rows.join(live, F.col("key").eqNullSafe(F.col("of")), "left").withColumn("text", F.when(F.col("live").isNotNull(), redacted(F.col(f"row.`{text_col}`"), F.col("live"))))
+    own = lambda c: F.col(f"row.`{c}`")
+    new = {text_col: F.coalesce("text", own(text_col))}
     if size_col in columns:
-        out = out.withColumn(size_col, F.when(F.col("__live").isNotNull(), F.char_length(text_col).cast("long")).otherwise(F.col(size_col)))
-    return clean.unionByName(out.select(*columns))
+        new[size_col] = F.when(F.col("live").isNotNull(), F.char_length("text").cast("long")).otherwise(own(size_col))
+    return clean.unionByName(joined.select(*[new.get(c, own(c)).alias(c) for c in columns]))
