@@ -34,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.shared import stored_by
 from .common import bucket_blocks, components, stored
 
 BITS = 64
-#: A table of so many keys of rows to drop (about 64 bytes each) is broadcast.
-BROADCAST_KEYS = 1_000_000
+#: Rows of a stretch of a stored table, for which one bitmap tells which stay.
+CELL_BITS = 15
 #: Within a bucket up to this size, each two members are compared by shifts.
 SMALL_BUCKET = 48
 
@@ -322,23 +323,22 @@ def simhash_components(
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, limit: int = 4, seed: int = 42) -> DataFrame:
     """The rows of ``docs``, all their columns, without near copies: one row of
-    each component. Decided by (id, digest of the text), so rows that share an
-    id stay apart if their texts are no copies."""
-    prints = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    # rows that share id and text are one key; copies are combined before they meet
-    keys = prints.groupBy("fp", "id", "same").agg(F.count(F.lit(1)).alias("rows"))
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "same")
-    best = keys.groupBy("fp").agg(F.min(order).alias("best"))
+    each component. Rows that share an id stay apart if their texts are no copies.
+
+    Rows are stored once, where they are, with a place of their own and in
+    buckets of the stretch of places it is in. Which rows stay comes back as one
+    bitmap a stretch, so at any number of rows kept or dropped no text is
+    shuffled or sorted."""
+    place = F.monotonically_increasing_id()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = stored_by(docs.select(whole, place.alias("place")).withColumn("cell", F.shiftright("place", CELL_BITS)), "documents", "cell")
+    prints = rows.select(F.struct(F.col(f"row.`{id_col}`").alias("id"), "place").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
+    prints = stored(fingerprints(prints, "id", "text", shingle, seed).select("fp", "id.id", "id.place", "same"), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "same", "place")
+    best = prints.groupBy("fp").agg(F.min(order).alias("best"))
     rooted = labelled_prints(prints, limit).select("fp", "root").join(best, "fp")
-    winner = rooted.groupBy("root").agg(F.min("best").alias("winner"))
-    of_print = rooted.join(winner, "root").select("fp", "winner")
-    judged = keys.join(of_print, "fp").withColumn("wins", F.col("id").eqNullSafe(F.col("winner.id")) & (F.col("same") == F.col("winner.same")))
-    gone = stored(judged.filter("NOT wins OR rows > 1").select(F.col("id").alias("of"), F.col("same").alias("text_of"), F.col("wins").alias("again")), "near-copies")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("same"))
-    match = F.col("id").eqNullSafe(F.col("of")) & (F.col("same") == F.col("text_of"))
-    if gone.count() <= BROADCAST_KEYS:
-        gone = F.broadcast(gone)
-    kept = rows.join(gone, match, "left_anti")
-    if gone.filter("again").limit(1).count():
-        kept = kept.unionByName(rows.join(gone.filter("again"), match, "left_semi").dropDuplicates(["id", "same"]))
-    return kept.select("row.*")
+    winners = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.place").alias("place"))
+    in_cell = F.col("place").bitwiseAND(F.lit((1 << CELL_BITS) - 1))
+    kept = winners.groupBy(F.shiftright("place", CELL_BITS).alias("cell")).agg(F.bitmap_construct_agg(in_cell).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(in_cell, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(kept.hint("shuffle_hash"), "cell").filter(F.getbit(byte, in_cell.bitwiseAND(F.lit(7)).cast("int")) == 1).select("row.*")
