@@ -3,9 +3,10 @@
 Each run of text that no vocabulary piece can cross is encoded on its own with
 a score-ordered agenda of adjacent symbol pairs: the best-scored pair, leftmost
 on ties, is merged until no adjacent pair is a piece. Runs repeat a lot, so
-each worker keeps a bounded memo of them. Of each Arrow batch every fourth
-document is encoded by the sentencepiece library as well, and a difference
-raises; ``check_every=1`` holds all documents against it, at twice the cost.
+each worker keeps its encoder from task to task, with a bounded memo of runs in
+two generations, so that runs in use outlive the others. Every document of each
+Arrow batch is encoded by the sentencepiece library as well, and a difference
+raises.
 
 Defined results: a null text counts as empty; an empty text has no ids and
 decodes to an empty text; characters outside the vocabulary become byte pieces;
@@ -23,6 +24,8 @@ import heapq
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Runs kept in a worker's memo before it is emptied; bounds its memory.
+#: Runs kept in a worker's memo, half of them at least of late; bounds its memory.
 MEMO_RUNS = 400_000
 #: Runs of up to so many characters are encoded in lockstep.
 SHORT = 32
 NONE = np.int32(2**31 - 1)
 #: Symbols from here on are code points that no piece has.
 OUTSIDE = 1 << 24
-#: One document in so many of a batch is also encoded by the library.
-CHECK_EVERY = 4
 #: Odd multiplier of the pair table's hash: 2^64 divided by the golden ratio.
 HASH = 0x9E3779B97F4A7C15
 
@@ -127,6 +128,7 @@ class MergeEncoder:
         self.runs = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.memo_runs = memo_runs
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.numbers = list(range(lib.get_piece_size()))
         self.texts = [str(i) for i in range(lib.get_piece_size())]
         single = {ord(p): i for p, i in self.ids.items() if len(p) == 1}
@@ -225,10 +227,11 @@ class MergeEncoder:
         """Put the runs that the memo lacks into it; long ones are left to
         :meth:`merge`, as they seldom come back."""
         new = runs.difference(self.memo)
-        if len(self.memo) + len(new) > self.memo_runs:
-            self.memo.clear()
-            new = runs
-        self.lockstep([r for r in new if len(r) <= SHORT])
+        if len(self.memo) + len(new) > self.memo_runs // 2:
+            self.older, self.memo, new = self.memo, {}, runs
+        known = new & self.older.keys()
+        self.memo.update(zip(known, map(self.older.__getitem__, known)))
+        self.lockstep([r for r in new - known if len(r) <= SHORT])
 
     def merge(self, run: str) -> tuple[int, ...]:
         """The agenda of one run of any length: a heap, stale entries skipped."""
@@ -285,10 +288,10 @@ class MergeEncoder:
         get, merge = self.memo.get, self.merge
         out = []
         for runs in split:
-            ids: list[int] = []
-            for r in runs:
-                ids += get(r) or merge(r)
-            out.append(ids)
+            found = list(map(get, runs))
+            if None in found:  # long runs
+                found = [merge(r) if ids is None else ids for r, ids in zip(runs, found)]
+            out.append(list(chain.from_iterable(found)))
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -297,6 +300,17 @@ class MergeEncoder:
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids) if ids else ""
 
+    def decode_batch(self, ids: list[list[int]]) -> list[str]:
+        """The library's texts; no ids give an empty one."""
+        decoded = iter(self.library.decode([i for i in ids if i], num_threads=1) if any(ids) else [])
+        return [next(decoded) if i else "" for i in ids]
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> MergeEncoder:
+    """The encoder that this worker keeps for its tasks."""
+    return MergeEncoder(path)
+
 
 def encode_documents(
     docs: DataFrame,
@@ -304,7 +318,6 @@ def encode_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep_ids: bool = True,
-    check_every: int = CHECK_EVERY,
 ) -> DataFrame:
     """One row for each document: id, n_tokens, ids (or only their digests).
 
@@ -316,23 +329,20 @@ def encode_documents(
     out = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = MergeEncoder(model_path)
+        encoder = encoder_of(model_path)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                counts, digests, decoded_digests, all_ids, all_texts = [], [], [], [], []
+                all_ids, by_library = encoder.encode_batch(texts), encoder.library.encode(texts, num_threads=1)
+                if all_ids != by_library:
+                    n = next(n for n, ids in enumerate(all_ids) if ids != by_library[n])
+                    raise AssertionError(f"ids differ from the library's for a text of {len(texts[n])} characters")
+                all_texts = encoder.decode_batch(all_ids)
                 digits = encoder.texts
-                for n, (text, ids) in enumerate(zip(texts, encoder.encode_batch(texts))):
-                    if n % check_every == 0 and ids != encoder.library.encode(text):
-                        raise AssertionError(f"ids differ from the library's for a text of {len(text)} characters")
-                    decoded = encoder.decode(ids)
-                    counts.append(len(ids))
-                    digests.append(hashlib.sha256(",".join([digits[i] for i in ids]).encode()).hexdigest())
-                    decoded_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if keep_ids:
-                        all_ids.append(ids)
-                        all_texts.append(decoded)
+                counts = list(map(len, all_ids))
+                digests = [hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest() for ids in all_ids]
+                decoded_digests = [hashlib.sha256(t.encode()).hexdigest() for t in all_texts]
                 arrays = [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded_digests, pa.string())]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
@@ -349,9 +359,9 @@ def decode_documents(rows: DataFrame, model_path: str, id_col: str = "doc_id", i
     kind = source.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = MergeEncoder(model_path)
+        encoder = encoder_of(model_path)
         for batch in batches:
-            texts = [encoder.decode(ids or []) for ids in batch.column(1).to_pylist()]
+            texts = encoder.decode_batch([ids or [] for ids in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     return source.mapInArrow(work, f"id {kind}, text string").withColumnsRenamed({"id": id_col, "text": "text"})
