@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import dense_number
+from .shared import stored
 
 
 def islands(df: DataFrame, keys: list[str], order: list[Column], value: Column) -> DataFrame:
@@ -99,3 +100,36 @@ def running_quota(df: DataFrame, keys: list[str], order: list[Column], amount: s
     """Rows while the running sum of ``amount`` stays within ``quota``."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("running", F.sum(amount).over(w)).filter(F.col("running") <= quota)
+
+
+def placed_by(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` stored in a total order, with ``__part`` and ``__place``: the range
+    partition a row is in, and a number that grows along all rows."""
+    placed = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()), name)
+    return placed.withColumn("__part", F.shiftright("__place", 33))
+
+
+def prefix_sums(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows before, in a total
+    order and without one task for all rows: sums within range partitions, and
+    those of the partitions before by a broadcast of a row a partition."""
+    placed = placed_by(df, order, "prefix")
+    sums = placed.groupBy(F.col("__part").alias("__of")).agg(F.sum(value).alias("__sum"))
+    before = sums.select("__of", F.coalesce(F.sum("__sum").over(Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(F.broadcast(before), F.col("__part") == F.col("__of"))
+    return joined.withColumn(name, F.col("__before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__part", "__place", "__of", "__before")
+
+
+def as_of(asked: DataFrame, marks: DataFrame, on: str, mark: Column) -> DataFrame:
+    """``asked`` with ``mark`` of the last row of ``marks`` at or below it in
+    ``on``, null where there is none. ``mark`` must grow with ``on``. One range
+    sort of both; what reaches into a partition comes by one row a partition."""
+    sought = asked.select(F.col(on).alias("on"), F.lit(1).alias("kind"), F.struct(*[F.col(f"`{c}`") for c in asked.columns]).alias("asked"))
+    both = marks.select(F.col(on).alias("on"), F.lit(0).alias("kind"), mark.alias("mark")).unionByName(sought, allowMissingColumns=True)
+    placed = placed_by(both, [F.col("on").asc_nulls_first(), F.col("kind")], "as-of")
+    tops = placed.groupBy(F.col("__part").alias("of")).agg(F.max("mark").alias("top"))
+    before = tops.select("of", F.max("top").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    so_far = F.max("mark").over(Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0))
+    found = placed.withColumn("here", so_far).filter("kind = 1").join(F.broadcast(before), F.col("__part") == F.col("of"))
+    return found.select("asked.*", F.coalesce("here", "before").alias("mark"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_int, hash_uniform
+from .ordered import as_of, prefix_sums
 from .relational import dense_number
+from .shared import stored
 
 
 def split_rows(df: DataFrame, key: str, parts: dict[str, float], seed: str) -> DataFrame:
@@ -51,6 +53,24 @@ def weighted_topn(df: DataFrame, key: str, weight: Column, n: int, seed: str) ->
     return df.withColumn("draw", -F.log(u) / weight).filter(weight > 0).orderBy("draw", key).limit(n)
 
 
+def draw_with_replacement(df: DataFrame, key: str, weight: Column, n: int, seed: int, epoch: int = 0, replicas: int = 1, scale: float = 1.0) -> DataFrame:
+    """(draw, replica, step, ``key``): ``n`` draws of rows by weight, each from
+    all rows; draw i is step i div ``replicas`` of replica i mod ``replicas``.
+
+    Weights count in whole units of 1 / ``scale``; null and smaller ones are
+    never drawn, and keys are unique. A draw is a hash of seed, epoch and its
+    number, taken as a place among all units, so any partitioning gives the same.
+    Rows' first units are exact distributed prefix sums, and each draw finds its
+    row by one range sort of both, however large one row's weight is."""
+    units = df.select(key, F.round(weight * F.lit(scale)).cast("long").alias("units")).filter("units > 0")
+    starts = stored(prefix_sums(units, [F.col(key)], "units", "at"), "starts")
+    whole = starts.agg(F.sum("units")).first()[0]
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("draw"), F.lit(seed), F.lit(epoch), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long")
+    draws = df.sparkSession.range(n if whole else 0).select(F.col("id").alias("draw"), (hashed % F.lit(whole or 1)).alias("at"))
+    found = as_of(draws, starts, "at", F.struct("at", key))
+    return found.select("draw", (F.col("draw") % replicas).alias("replica"), F.expr(f"draw div {replicas}").alias("step"), F.col(f"mark.{key}").alias(key))
+
+
 def keep_probability(length: Column, cluster_size: Column) -> Column:
     return F.least(F.greatest(length, F.lit(256)), F.lit(512)) / F.lit(512.0) / cluster_size
 

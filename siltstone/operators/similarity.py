@@ -313,16 +313,16 @@ def shape_codes(points: np.ndarray, width: float) -> np.ndarray:
     return 3 * level(two) + level(three)
 
 
-def similar_chains(df: DataFrame, id_col: str, points_col: str, least: float = 0.5, cover: float = 0.5, width: float = 2.5, patterns: tuple[str, ...] = ("111", "1101")) -> DataFrame:
-    """(a, b, tm) of chains more similar than ``least``. Candidates share two
-    seeds of local shape, which no rigid motion changes, and sizes within
-    ``cover``; points are arrays of three."""
+def similar_chains(df: DataFrame, id_col: str, points_col: str, least: float = 0.5, cover: float = 0.5, width: float = 2.5, patterns: tuple[str, ...] = ("1111", "11011"), shared: int = 3) -> DataFrame:
+    """(a, b, tm) of chains more similar than ``least``. Candidates have
+    ``shared`` seeds of local shape in common, which no rigid motion changes,
+    and sizes within ``cover``; points are arrays of three."""
     rows = stored(df.select(F.col(id_col).alias("id"), F.size(points_col).alias("size"), F.col(points_col).alias("points")), "chains")
 
     def matrix(value) -> np.ndarray:
         return np.array(value.as_py(), float).reshape(-1, 3)
 
-    near = stored(candidates(seeds(rows, lambda batch: (shape_codes(matrix(p), width) for p in batch.column(2)), patterns), cover), "candidates")
+    near = stored(candidates(seeds(rows, lambda batch: (shape_codes(matrix(p), width) for p in batch.column(2)), patterns), cover, shared), "candidates")
     side = lambda i, p: rows.select(F.col("id").alias(i), F.col("points").alias(p))
     both = near.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
 

@@ -290,11 +290,12 @@ def components(spark, d):
     return G.components(e.select("a").union(e.select("b")), e)
 
 
-@query(f"WITH {COMPONENTS} SELECT component, arg_max(node, (node % 97, -node)) AS node, count(*) AS members FROM r12 GROUP BY 1")
+@query(f"WITH {COMPONENTS}, n AS (SELECT a AS node, count(*) AS size FROM s GROUP BY 1) SELECT component, arg_max(node, (size, -node)) AS node, count(*) AS members FROM r12 JOIN n USING (node) GROUP BY 1")
 def component_rep(spark, d):
-    """Largest member of each component, the smallest id on ties."""
+    """The member of each component with most links, the smallest id on ties."""
     e = edges(spark, d)
-    c = G.components(e.select("a").union(e.select("b")), e).withColumn("size", F.col("node") % 97)
+    links = e.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    c = G.components(e.select("a").union(e.select("b")), e).join(links, "node")
     return G.representatives(c, "node", "component", "size")
 
 
