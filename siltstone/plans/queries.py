@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arrays, chains, files, groups, rows, scans, scores, structures  # noqa: F401
+from . import arrays, chains, files, formats, groups, rows, scans, scores, structures  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

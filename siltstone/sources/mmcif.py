@@ -81,6 +81,11 @@ def read_categories(spark: SparkSession, path: str, categories: list[str] | None
     fault and then one row with ``error`` set; an absent category gives none.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return parse_categories(files.select("path", "content"), categories)
+
+
+def parse_categories(files: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """As :func:`read_categories`, of (path, content) wherever they come from."""
     wanted = set(categories) if categories is not None else None
 
     def parsed(name: str, content: bytes):

@@ -97,23 +97,46 @@ def hhr_hits(files: DataFrame) -> DataFrame:
     return found.withColumn("indices_query", residue_indices(F.col("query"), F.col("q0"))).withColumn("indices_hit", residue_indices(F.col("hit_sequence"), F.col("t0"))).drop("q0", "t0")
 
 
+def hmm_header(k: int) -> Column:
+    """Part ``k`` of a hit's ``header``: id, chain, start, end, length, title."""
+    form = r"^>?([A-Za-z0-9]+)_(\w+)/(\d+)-(\d+).*protein length:(\d+) *(.*)$"
+    return F.nullif(F.regexp_extract("header", form, k), F.lit(""))
+
+
+def hmm_columns(start: Column) -> list[Column]:
+    return [hmm_header(1).alias("id"), hmm_header(2).alias("chain"), (start + 1).alias("start"), hmm_header(4).cast("int").alias("end"), hmm_header(5).cast("int").alias("length"), hmm_header(6).alias("title")]
+
+
 def hmmsearch_hits(records: DataFrame) -> DataFrame:
     """Hits of (header, sequence) A3M records whose molecule is a protein.
 
     A gap is index -1, an inserted (lower-case) letter moves the count on
     without an entry. A header of another form gives a null id."""
-    form = r"^>?([A-Za-z0-9]+)_(\w+)/(\d+)-(\d+).*protein length:(\d+) *(.*)$"
-    part = lambda k: F.nullif(F.regexp_extract("header", form, k), F.lit(""))
-    start = part(3).cast("int") - 1
+    start = hmm_header(3).cast("int") - 1
     before = lambda i: F.length(F.replace(F.substring("sequence", F.lit(1), i + 1), F.lit("-"), F.lit("")))
     marked = F.transform(letters(F.col("sequence")), lambda c, i: F.struct(c.alias("c"), (start + before(i) - 1).alias("n")))
     kept = F.filter(marked, lambda m: ~m["c"].rlike("[a-z]"))
     return records.filter(F.contains("header", F.lit("mol:protein"))).select(
-        part(1).alias("id"), part(2).alias("chain"), (start + 1).alias("start"), part(4).cast("int").alias("end"), part(5).cast("int").alias("length"), part(6).alias("title"),
-        F.length(F.regexp_replace("sequence", "[^A-Z]", "")).alias("aligned_cols"), F.transform(kept, lambda m: F.when(m["c"] == "-", F.lit(-1)).otherwise(m["n"])).alias("indices_hit"),
+        *hmm_columns(start), F.length(F.regexp_replace("sequence", "[^A-Z]", "")).alias("aligned_cols"), F.transform(kept, lambda m: F.when(m["c"] == "-", F.lit(-1)).otherwise(m["n"])).alias("indices_hit"),
     )
 
 
+def hmmsearch_stockholm_hits(files: DataFrame) -> DataFrame:
+    """As :func:`hmmsearch_hits`, and ``file``, from Stockholm ``text``: the
+    description of a row is that of its ``#=GS name DE`` line, and residues at
+    the query's gaps are insertions."""
+    line = files.select("file", F.explode(F.split("text", "\n")).alias("value"))
+    form = r"^#=GS\s+(\S+)\s+DE\s+(.*)$"
+    titles = line.filter(F.col("value").rlike(form)).select("file", F.regexp_extract("value", form, 1).alias("name"), F.regexp_extract("value", form, 2).alias("title"))
+    rows = stockholm(files).join(titles, ["file", "name"], "left")
+    records = rows.select("file", "position", F.concat_ws(" ", "name", "title").alias("header"), F.col("aligned").alias("sequence"), "deletions")
+    start = hmm_header(3).cast("int") - 1
+    skipped = lambda i: F.aggregate(F.slice("deletions", F.lit(1), i + 1), F.lit(0), lambda s, n: s + n)
+    seen = lambda i: F.length(F.replace(F.substring("sequence", F.lit(1), i + 1), F.lit("-"), F.lit("")))
+    index = F.transform(letters(F.col("sequence")), lambda c, i: F.when(c == "-", F.lit(-1)).otherwise(start + skipped(i) + seen(i) - 1))
+    return records.filter(F.contains("header", F.lit("mol:protein"))).select("file", "position", *hmm_columns(start), F.length(F.regexp_replace("sequence", "[^A-Z]", "")).alias("aligned_cols"), index.alias("indices_hit"))
+
+
 def tblout_e_values(rows: DataFrame) -> DataFrame:
     """(name, e_value) of tblout lines (line, value): the last line of a name
     counts; ``query`` has 0."""

@@ -137,3 +137,33 @@ def test_mol2_and_its_fallback(spark):
     sdf = spark.createDataFrame([("x/a.sdf", SDF), ("x/b.sdf", SDF), ("x/c.sdf", SDF)], "file string, text string")
     got = {r.molecule: [(a.symbol, a.x, a.z) for a in r.atoms] for r in texts.molecules(mol2, sdf, F.regexp_extract("file", "/([a-z]+)\\.", 1)).collect()}
     assert got == {"a": [("C", 0.0, 0.5), ("Cl", 2.0, 2.0)], "b": [("O", 1.0, 3.0)], "c": [("O", 1.0, 3.0)]}
+
+
+def test_listed_files_and_dates(spark, tmp_path):
+    for name in ("a.txt", "b.txt", "c.txt"):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("x")
+    (tmp_path / "list").write_text(f"# all\na.txt\n\n./c.txt  # the last\nabsent.txt\n{tmp_path}/in/a.txt\n")
+    got = tabular.listed_files(spark, str(tmp_path / "list"), str(tmp_path / "in"))
+    assert sorted(r.file.rsplit("/", 1)[1] for r in got.collect()) == ["a.txt", "c.txt"]
+    rows = spark.createDataFrame([('{"1ABC": "2020-01-02", "2x": {"release_date": "2021-03-04"}}',), ('{"1abc": "2019-01-01", "3y": "soon"}',), ("not json",), (None,)], "value string")
+    assert {r.id: str(r.released) for r in tabular.dates_by_id(rows).collect()} == {"1abc": "2020-01-02", "2x": "2021-03-04", "3y": "None"}
+
+
+def test_hmmsearch_hits_from_stockholm(spark):
+    sto = "# STOCKHOLM 1.0\n#=GS 4pqx_A/2-9 DE [subseq from] mol:protein length:217  A title\n#=GS 1abc_B/1-3 DE mol:na length:9\nquery  AB-CD\n4pqx_A/2-9  AKxC-\n1abc_B/1-3  A----\n//\n"
+    got = texts.hmmsearch_stockholm_hits(spark.createDataFrame([("f", sto)], "file string, text string")).collect()
+    assert [(r.id, r.chain, r.start, r.end, r.length, r.title, r.aligned_cols, r.indices_hit) for r in got] == [("4pqx", "A", 2, 9, 217, "A title", 3, [1, 2, 4, -1])]
+
+
+def test_structures_come_back_from_their_files(spark):
+    from siltstone.plans.queries import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.serial: r for r in queries()["mmcif_round_trip"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        g = got[r.vec_id]
+        assert (g.structure, g.atom, g.seq_id) == (f"s {r.vec_id // 25}", f"C{r.vec_id % 25}'", r.vec_id % 25)
+        assert all(abs(v - 10 * e) < 6e-4 for v, e in zip((g.x, g.y, g.z), r.embedding))
