@@ -30,8 +30,10 @@ PATTERNS = ("11011", "110101", "1001101")
 MEMBERS = 48
 #: Places to either side of the seeds' diagonal.
 BAND = 32
-#: Pairs that are aligned together.
-TOGETHER = 512
+#: Pairs that are aligned together, and pairs of a task.
+TOGETHER, TASK_PAIRS = 512, 4096
+#: Bins of the distances of alpha carbons two and three residues apart.
+SHAPE_CUTS = ((5.8, 6.6), (6.5, 8.8))
 
 
 def group_codes(seq: str) -> np.ndarray:
@@ -180,11 +182,17 @@ def letter_codes(seq: str) -> np.ndarray:
     return table[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
 
 
+def spread(rows: DataFrame, pairs: DataFrame, each: int = TASK_PAIRS) -> DataFrame:
+    """``rows``, one for each of the stored ``pairs``, dealt to as many tasks as
+    their work wants, which their bytes do not show."""
+    return rows.repartition(max(1, -(-pairs.count() // each)), "a", "b")
+
+
 def aligned(pairs: DataFrame, sequences: DataFrame, identity: float, cover: float) -> DataFrame:
     """(a, b, identity, cover) of the pairs whose alignment has that share of
     equal letters, and of both sequences' places, or more."""
     side = lambda i, s: sequences.select(F.col("id").alias(i), F.col("seq").alias(s))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "diagonal", "x", "y")
+    both = spread(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "diagonal", "x", "y"), pairs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,16 +230,17 @@ def greedy_cover(items: DataFrame, links: DataFrame) -> DataFrame:
     return items.select("id").join(own, "id", "left").join(first, "id", "left").select("id", F.coalesce("own", "first").alias("representative"))
 
 
-def cluster_by_identity(df: DataFrame, id_col: str, seq_col: str, identity: float = 0.3, cover: float = 0.8, patterns: tuple[str, ...] = PATTERNS) -> DataFrame:
+def cluster_by_identity(df: DataFrame, id_col: str, seq_col: str, identity: float = 0.3, cover: float = 0.8, patterns: tuple[str, ...] = PATTERNS, shared: int = 2) -> DataFrame:
     """(``id_col``, representative): greedy set cover of sequences, longest
-    first, over alignments of ``identity`` that cover ``cover`` of both.
+    first, over alignments of ``identity`` that cover ``cover`` of both, among
+    pairs with ``shared`` seeds in common.
 
     A null sequence counts as empty; equal sequences are one, of its smallest
     id, so that copies of any number meet once. Sequences shorter than a seed,
     and empty ones, stay alone but for their copies."""
     rows = df.select(F.col(id_col).alias("id"), F.upper(F.coalesce(seq_col, F.lit(""))).alias("seq"))
     one = stored(rows.groupBy("seq").agg(F.min("id").alias("id")).select("id", F.length("seq").alias("size"), "seq"), "sequences")
-    near = stored(candidates(seeds(one, lambda batch: map(group_codes, batch.column(2).to_pylist()), patterns), cover), "candidates")
+    near = stored(candidates(seeds(one, lambda batch: map(group_codes, batch.column(2).to_pylist()), patterns), cover, shared), "candidates")
     cover_of = greedy_cover(one, aligned(near, one, identity, cover))
     named = one.select("seq", F.col("id").alias("first")).join(cover_of, F.col("first") == F.col("id")).select("seq", "representative")
     return rows.join(named, "seq").select(F.col("id").alias(id_col), "representative")
@@ -267,7 +276,7 @@ def matched(similar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows[::-1], int), np.array(cols[::-1], int)
 
 
-def tm_score(x: np.ndarray, y: np.ndarray, best_of: int = 32, rounds: int = 20) -> float:
+def tm_score(x: np.ndarray, y: np.ndarray, best_of: int = 12, rounds: int = 12) -> float:
     """Similarity in [0, 1] of two chains of points, over the shorter's length.
 
     Seeds are superpositions of runs of the two chains at every shift: all that
@@ -303,17 +312,17 @@ def tm_score(x: np.ndarray, y: np.ndarray, best_of: int = 32, rounds: int = 20)
     return float(top)
 
 
-def shape_codes(points: np.ndarray, width: float) -> np.ndarray:
-    """Nine letters of a chain's local shape: distances to the second and the
-    third point on, in three bins of ``width`` each from their smallest."""
+def shape_codes(points: np.ndarray, cuts: tuple[tuple[float, float], tuple[float, float]]) -> np.ndarray:
+    """Nine letters of a chain's local shape: distances to the second and to the
+    third point on, each in three bins between ``cuts``."""
     if len(points) < 4:
         return np.zeros(0, np.uint8)
-    two, three = (np.linalg.norm(points[k : len(points) - 3 + k] - points[: len(points) - 3], axis=1) for k in (2, 3))
-    level = lambda d: np.clip(d // width, 0, 2).astype(np.uint8)
-    return 3 * level(two) + level(three)
+    far = (np.linalg.norm(points[k : len(points) - 3 + k] - points[: len(points) - 3], axis=1) for k in (2, 3))
+    two, three = (np.searchsorted(c, d).astype(np.uint8) for c, d in zip(cuts, far))
+    return 3 * two + three
 
 
-def similar_chains(df: DataFrame, id_col: str, points_col: str, least: float = 0.5, cover: float = 0.5, width: float = 2.5, patterns: tuple[str, ...] = ("1111", "11011"), shared: int = 3) -> DataFrame:
+def similar_chains(df: DataFrame, id_col: str, points_col: str, least: float = 0.5, cover: float = 0.5, cuts: tuple[tuple[float, float], tuple[float, float]] = SHAPE_CUTS, patterns: tuple[str, ...] = ("1111", "11011"), shared: int = 3) -> DataFrame:
     """(a, b, tm) of chains more similar than ``least``. Candidates have
     ``shared`` seeds of local shape in common, which no rigid motion changes,
     and sizes within ``cover``; points are arrays of three."""
@@ -322,9 +331,9 @@ def similar_chains(df: DataFrame, id_col: str, points_col: str, least: float = 0
     def matrix(value) -> np.ndarray:
         return np.array(value.as_py(), float).reshape(-1, 3)
 
-    near = stored(candidates(seeds(rows, lambda batch: (shape_codes(matrix(p), width) for p in batch.column(2)), patterns), cover, shared), "candidates")
+    near = stored(candidates(seeds(rows, lambda batch: (shape_codes(matrix(p), cuts) for p in batch.column(2)), patterns), cover, shared), "candidates")
     side = lambda i, p: rows.select(F.col("id").alias(i), F.col("points").alias(p))
-    both = near.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    both = spread(near.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y"), near, 256)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -30,18 +30,18 @@ def point(k, scale=10.0):
 # 2.12.3, 2.10.7
 @query()
 def identity_clusters(spark, d):
-    """Components as letters of twenty bins, by identity 0.5 and coverage 0.8;
-    held against a plain programme in the tests."""
+    """Components as letters of twenty bins, by identity 0.5 and coverage 0.8,
+    with seeds of six letters; held against a plain programme in the tests."""
     level = lambda x: F.least(F.greatest(F.floor((x + 0.5) * 20), F.lit(0)), F.lit(19)).cast("int") + 1
     seq = F.array_join(F.transform("e", lambda x: F.substring(F.lit(similarity.LETTERS), level(x), F.lit(1))), "")
-    return similarity.cluster_by_identity(vectors(spark, d).select("vec_id", seq.alias("seq")), "vec_id", "seq", identity=0.5)
+    return similarity.cluster_by_identity(vectors(spark, d).select("vec_id", seq.alias("seq")), "vec_id", "seq", identity=0.5, patterns=("1110111", "11011011", "110101101"), shared=5)
 
 
 @query()
 def chain_dedup(spark, d):
     """Vectors as chains of 21 points; held against a plain score in the tests."""
     points = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.transform(F.slice("e", 3 * k + 1, F.lit(3)), lambda x: x * 20))
-    return similarity.longest_of_similar(vectors(spark, d).select("vec_id", points.alias("points")), "vec_id", "points")
+    return similarity.longest_of_similar(vectors(spark, d).select("vec_id", points.alias("points")), "vec_id", "points", cuts=((4.6, 6.6), (4.6, 6.6)), shared=6)
 
 
 # 2.11.7
