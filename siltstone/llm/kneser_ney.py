@@ -59,6 +59,8 @@ STEP = 0.001
 PILE = 4 << 20
 #: Shards of a model, at least, and entries of a shard, about.
 LEAST_SHARDS, SHARD_ENTRIES = 32, 1 << 20
+#: Piles whose grams one task of a shard answers, about.
+ANSWER_PILES = 256
 #: Symbols that are counted at once.
 SLICE = 1 << 20
 
@@ -334,23 +336,26 @@ def piece_grams(head: str, body: str, ends: bool) -> np.ndarray:
     return packed(symbols[begin : None if ends else -1])
 
 
-def answers(asked: DataFrame, model: DataFrame) -> DataFrame:
+def answers(asked: DataFrame, model: DataFrame, salts: int = 1) -> DataFrame:
     """(pile, shard, lps) of ``asked`` (fold, shard, pile, grams): a task holds
-    the tables of one shard at a time, and the lists stream past them."""
-    keys = ["fold", "shard"]
-    entries = model.select(*keys, F.lit(0).alias("later"), "ord", "kind", "code", "value", F.lit(None).cast("long").alias("pile"), F.lit(None).cast("array<bigint>").alias("grams"))
-    lists = asked.select(*keys, F.lit(1).alias("later"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("value"), "pile", "grams")
+    the tables of one shard at a time, and the lists stream past them. Each
+    shard has ``salts`` tasks with its tables, which share out the piles."""
+    keys = ["fold", "shard", "salt"]
+    model = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("pile"), F.lit(salts)).cast("int"))
+    entries = model.select(*keys[:2], F.lit(0).alias("later"), "ord", "kind", "code", "value", F.lit(None).cast("long").alias("pile"), F.lit(None).cast("array<bigint>").alias("grams"), "salt")
+    lists = asked.select(*keys[:2], F.lit(1).alias("later"), F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("code"), F.lit(None).cast("double").alias("value"), "pile", "grams", "salt")
     both = entries.unionByName(lists).repartition(*keys).sortWithinPartitions(*keys, "later")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, heap, tables = None, [], None
         for batch in batches:
-            fold, shard, later = (batch.column(k).to_numpy() for k in range(3))
-            number = np.cumsum(np.r_[0, (fold[1:] != fold[:-1]) | (shard[1:] != shard[:-1])])
+            fold, shard, later, salt = (batch.column(k).to_numpy() for k in (0, 1, 2, 9))
+            number = np.cumsum(np.r_[0, (fold[1:] != fold[:-1]) | (shard[1:] != shard[:-1]) | (salt[1:] != salt[:-1])])
             for n in range(int(number[-1]) + 1 if len(number) else 0):
                 at, to = np.searchsorted(number, [n, n + 1])
-                if (fold[at], shard[at]) != now:
-                    now, heap, tables = (fold[at], shard[at]), [], None
+                if (fold[at], shard[at], salt[at]) != now:
+                    now, heap, tables = (fold[at], shard[at], salt[at]), [], None
                 first = at + int(np.searchsorted(later[at:to], 1))
                 if first > at:
                     part = batch.slice(at, first - at)
@@ -374,7 +379,8 @@ def perplexities(rows: DataFrame, model: DataFrame, size: int = PILE) -> DataFra
     shards = max(LEAST_SHARDS, -(-model.count() // SHARD_ENTRIES))
     made = stored_by(pieces(rows, shards, size), "pieces", "pile")  # so that texts need no shuffle to meet their answers
     cut = made.filter("shard IS NULL").drop("fold", "shard", "grams")
-    found = answers(made.filter("shard IS NOT NULL").select("fold", "shard", "pile", "grams"), sharded(model, shards))
+    salts = max(1, -(-made.filter("shard = 0").count() // ANSWER_PILES))
+    found = answers(made.filter("shard IS NOT NULL").select("fold", "shard", "pile", "grams"), sharded(model, shards), salts)
 
     def judge(texts: pa.Table, known: pa.Table) -> pa.Table:
         own = []

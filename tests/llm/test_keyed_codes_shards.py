@@ -293,3 +293,13 @@ def test_pipeline_stages_take_any_column_names(spark, stage):
     name, run = corpus_pipeline.STAGES[stage]
     out = run(spark, df, SF)
     assert out.count() and (name == "sentencepiece" or out.columns == names)
+
+
+def test_salted_shards_answer_alike(spark, monkeypatch):
+    from siltstone.llm import kneser_ney
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    plain = lambda: sorted(map(tuple, kneser_ney.classify(docs, labels, size=20_000).collect()))
+    want = plain()
+    monkeypatch.setattr(kneser_ney, "ANSWER_PILES", 3)
+    assert plain() == want
