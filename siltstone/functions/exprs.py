@@ -131,6 +131,7 @@ def species_of_uniprot(description: Column) -> Column:
     """Species of a UniProtKB entry name, empty if there is none: the first
     word up to ``/`` as ``db|accession|name_SPECIES``."""
     word = F.substring_index(F.get(F.filter(F.split(description, r"\s+"), lambda x: x != ""), F.lit(0)), "/", 1)
+    # Fixed value: the form of a data base's sequence names.
     form = r"^(?:tr|sp)\|[A-Za-z0-9]{6,10}(?:_\d)?\|[A-Za-z0-9]+_([A-Za-z0-9]{1,5})(?:_\d+)?$"
     return F.coalesce(F.regexp_extract(word, form, 1), F.lit(""))
 

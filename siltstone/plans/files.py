@@ -59,6 +59,7 @@ def fasta_records(spark, d):
     return texts.fasta_records(spark, path).select("description", F.md5("sequence").alias("sequence"))
 
 
+# Fixed value: the form of a data base's sequence names.
 UNIPROT = r"^(?:tr|sp)\|[A-Za-z0-9]{6,10}(?:_\d)?\|[A-Za-z0-9]+_([A-Za-z0-9]{1,5})(?:_\d+)?$"
 HITS = """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'tr|A' || lpad(c_custkey::VARCHAR, 7, '0') || '|A0_' || upper(substr(c_mktsegment, 1, 5)) || '/1-50 x' WHEN 1 THEN '  sp|P' || lpad(c_custkey::VARCHAR, 6, '0') || '_1|A3X1_LOX' || c_nationkey || '_7 y'
 WHEN 2 THEN 'UniRef100_A' || c_custkey || '_' || (9000 + c_nationkey) || '/1-99' WHEN 3 THEN 'UniRef100_A' || c_custkey || '/1-99' WHEN 4 THEN 'tr|A1|B_C' ELSE '' END AS description FROM customer"""
