@@ -10,13 +10,22 @@ the largest inner products. Codebooks are fitted on a bounded sample (the
 The index is made once and stored: for each row its packed codes, two parts a
 byte, its length and its vector, dealt by number into groups of bounded size.
 Queries, one for each id, are numbered into chunks of bounded size and stored
-likewise. Rows go to groups by their place, so repeated ids spread. Each group meets each chunk in a task of its own, by one shuffle, so
-nothing goes to the driver and nothing is broadcast, and a group's memory does
-not grow with the input: a table of 256 scores for each byte and query is
-summed over the codes, the best ``rerank`` of a block and query, and all that
-tie with the last of them, are scored exactly in double precision on the
-original vectors, and a task keeps its ``k`` best for each query. A last window
-ranks them. The scan is of all queries and rows and so quadratic by meaning.
+likewise. Rows go to groups by their place, so repeated ids spread. Each group
+meets each chunk in a task of its own, by one shuffle, so nothing goes to the
+driver and nothing is broadcast, and a task's memory does not grow with the
+input: a table of 256 scores for each byte and query is summed over the codes,
+the best ``rerank`` of a block and query, and all that tie with the last of
+them, are scored exactly in double precision on the original vectors, and a
+task keeps its ``k`` best for each query. A last window ranks them. The scan is
+of all queries and rows and so quadratic by meaning.
+
+What is shuffled, a row for each chunk, a query and its ``k`` finds for each
+group, shrinks as chunks and groups grow; their bounds are what a task's memory
+allows (some 40 MB of rows and 100 MB of queries at 64 components). Vectors
+travel with the codes and candidates meet them in the task. With codes alone
+every candidate would be sent to its vector, some 24 bytes each; a query's
+share of a group's vectors is 512 bytes, and it has ``rerank`` candidates in
+each block.
 
 Defined results: vectors that are null, empty, zero, of another length than the
 query of smallest id, or that hold null or non-finite components, and null ids,
@@ -43,11 +52,11 @@ from .embedding_dedup import usable
 #: Vectors that codebooks are fitted on, at most.
 SAMPLE = 20_000
 #: Rows of a group of the index, at most.
-GROUP = 16384
+GROUP = 131_072
 #: A table of so many groups (16 bytes each) is broadcast.
 BROADCAST_GROUPS = 200_000
 #: Queries of a chunk, at most.
-QUERY_CHUNK = 16384
+QUERY_CHUNK = 65_536
 #: Rows of a block that are scored together.
 BLOCK = 4096
 WORDS = 16
@@ -166,13 +175,14 @@ def packed(codes: np.ndarray) -> np.ndarray:
 def encoded(source: DataFrame, dim: int, books: np.ndarray, eta: float) -> DataFrame:
     """(dealt, id, codes, length, vec) of (id, vec), ``dealt`` the group of at
     most ``GROUP`` rows, whatever their ids; narrow."""
+    group = GROUP
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, read = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                dealt = task + np.arange(read, read + part.num_rows) // GROUP
+                dealt = task + np.arange(read, read + part.num_rows) // group
                 read += part.num_rows
                 x = _matrix(part.column(1), dim)
                 length = _lengths(x)
