@@ -1,8 +1,9 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters, order four: a gram packs four 16-bit symbols in a
-long (code points from U+FFFF on share one symbol), so grams and contexts of
-all orders are shifts and masks of it. Counts of the trusted rows are summed in
+The model is over characters, order four: symbols are UTF-16 units, so that a
+code point beyond U+FFFF is two of them and none share one. A gram packs four
+symbols in a long, so grams and contexts of all orders are shifts and masks of
+it. Counts of the trusted rows are summed in
 each Arrow batch, then by a sharded aggregate; continuation counts, discounts
 from the counts of counts, context sums and interpolated probabilities are
 joins of the count tables, sharded by gram. Grams that begin with the mark of a
@@ -75,8 +76,11 @@ def packed(symbols: np.ndarray) -> np.ndarray:
 
 
 def symbols_of(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.r_[np.full(ORDER - 1, BEGIN), np.minimum(points, 0xFFFF), END].astype(np.uint64)
+    return np.r_[np.full(ORDER - 1, BEGIN), units_of(text), END].astype(np.uint64)
+
+
+def units_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
 
 
 def text_grams(text: str) -> Iterator[np.ndarray]:
@@ -252,7 +256,7 @@ def sharded(model: DataFrame, shards: int) -> DataFrame:
 
 def pieces(rows: DataFrame, shards: int, size: int = PILE) -> DataFrame:
     """``rows`` (id, lang, trusted, fold, text) with texts in pieces of at most
-    ``size`` symbols, ``head`` the three symbols before a piece. The pieces of a
+    ``size`` characters, ``head`` the three characters before a piece. The pieces of a
     pile are of one fold and, but for the last, hold less than ``size`` symbols.
     A row has the pieces of a pile that were read together: (pile, fold, and
     lists who, row, head, length, ends), their texts joined and packed in
@@ -301,7 +305,7 @@ def pieces(rows: DataFrame, shards: int, size: int = PILE) -> DataFrame:
                     state = open_[fold]
                     cut.append((n, task + read, state[0], fold, head, part, ends))
                     grams = piece_grams(head, part, ends)
-                    state[1] += len(part) + 1
+                    state[1] += len(grams)
                     state[3].append(grams)
                     state[4] += len(grams)
                     if state[4] > SLICE:
@@ -329,10 +333,10 @@ def by_shard(grams: np.ndarray, shards: int) -> list[np.ndarray]:
 
 
 def piece_grams(head: str, body: str, ends: bool) -> np.ndarray:
-    """The grams of a piece's symbols; a head of less than three symbols is the
-    text's begin."""
+    """The grams of a piece's symbols; a head of less than three characters is
+    the text's begin."""
     symbols = symbols_of(head + body)
-    begin = len(head) if len(head) == ORDER - 1 else 0
+    begin = len(units_of(head)) if len(head) == ORDER - 1 else 0
     return packed(symbols[begin : None if ends else -1])
 
 
@@ -430,7 +434,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = rows.select("id", "lang", F.coalesce("good", F.lit(False)).alias("trusted"), F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), "text")
     having = [r.fold for r in rows.filter("trusted").select("fold").distinct().collect()]  # two at most
     if not having:
-        return source.select(F.col("id").alias(id_col), "lang", (F.char_length("text") + 1).cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
+        return source.select(F.col("id").alias(id_col), "lang", (F.char_length(F.regexp_replace("text", r"[\x{10000}-\x{10FFFF}]", "xx")) + 1).cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
     if len(having) == 1:
         rows = rows.withColumn("fold", F.lit(having[0]))
     judge = F.col("fold") if len(having) == 1 else 1 - F.col("fold")

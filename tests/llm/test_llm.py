@@ -100,11 +100,16 @@ def test_embedding_links(spark):
 
 
 # 3 quality
+def units(text):
+    """UTF-16 units, two for a code point beyond U+FFFF."""
+    return [u for c in map(ord, text) for u in ([c] if c < 0x10000 else [0xD800 + (c - 0x10000 >> 10), 0xDC00 + (c - 0x10000 & 0x3FF)])]
+
+
 def kneser_ney_by_hand(texts):
     """(first three symbols, symbol) -> probability, from plain dictionaries."""
     count = [{} for _ in range(5)]
     for text in texts:
-        symbols = [1, 1, 1, *[min(ord(c), 0xFFFF) for c in text], 2]
+        symbols = [1, 1, 1, *units(text), 2]
         for at in range(3, len(symbols)):
             gram = tuple(symbols[at - 3 : at + 1])
             count[4][gram] = count[4].get(gram, 0) + 1
@@ -139,9 +144,9 @@ def kneser_ney_by_hand(texts):
 
 def test_kneser_ney_is_brute_force(spark):
     draw = np.random.default_rng(5)
-    words = ["abra", "cad", "bar", "dab", "card", "a", "zé", "😀"]
+    words = ["abra", "cad", "bar", "dab", "card", "a", "zé", "😀", "😁🀄x"]
     texts = [" ".join(draw.choice(words, draw.integers(1, 12))) for _ in range(60)]
-    other = ["", "xyz abra", "zzzz", "card " * 40, "\x00\U0001f600", None, texts[0]]
+    other = ["", "xyz abra", "zzzz", "card " * 40, "\x00\U0001f600", None, texts[0], "🀄" * 30 + "a", "\uffff😁"]
     every = [*texts, *other]
     labels = spark.createDataFrame([(n, 1, 0) for n in range(len(texts))], "doc_id long, quality int, toxic int")
     df = docs(spark, every)
@@ -151,7 +156,7 @@ def test_kneser_ney_is_brute_force(spark):
         got = {r.doc_id: r for r in kneser_ney.classify(df, labels, size=size).collect()}
         assert len(got) == len(every)
         for n, text in enumerate(every):
-            symbols = [1, 1, 1, *[min(ord(c), 0xFFFF) for c in text or ""], 2]
+            symbols = [1, 1, 1, *units(text or ""), 2]
             p = by_fold[1 - fold[n]]
             want = -sum(math.log(p(tuple(symbols[k - 3 : k]), symbols[k])) for k in range(3, len(symbols))) / (len(symbols) - 3)
             assert got[n].n_symbols == len(symbols) - 3 and abs(got[n].perplexity - math.exp(want)) <= 1e-4 + 1e-6 * math.exp(want), (size, text)
@@ -167,6 +172,7 @@ def test_kneser_ney_rejects_junk_and_keeps_edges(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.5
     none = kneser_ney.classify(docs(spark, ODD), labels.limit(0))
     assert none.filter("kept").count() == len(ODD)
+    assert kneser_ney.classify(docs(spark, ["a😀\uffff"]), labels.limit(0)).first().n_symbols == 5
     some = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert kneser_ney.classify(docs(spark, ODD), some).count() == len(ODD)
     assert kneser_ney.classify(docs(spark, []), some).count() == 0
@@ -325,6 +331,15 @@ def test_ann_recall(spark):
     assert anisotropic_ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ann_in_many_groups_and_chunks(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    found = lambda: {(r.query_id, r["rank"], r.vec_id) for r in anisotropic_ann.nearest(df, F.col("vec_id") % 20 == 0, rerank=10_000).collect()}
+    one = found()
+    monkeypatch.setattr(anisotropic_ann, "GROUP", 60)
+    monkeypatch.setattr(anisotropic_ann, "QUERY_CHUNK", 4)
+    assert found() == one and len(one) == 5 * df.filter("vec_id % 20 = 0").count()
+
+
 def test_ann_of_repeated_rows_ties_and_clashing_columns(spark):
     draw = np.random.default_rng(2)
     x = np.round(draw.standard_normal((120, 9)), 2)
