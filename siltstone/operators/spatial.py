@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import squared_distance
 from .relational import dense_number
+from .shared import stored
+
+#: Queries and points of a structure that meet in one group, about.
+BLOCK = 512
+#: A table of so many large structures (about 40 bytes each) is broadcast.
+BROADCAST_GROUPS = 200_000
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius: float, keys: list[str] | None = None, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -32,20 +38,36 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, keys: list[st
     return joined.withColumn("distance", F.sqrt(total)).filter(F.col("distance") <= radius).drop(*axes, *[f"__l{x}" for x in axes], *[f"__c{i}" for i in range(len(axes))])
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, keys: list[str], query_id: str, point_id: str, query_vec: str, point_vec: str, shares: int = 8) -> DataFrame:
+def knn(queries: DataFrame, points: DataFrame, k: int, keys: list[str], query_id: str, point_id: str, query_vec: str, point_vec: str, block: int = BLOCK) -> DataFrame:
     """The ``k`` nearest points of each query within the same ``keys`` (a
     structure), itself included if it is among them; ties to the smaller id.
-
-    Queries of a structure are dealt to ``shares`` tasks, and its points go to
-    each, so one large structure is not one task's; each task keeps its ``k``
-    best (a group limit before the shuffle)."""
-    dealt = queries.withColumn("__share", F.pmod(F.xxhash64(query_id), F.lit(shares)).cast("int"))
-    each = points.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    pairs = dealt.join(each, [*keys, "__share"]).withColumn("d2", squared_distance(F.col(query_vec), F.col(point_vec)))
+    Rows whose keys are null meet nothing.
+
+    Structures of more than ``block`` queries or points are cut into blocks by a
+    hash of the id, as many as their counts ask for, and each block of queries
+    meets each block of points in a group of its own. So work is dealt in equal
+    pieces whatever the size of a structure, and each task passes on its ``k``
+    best only (a group limit before the shuffle)."""
+    of_queries, of_points = block_counts(queries, keys, block, "__qn"), block_counts(points, keys, block, "__pn")
+    number = lambda n: F.coalesce(F.col(n), F.lit(1))
+    own = lambda i, n, seed: F.pmod(F.xxhash64(i, F.lit(seed)), number(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), number(n) - 1))
+    counted = lambda df: df.join(of_queries, keys, "left").join(of_points, keys, "left")
+    asked = counted(queries).withColumn("__q", own(query_id, "__qn", 3)).withColumn("__p", each("__pn")).drop("__qn", "__pn")
+    found = counted(points).withColumn("__p", own(point_id, "__pn", 5)).withColumn("__q", each("__qn")).drop("__qn", "__pn")
+    pairs = asked.join(found, [*keys, "__q", "__p"]).withColumn("d2", squared_distance(F.col(query_vec), F.col(point_vec)))
     order = Window.partitionBy(query_id).orderBy("d2", point_id)
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*keys, query_id, point_id, "d2", "rank")
 
 
+def block_counts(rows: DataFrame, keys: list[str], block: int, name: str) -> DataFrame:
+    """(keys, ``name``): the blocks that groups of more than ``block`` rows are
+    cut into; smaller groups are not listed. Broadcast up to a size."""
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block)
+    large = stored(large.select(*keys, F.ceil(F.col("__n") / F.lit(float(block))).cast("int").alias(name)), "large-groups")
+    return F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large
+
+
 def nearest_centre(rows: DataFrame, centres: DataFrame, row_id: str, signs: str, centre_id: str, centre_signs: str, block: int = 1000) -> DataFrame:
     """(row, cluster, agree): of any number of centres the one that most columns
     agree with, the smaller id on ties. Centres meet the rows in blocks of

@@ -199,3 +199,22 @@ def test_components_are_union_find(spark):
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
     assert {r.node: r.component for r in graph.components(df.select("a").union(df.select("b")), df).collect()} == {x: find(x) for x in list(root)}
+
+
+def test_knn_in_blocks_is_brute_force(spark, monkeypatch):
+    """One structure of many blocks, one of one, one without points; ties and
+    null keys; the same with and without a broadcast of the counts."""
+    draw = np.random.default_rng(4)
+    place = {n: draw.integers(0, 6, 3).astype(float).tolist() for n in range(160)}
+    home = {n: "big" if n < 120 else "small" if n < 150 else None for n in place}
+    points = spark.createDataFrame([(home[n], n, v) for n, v in place.items()], "s string, p long, pv array<double>")
+    asked = spark.createDataFrame([*[(home[n], n, v) for n, v in place.items() if n % 3 == 0], ("alone", 999, [0.0] * 3)], "s string, q long, qv array<double>")
+    want = set()
+    for n in [n for n in place if n % 3 == 0 and home[n]]:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(place[n], place[m])), m) for m in place if home[m] == home[n])[:4]
+        want |= {(home[n], n, m, d, r) for r, (d, m) in enumerate(near, 1)}
+    for bound in (spatial.BROADCAST_GROUPS, 0):
+        monkeypatch.setattr(spatial, "BROADCAST_GROUPS", bound)
+        got = spatial.knn(asked, points, 4, ["s"], "q", "p", "qv", "pv", block=16)
+        assert {tuple(r) for r in got.collect()} == want
+    assert spatial.knn(asked, points.limit(0), 4, ["s"], "q", "p", "qv", "pv").count() == 0
