@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +89,8 @@ def clash_removals(records: DataFrame, structure: str, first: str, second: str,
     either side loses the chain outside the core, else that of larger share,
     else of fewer atoms, else of larger id. Chains that are one molecule do not
     clash: ``bonded`` has (structure, chain, chain) of those that covalent bonds
-    join, in either order. The scan is a fold over a structure's pairs above the
-    limit, the only rows that are gathered."""
+    join, in either order; pairs with a null chain are skipped. The scan gathers
+    a structure's pairs above the limit only, in one pass of them."""
     if bonded is not None:
         s, a, b = bonded.columns
         joined = bonded.select(F.col(s).alias(structure), F.least(a, b).alias(first), F.greatest(a, b).alias(second))
@@ -102,16 +103,19 @@ def clash_removals(records: DataFrame, structure: str, first: str, second: str,
         .otherwise(F.col(atoms_first) < F.col(atoms_second))
     )
     over = records.filter((share_i > limit) | (share_j > limit))
-    pair = F.struct(F.col(first).alias("i"), F.col(second).alias("j"), loses_i.alias("loses_i"))
-    listed = over.groupBy(structure).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-    kind = records.schema[first].dataType.simpleString()
-
-    def step(gone: Column, p: Column) -> Column:
-        known = F.array_contains(gone, p["i"]) | F.array_contains(gone, p["j"])
-        return F.when(known, gone).otherwise(F.concat(gone, F.array(F.when(p["loses_i"], p["i"]).otherwise(p["j"]))))
-
-    removed = F.aggregate("pairs", F.array().cast(f"array<{kind}>"), step)
-    return listed.select(structure, F.explode(removed).alias("chain"))
+    pairs = over.select(F.col(structure).alias("s"), F.col(first).alias("i"), F.col(second).alias("j"), F.coalesce(loses_i, F.lit(False)).alias("loses_i")).filter("i IS NOT NULL AND j IS NOT NULL")
+    kind = lambda c: records.schema[c].dataType.simpleString()
+    return pairs.groupBy("s").applyInArrow(_scan_pairs, f"s {kind(structure)}, chain {kind(first)}").select(F.col("s").alias(structure), "chain")
+
+
+def _scan_pairs(pairs: pa.Table) -> pa.Table:
+    """The chains that the scan of one structure's pairs removes, by look-up in
+    a set, so that its time grows with the pairs only."""
+    gone: dict = {}
+    for i, j, loses_i in sorted(zip(*(pairs[c].to_pylist() for c in ("i", "j", "loses_i")))):
+        if i not in gone and j not in gone:
+            gone[i if loses_i else j] = None
+    return pa.table({"s": pairs["s"].slice(0, 1).take(pa.array([0] * len(gone), pa.int64())), "chain": pa.array(list(gone), pairs["i"].type)})
 
 
 def delete_blocks(df: DataFrame, group: str, order: list[Column], blocks: int, fraction: float, seed: str) -> DataFrame:

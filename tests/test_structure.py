@@ -91,6 +91,24 @@ def test_bonded_chains_do_not_clash(spark):
     assert alone.count() == 0 and structure.clash_removals(rows, *names, bonded=bonds).count() == 1
 
 
+def test_clash_scan_of_many_pairs(spark):
+    """Some thousands of pairs in a structure, repeated ones, a null chain."""
+    draw = random.Random(7)
+    pairs = {(s, *sorted(draw.sample(range(400), 2))) for s in (1, 2, None) for _ in range(3000)}
+    rows = [(s, i, j, draw.randint(0, 9), draw.randint(0, 9), 20, 20, False, False) for s, i, j in pairs]
+    names = ["structure", "i", "j", "hits_i", "hits_j", "atoms_i", "atoms_j", "core_i", "core_j"]
+    df = spark.createDataFrame([*rows, *rows[:50], (1, None, 3, 9, 9, 20, 20, False, False)], "structure int, i long, j long, hits_i int, hits_j int, atoms_i int, atoms_j int, core_i boolean, core_j boolean")
+    want = set()
+    for s in (1, 2, None):
+        gone = set()
+        for _, i, j, a, b, *_ in sorted((r for r in rows if r[0] == s), key=lambda r: r[1:3]):
+            if max(a, b) / 20 > 0.3 and not {i, j} & gone:
+                gone.add(i if a > b else j)
+        want |= {(s, c) for c in gone}
+    got = [tuple(r) for r in structure.clash_removals(df, *names).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_sidechain_features(spark):
     got = {(r.residue, r.atom): r for r in sidechain.feature_table(spark).collect()}
     f = lambda residue, atom: got[residue, atom].features
