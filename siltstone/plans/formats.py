@@ -69,7 +69,7 @@ ROW = "array_to_string(list_transform(embedding[{}:{}], lambda x: " + LETTER + "
 
 
 def row(start, stop):
-    return F.array_join(F.transform(F.slice("embedding", start, stop - start + 1), lambda x: F.when(x > F.lit(0.1), "A").when(x < F.lit(-0.1), "C").otherwise("-")), "")
+    return F.array_join(F.transform(F.slice("embedding", start, stop - start + 1), lambda x: F.when(x > F.lit(0.1).cast("float"), "A").when(x < F.lit(-0.1).cast("float"), "C").otherwise("-")), "")
 
 
 @query(f"""WITH r AS (SELECT vec_id, {ROW.format(1, 32)} AS q, {ROW.format(33, 64)} AS h FROM embeddings), n AS (SELECT vec_id, unnest([0, 1]) AS position, q, CASE unnest([0, 1]) WHEN 0 THEN q ELSE h END AS s FROM r),
