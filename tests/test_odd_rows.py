@@ -38,9 +38,22 @@ def vectors(n, seed=1):
     return np.random.default_rng(seed).normal(0, 0.12, (n, 64)).astype(np.float32)
 
 
+def small():
+    """Vectors with components that round to zero from either side, and halves."""
+    v = vectors(24)
+    v[::2, :64:5], v[1::2, :64:3], v[4], v[6, :9] = -2e-7, 3e-7, 0.0, [-0.0, 0, 0, 0, -0.0, 0, 0, 0, -0.0]
+    v[8:, 10], v[9:, 11] = -0.0000005, 2.0**-7
+    return v.tolist()
+
+
 @pytest.mark.parametrize("name", ["alignment_columns", "alignment_copies", "alignment_first", "stockholm_rows", "hhr_hits", "hmmsearch_hits"])
 def test_component_at_a_letters_bound(spark, tmp_path, name):
     v = vectors(16)
     v[:, ::3], v[:, 1::6], v[:, 2::6] = 0.15, 0.1, -0.1
     v[3, :8], v[5, :8] = -0.15, 0.08
     agrees(spark, table(tmp_path, v.tolist()), name)
+
+
+@pytest.mark.parametrize("name", ["pad_truncate", "virtual_point"])
+def test_zero_keeps_its_sign_in_vectors(spark, tmp_path, name):
+    agrees(spark, table(tmp_path, small()), name)
