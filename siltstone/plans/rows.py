@@ -28,7 +28,7 @@ def list_literal_size(spark, d):
 
 @query("SELECT vec_id, list_transform(embedding[1:3], lambda x: round(x::DOUBLE, 4)) AS numbers, [vec_id, label::BIGINT] AS ints FROM embeddings")
 def parse_arrays(spark, d):
-    text = F.concat(F.lit("["), F.array_join(F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double"), 4).cast("string")), " "), F.lit("]"))
+    text = F.concat(F.lit("["), F.array_join(F.transform(F.slice("embedding", 1, 3), lambda x: X.rounded(x.cast("double"), 4).cast("string")), " "), F.lit("]"))
     ints = F.concat(F.lit("["), F.col("vec_id").cast("string"), F.lit(", "), F.col("label").cast("string"), F.lit("]"))
     return t(spark, d, "embeddings").select("vec_id", X.spaced_numbers(text).alias("numbers"), X.list_literal(ints, "array<bigint>").alias("ints"))
 

@@ -57,3 +57,8 @@ def test_component_at_a_letters_bound(spark, tmp_path, name):
 @pytest.mark.parametrize("name", ["pad_truncate", "virtual_point"])
 def test_zero_keeps_its_sign_in_vectors(spark, tmp_path, name):
     agrees(spark, table(tmp_path, small()), name)
+
+
+def test_zero_keeps_its_sign_through_a_text(spark, tmp_path):
+    got = agrees(spark, table(tmp_path, small()), "parse_arrays")
+    assert any("-0.0" in r[1] for r in got)
