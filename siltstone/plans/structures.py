@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..operators import spatial as P
 from ..operators import structure as S
 from . import groups
@@ -32,7 +33,7 @@ def axes_sql(negative_x: int, origin: int, plane: int, eps: str = "1e-8") -> str
 def rigid_frames(spark, d):
     """Backbone frames: first axis from C to CA, N in the plane."""
     f = S.with_frame(t(spark, d, "embeddings").select("vec_id", "embedding"), part(2), part(1), part(0), "f")
-    short = lambda a: F.transform(a, lambda x: F.round(x, 6))
+    short = lambda a: F.transform(a, lambda x: X.rounded(x, 6))
     return f.select("vec_id", short(F.concat("f.e0", "f.e1", "f.e2")).alias("axes"), short(F.col("f.origin")).alias("origin"))
 
 
@@ -45,7 +46,7 @@ SELECT vec_id, round(z / sqrt(y * y + z * z + 1e-8), 6) AS sin, round(y / sqrt(y
 def torsions(spark, d):
     """Sine and cosine of the torsion of four points."""
     f = S.with_torsion(t(spark, d, "embeddings").select("vec_id", "embedding"), part(0), part(1), part(2), part(3), "angle")
-    return f.select("vec_id", F.round("angle.sin", 6).alias("sin"), F.round("angle.cos", 6).alias("cos"))
+    return f.select("vec_id", X.rounded(F.col("angle.sin"), 6).alias("sin"), X.rounded(F.col("angle.cos"), 6).alias("cos"))
 
 
 @query(
