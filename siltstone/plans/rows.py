@@ -425,7 +425,7 @@ def sample_keep_first(spark, d):
 @query("""SELECT vec_id, list_transform(embedding[1 + s:1 + s + 15], lambda x: round(x::DOUBLE, 6)) AS crop, s AS start FROM (SELECT vec_id, embedding, (('0x' || substr(md5('crop' || vec_id), 1, 8))::BIGINT % (len(embedding) - 15)) AS s FROM embeddings)""")
 def crop_slice(spark, d):
     start = X.hash_int(F.col("vec_id"), "crop") % (F.size("embedding") - 15)
-    return t(spark, d, "embeddings").withColumn("start", start).select("vec_id", F.transform(F.slice("embedding", F.col("start").cast("int") + 1, F.lit(16)), lambda x: F.round(x.cast("double"), 6)).alias("crop"), "start")
+    return t(spark, d, "embeddings").withColumn("start", start).select("vec_id", F.transform(F.slice("embedding", F.col("start").cast("int") + 1, F.lit(16)), lambda x: X.rounded(x.cast("double"), 6)).alias("crop"), "start")
 
 
 @query("""SELECT doc_id, CASE WHEN u < 0.2 THEN 'contiguous' WHEN u < 0.6 THEN 'spatial' ELSE 'interface' END AS method FROM (SELECT doc_id, ('0x' || substr(md5('method' || doc_id), 1, 8))::BIGINT / 4294967296.0 AS u FROM documents)""")

@@ -69,3 +69,8 @@ def test_zero_keeps_its_sign_in_axes(spark, tmp_path, name):
     v = vectors(12)
     v[:, :9], v[::2, 6], v[1::2, 3] = [1, 0, 0, 0, 0, 0, 0, 1, 0], 1e-7, -1e-7
     agrees(spark, table(tmp_path, v.tolist()), name)
+
+
+def test_zero_keeps_its_sign_in_crops(spark, tmp_path):
+    got = agrees(spark, table(tmp_path, small()), "crop_slice")
+    assert any("-0.0" in r[1] for r in got)
