@@ -27,7 +27,7 @@ NUM = "round(embedding[{}]::DOUBLE * 10, {})"
 {', '.join(f"{NUM.format(k + 1, 3)} AS {a}" for k, a in enumerate('xyz'))}, 'C' AS element FROM embeddings WHERE label IS NOT NULL""")
 def pdb_atoms(spark, d):
     """Fixed-width lines of atoms, among lines of other kinds."""
-    line = F.format_string("HETATM%5d  CA  ALA %s%4d    %8.3f%8.3f%8.3f  1.00  0.00           C  ", F.col("vec_id"), F.char((F.col("label") + 65).cast("long")), F.col("vec_id") % 1000, *[F.get("embedding", F.lit(k)).cast("double") * 10 for k in range(3)])
+    line = F.format_string("HETATM%s  CA  ALA %s%4d    %8.3f%8.3f%8.3f  1.00  0.00           C  ", texts.pdb_serial(F.col("vec_id")), F.char((F.col("label") + 65).cast("long")), F.col("vec_id") % 1000, *[F.get("embedding", F.lit(k)).cast("double") * 10 for k in range(3)])
     rows = embeddings(spark, d).filter("label IS NOT NULL").select(F.concat(F.lit("f"), F.col("label").cast("string")).alias("file"), F.explode(F.array(line, F.lit("TER"), F.lit("REMARK ATOM"))).alias("value"))
     return texts.pdb_atoms(rows)
 

@@ -20,12 +20,29 @@ def whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.replace("value", F.lit("\r"), F.lit("")).alias("text"))
 
 
+def pdb_serial(serial: Column) -> Column:
+    """A serial in the five columns that a PDB line has for it: decimal to
+    99,999, then hybrid-36, A0000 to zzzzz, that is to 87,440,031. The query
+    fails for others."""
+    over, half = serial - 100_000, 26 * 36**4
+    digits = lambda x: F.conv((x + 10 * 36**4).cast("string"), 10, 36)
+    wrong = F.raise_error(F.concat(F.lit("no PDB serial: "), serial.cast("string"))).cast("string")
+    text = F.when(over < 0, F.lpad(serial.cast("string"), 5, " ")).when(over < half, digits(over)).otherwise(F.lower(digits(over - half)))
+    return F.when((serial <= -10_000) | (over >= 2 * half), wrong).otherwise(text)
+
+
+def serial_of(text: Column) -> Column:
+    """The number that :func:`pdb_serial` wrote; null where there is none."""
+    code = F.conv(text, 36, 10).cast("long") - 10 * 36**4 + 100_000
+    return F.when(text.rlike("^[A-Z][0-9A-Z]{4}$"), code).when(text.rlike("^[a-z][0-9a-z]{4}$"), code + 26 * 36**4).otherwise(text.try_cast("int")).cast("int")
+
+
 def pdb_atoms(rows: DataFrame) -> DataFrame:
     """Atoms of fixed-width ATOM and HETATM lines ``value``."""
     cut = lambda start, size: F.trim(F.substring("value", start, size))
     group = cut(1, 6)
     return rows.filter(group.isin("ATOM", "HETATM")).select(
-        "file", group.alias("group"), cut(7, 5).try_cast("int").alias("serial"), cut(13, 4).alias("atom"), cut(18, 3).alias("residue"), F.substring("value", 22, 1).alias("chain"),
+        "file", group.alias("group"), serial_of(cut(7, 5)).alias("serial"), cut(13, 4).alias("atom"), cut(18, 3).alias("residue"), F.substring("value", 22, 1).alias("chain"),
         cut(23, 4).try_cast("int").alias("seq_id"), cut(27, 1).alias("insertion"), *[cut(31 + 8 * k, 8).try_cast("double").alias(a) for k, a in enumerate("xyz")], cut(77, 2).alias("element"),
     )
 

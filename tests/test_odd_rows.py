@@ -74,3 +74,9 @@ def test_zero_keeps_its_sign_in_axes(spark, tmp_path, name):
 def test_zero_keeps_its_sign_in_crops(spark, tmp_path):
     got = agrees(spark, table(tmp_path, small()), "crop_slice")
     assert any("-0.0" in r[1] for r in got)
+
+
+def test_atom_serials_of_more_than_five_digits(spark, tmp_path):
+    ids = [0, 9, 12_345, 99_999, 100_000, 100_001, 123_456, 999_999, 43_770_015, 43_770_016, 87_440_031]
+    got = agrees(spark, table(tmp_path, vectors(len(ids)).tolist(), ids), "pdb_atoms")
+    assert sorted(r[2] for r in got) == ids
