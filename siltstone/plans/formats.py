@@ -165,7 +165,11 @@ def mmcif_metadata(spark, d):
     return mmcif.metadata(cif_files(spark, d)).select("pdb_id", "assembly_num", "exp_method", "resolution", "chain_ids", F.col("num_ligand_atoms").alias("ligand_atoms"))
 
 
-@query(f"SELECT structure, vec_id::INTEGER AS serial FROM ({AT}) WHERE n % 5 <> 0")
+#: Atoms that stay: B goes before A where a residue has both; an A alone stays.
+STAYS = "(n % 5 <> 0 OR NOT EXISTS (SELECT 1 FROM embeddings b WHERE b.vec_id = a.vec_id + 1))"
+
+
+@query(f"SELECT structure, vec_id::INTEGER AS serial FROM ({AT}) a WHERE {STAYS}")
 def mmcif_alternatives(spark, d):
     """Of two alternatives the one of larger mean occupancy, residue by residue."""
     return structure_of(mmcif.one_alternative(mmcif.atoms(cif_files(spark, d)), "largest")).select("structure", "serial")

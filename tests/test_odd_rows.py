@@ -80,3 +80,9 @@ def test_atom_serials_of_more_than_five_digits(spark, tmp_path):
     ids = [0, 9, 12_345, 99_999, 100_000, 100_001, 123_456, 999_999, 43_770_015, 43_770_016, 87_440_031]
     got = agrees(spark, table(tmp_path, vectors(len(ids)).tolist(), ids), "pdb_atoms")
     assert sorted(r[2] for r in got) == ids
+
+
+@pytest.mark.parametrize("n", [36, 30, 26, 37])
+def test_alternative_alone_in_its_residue(spark, tmp_path, n):
+    got = agrees(spark, table(tmp_path, vectors(n).tolist()), "mmcif_alternatives")
+    assert (1, n - 1) in got
