@@ -184,7 +184,7 @@ def mmcif_assembly(spark, d):
     return out.select("structure", "serial", "copy", *[F.round(a, 3).alias(a) for a in "xyz"])
 
 
-@query(f"""SELECT structure, (n // 5 + 11)::INTEGER AS auth_seq_id, count(*)::INTEGER AS atoms, round(max(x) FILTER (WHERE n % 5 = 1), 3) AS ca FROM ({AT}) WHERE n < 15 AND n % 5 <> 0 GROUP BY 1, 2""")
+@query(f"""SELECT structure, (n // 5 + 11)::INTEGER AS auth_seq_id, count(*)::INTEGER AS atoms, round(max(x) FILTER (WHERE n % 5 < 2), 3) AS ca FROM ({AT}) a WHERE n < 15 AND {STAYS} GROUP BY 1, 2""")
 def mmcif_chain_slots(spark, d):
     """From a file to the 37 slots of a chain, one alternative of each residue."""
     atoms = mmcif.one_alternative(mmcif.atoms(cif_files(spark, d)), "largest")

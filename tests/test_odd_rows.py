@@ -86,3 +86,8 @@ def test_atom_serials_of_more_than_five_digits(spark, tmp_path):
 def test_alternative_alone_in_its_residue(spark, tmp_path, n):
     got = agrees(spark, table(tmp_path, vectors(n).tolist()), "mmcif_alternatives")
     assert (1, n - 1) in got
+
+
+def test_slots_of_an_alternative_alone(spark, tmp_path):
+    got = agrees(spark, table(tmp_path, vectors(36).tolist()), "mmcif_chain_slots")
+    assert (1, 13, 1) in {r[:3] for r in got}
