@@ -8,12 +8,21 @@ selection has; without a framed token it is 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_centres_weight
 
 EPS = 1e-8
+#: Tokens of a structure that meet as many others in one group, and rows of them
+#: that are multiplied at once.
+BLOCK, TOGETHER = 2048, 256
+#: A sum of powers below this is made anew from the pair's own largest logit.
+TINY = 1e-200
 
 
 def pair_terms(pairs: DataFrame, tokens: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
@@ -31,6 +40,76 @@ def pair_terms(pairs: DataFrame, tokens: DataFrame, keys: list[str], low: float,
     return scored.groupBy(*keys, "i", "chain_i", "frame_i", "chain_j", "n", "n_i", "n_j").agg(F.sum("whole").alias("whole"), F.sum("local").alias("local"))
 
 
+def summed_logit_terms(tokens: DataFrame, keys: list[str], low: float, high: float, logits: str = "logits", block: int = BLOCK) -> DataFrame:
+    """:func:`pair_terms` of all two tokens of a structure whose pair's error
+    distribution is the softmax of the sum of their own ``logits``, a column of
+    ``tokens``. No pair is a row: the powers of a sum are products, so a block
+    of tokens by a block of tokens is a few matrix products. Each two blocks are
+    a group, so work is dealt evenly whatever a structure's size. Tokens without
+    logits, or with null ones, count, but their pairs have no distribution."""
+    sizes = tokens.groupBy(*keys, "chain").agg(F.count(F.lit(1)).alias("n_of"))
+    known = tokens.join(sizes, [*keys, "chain"]).join(tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
+    blocks = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
+    cut = known.select(*keys, F.col("token").alias("i"), "chain", F.col("has_frame").alias("frame_i"), "n", F.col("n_of"), F.col(logits).cast("array<double>").alias("logits"), F.pmod(F.xxhash64("token", F.lit(7)), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("met"))
+    left = cut.withColumnsRenamed({"own": "__a", "met": "__b"})
+    right = cut.select(*[F.col(c).alias(c) for c in (*keys, "chain", "n_of", "logits")], F.col("own").alias("__b"), F.col("met").alias("__a"))
+    kind = lambda c: cut.schema[c].dataType.simpleString()
+    schema = ", ".join([*[f"`{k}` {kind(k)}" for k in keys], f"i {kind('i')}", f"chain_i {kind('chain')}", "frame_i boolean", f"chain_j {kind('chain')}", "n bigint, n_i bigint, n_j bigint, whole double, local double"])
+    scored = left.groupBy(*keys, "__a", "__b").cogroup(right.groupBy(*keys, "__a", "__b")).applyInArrow(_block_terms(keys, low, high), schema)
+    return scored.groupBy(*keys, "i", "chain_i", "frame_i", "chain_j", "n", "n_i", "n_j").agg(F.sum("whole").alias("whole"), F.sum("local").alias("local"))
+
+
+def _block_terms(keys: list[str], low: float, high: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def parts(rows: pa.Table) -> list[tuple]:
+        """(places, chain, tokens of it, logits or None) by chain and number of
+        logits; those that have none, or null ones, by themselves."""
+        found: dict[tuple, list[int]] = {}
+        lists, chains = rows.column("logits").to_pylist(), rows.column("chain").to_pylist()
+        for at, (chain, x) in enumerate(zip(chains, lists)):
+            found.setdefault((chain, 0 if x is None or None in x else len(x)), []).append(at)
+        of = rows.column("n_of").to_pylist()
+        return [(np.array(at), chain, of[at[0]], np.array([lists[k] for k in at], float) if width else None) for (chain, width), at in found.items()]
+
+    def weights(width: int, tokens: int) -> np.ndarray:
+        norm = 1.24 * np.cbrt(max(tokens, 19) - 15) - 1.8
+        return 1 / (1 + ((low + (np.arange(width) + 0.5) * (high - low) / width) / norm) ** 2)
+
+    def shares(x: np.ndarray, y: np.ndarray, over: list[np.ndarray]) -> list[np.ndarray]:
+        """For each weight of the bins the sums over ``y`` of the weighted
+        distributions, a number for each of ``x``."""
+        a, b = (np.exp(v - v.max(1, keepdims=True)) for v in (x, y))
+        total = a @ b.T
+        out = [((a * w) @ b.T) / np.where(total < TINY, 1.0, total) for w in over]
+        for i, j in np.argwhere(total < TINY):
+            power = x[i] + y[j]
+            power = np.exp(power - power.max())
+            for w, o in zip(over, out):
+                o[i, j] = (power * w).sum() / power.sum()
+        return [o.sum(1) for o in out]
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = [*keys, "i", "chain_i", "frame_i", "chain_j", "n", "n_i", "n_j", "whole", "local"]
+        out = []
+        theirs = parts(right) if left.num_rows else []
+        for places, chain, n_i, x in parts(left) if right.num_rows else []:
+            rows = left.take(pa.array(places))
+            for _, other, n_j, y in theirs:
+                whole = local = pa.nulls(len(places), pa.float64())
+                if x is not None and y is not None and x.shape[1] == y.shape[1]:
+                    n = rows.column("n")[0].as_py()
+                    over = [weights(x.shape[1], n), weights(x.shape[1], n_i if chain == other else n_i + n_j)]
+                    sums = [shares(x[k : k + TOGETHER], y, over) for k in range(0, len(x), TOGETHER)]
+                    whole, local = (pa.array(np.concatenate([s[k] for s in sums]), from_pandas=False) for k in (0, 1))
+                same = lambda v, kind: pa.array([v] * len(places), kind)
+                out.append(pa.table([*[rows.column(k) for k in keys], rows.column("i"), rows.column("chain"), rows.column("frame_i"), same(other, left.schema.field("chain").type), rows.column("n"), rows.column("n_of"), same(n_j, pa.int64()), whole, local], names=names))
+        if out:
+            return pa.concat_tables(out)
+        types = {**{k: left.schema.field(k).type for k in keys}, "i": left.schema.field("i").type, "chain_i": left.schema.field("chain").type, "frame_i": pa.bool_(), "chain_j": left.schema.field("chain").type}
+        return pa.schema([(c, types.get(c, pa.int64() if c[0] == "n" else pa.float64())) for c in names]).empty_table()
+
+    return work
+
+
 def _best(value: Column) -> Column:
     return F.coalesce(F.max(F.when(F.col("frame_i"), value)), F.lit(0.0))
 
