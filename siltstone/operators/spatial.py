@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import squared_distance
 from .relational import dense_number
 from .shared import stored
 
 #: Queries and points of a structure that meet in one group, about.
-BLOCK = 512
+BLOCK = 2048
+#: Queries of a group that are compared with its points at once.
+TOGETHER = 256
 #: A table of so many large structures (about 40 bytes each) is broadcast.
 BROADCAST_GROUPS = 200_000
 
@@ -46,20 +51,87 @@ def knn(queries: DataFrame, points: DataFrame, k: int, keys: list[str], query_id
     Structures of more than ``block`` queries or points are cut into blocks by a
     hash of the id, as many as their counts ask for, and each block of queries
     meets each block of points in a group of its own. So work is dealt in equal
-    pieces whatever the size of a structure, and each task passes on its ``k``
-    best only (a group limit before the shuffle)."""
+    pieces whatever the size of a structure, and no pair is a row: a group
+    passes on each query's ``k`` best only. A matrix product leaves out what is
+    farther than these by more than its error, and the rest is summed place by
+    place. Distances that are not a number come after all others, and those of
+    vectors that are null, hold nulls or differ in length, null, last."""
     of_queries, of_points = block_counts(queries, keys, block, "__qn"), block_counts(points, keys, block, "__pn")
     number = lambda n: F.coalesce(F.col(n), F.lit(1))
     own = lambda i, n, seed: F.pmod(F.xxhash64(i, F.lit(seed)), number(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), number(n) - 1))
     counted = lambda df: df.join(of_queries, keys, "left").join(of_points, keys, "left")
-    asked = counted(queries).withColumn("__q", own(query_id, "__qn", 3)).withColumn("__p", each("__pn")).drop("__qn", "__pn")
-    found = counted(points).withColumn("__p", own(point_id, "__pn", 5)).withColumn("__q", each("__qn")).drop("__qn", "__pn")
-    pairs = asked.join(found, [*keys, "__q", "__p"]).withColumn("d2", squared_distance(F.col(query_vec), F.col(point_vec)))
-    order = Window.partitionBy(query_id).orderBy("d2", point_id)
+    asked = counted(queries).withColumn("__q", own(query_id, "__qn", 3)).withColumn("__p", each("__pn"))
+    found = counted(points).withColumn("__p", own(point_id, "__pn", 5)).withColumn("__q", each("__qn"))
+    side = lambda df, i, v: df.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in keys)).select(*[F.col(c).alias(c) for c in (*keys, "__q", "__p", i)], F.col(v).cast("array<double>").alias(v)).groupBy(*keys, "__q", "__p")
+    kinds = [(c, df.schema[c].dataType.simpleString()) for df, names in ((queries, [*keys, query_id]), (points, [point_id])) for c in names]
+    schema = ", ".join([*[f"`{c}` {kind}" for c, kind in kinds], "d2 double"])
+    pairs = side(asked, query_id, query_vec).cogroup(side(found, point_id, point_vec)).applyInArrow(_nearest(k, keys, query_id, point_id, query_vec, point_vec), schema)
+    order = Window.partitionBy(query_id).orderBy(F.asc_nulls_last("d2"), point_id)
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(*keys, query_id, point_id, "d2", "rank")
 
 
+def _nearest(k: int, keys: list[str], query_id: str, point_id: str, query_vec: str, point_vec: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def matrix(rows: pa.Table, name: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors in rows of ``width``, and the length of each, -1 without one."""
+        lists = rows.column(name).combine_chunks()
+        size = np.where(lists.is_valid().to_numpy(zero_copy_only=False), pc.list_value_length(lists).fill_null(0).to_numpy(), -1)
+        if (size == width).all() and not lists.flatten().null_count:
+            return lists.flatten().to_numpy().reshape(-1, width), size
+        out = np.zeros((len(lists), width))
+        for at, x in enumerate(lists.to_pylist()):
+            if x is None or None in x:
+                size[at] = -1
+            else:
+                out[at, : len(x)] = x
+        return out, size
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = [*keys, query_id, point_id, "d2"]
+        types = [*[left.schema.field(c).type for c in (*keys, query_id)], right.schema.field(point_id).type, pa.float64()]
+        if not left.num_rows or not right.num_rows:
+            return pa.schema(list(zip(names, types))).empty_table()
+        width = max(pc.max(pc.list_value_length(t.column(v))).as_py() or 0 for t, v in ((left, query_vec), (right, point_vec)))
+        (q, q_size), (p, p_size) = matrix(left, query_vec, width), matrix(right, point_vec, width)
+        place = pc.rank(right.column(point_id).combine_chunks(), null_placement="at_start", tiebreaker="dense").to_numpy()
+        # others are few: they meet all, and are summed place by place at once
+        plain_q, plain_p = ((size == width) & (np.abs(x) < 1e100).all(1) for x, size in ((q, q_size), (p, p_size)))
+        every = bool((~plain_p & np.isfinite(p).all(1) & (p_size == width)).any()) or plain_p.sum() < k
+        clean = np.where(plain_p[:, None], p, 0.0)
+        with np.errstate(all="ignore"):
+            pp = (clean * clean).sum(1)
+        found = []
+        for start in range(0, len(q), TOGETHER):
+            x, plain = q[start : start + TOGETHER], plain_q[start : start + TOGETHER]
+            if every or not plain.any():
+                near = np.ones((len(x), len(p)), bool)
+            else:
+                with np.errstate(all="ignore"):
+                    zeroed = np.where(plain[:, None], x, 0.0)
+                    qq = (zeroed * zeroed).sum(1)
+                    about = qq[:, None] + pp[None] - 2 * (zeroed @ clean.T)
+                    about[:, ~plain_p] = np.inf
+                    error = 1e-14 * (width + 8) * (qq + pp.max())
+                    near = about <= (np.partition(about, k - 1, 1)[:, k - 1] + 2 * error)[:, None]
+                near[~plain] = True
+            i, j = np.nonzero(near)
+            total = np.zeros(len(i))
+            with np.errstate(all="ignore"):
+                for c in range(width):  # in the order of the places, as a sum of one pair goes
+                    away = x[i, c] - p[j, c]
+                    total += away * away
+            none = (q_size[start + i] != p_size[j]) | (q_size[start + i] < 0)
+            order = np.lexsort((place[j], np.where(none, 0.0, total), none, i))
+            i, j, total, none = i[order], j[order], total[order], none[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            found.append((start + i[first], j[first], total[first], none[first]))
+        i, j, total, none = (np.concatenate(parts) for parts in zip(*found))
+        rows, others = left.take(pa.array(i)), right.take(pa.array(j))
+        return pa.table([*[rows.column(c) for c in (*keys, query_id)], others.column(point_id), pa.array(total, mask=none)], schema=pa.schema(list(zip(names, types))))
+
+    return work
+
+
 def block_counts(rows: DataFrame, keys: list[str], block: int, name: str) -> DataFrame:
     """(keys, ``name``): the blocks that groups of more than ``block`` rows are
     cut into; smaller groups are not listed. Broadcast up to a size."""

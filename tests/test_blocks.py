@@ -41,3 +41,31 @@ def test_confidence_makes_no_row_a_pair(spark):
     made = C.summed_logit_terms(tokens, ["s"], 0.0, 32.0).collect()
     assert len(made) <= 3 * len(token_rows())
     assert C.summed_logit_terms(tokens.limit(0), ["s"], 0.0, 32.0).count() == 0
+
+
+def vector_rows(n, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        v = [float(x) for x in rng.integers(-2, 3, 5) * 0.3]  # many ties
+        v = {4: None, 9: [*v[:-1], None], 14: v[:-1], 19: [math.nan, *v[1:]], 24: [math.inf, *v[1:]], 29: [1e120, *v[1:]]}.get(k, v) if seed % 2 else v
+        rows.append((None if k == 7 else k % 3 if k < n - 3 else 9, k * 7 % n, v))
+    return rows
+
+
+def plain_nearest(spark, q, p, k):
+    kind = "s int, {} long, {} array<double>"
+    a, b = spark.createDataFrame(q, kind.format("q", "qv")), spark.createDataFrame(p, kind.format("p", "pv"))
+    pairs = a.join(b, "s").withColumn("d2", X.squared_distance(F.col("qv"), F.col("pv")))
+    by = {}
+    for r in pairs.collect():
+        by.setdefault(r.q, []).append((r.d2 is None, math.isnan(r.d2 or 0.0), 0.0 if r.d2 is None or math.isnan(r.d2) else r.d2, r.p, r.s))
+    return a, b, sorted((x[4], i, x[3], None if x[0] else "nan" if x[1] else x[2], n) for i, xs in by.items() for n, x in enumerate(sorted(xs)[:k], 1))
+
+
+@pytest.mark.parametrize("seeds", [(2, 4), (3, 5), (2, 5), (3, 4)])
+@pytest.mark.parametrize("block", [6, 2048])
+def test_nearest_of_blocks_equal_all_pairs(spark, seeds, block):
+    a, b, want = plain_nearest(spark, vector_rows(60, seeds[0]), vector_rows(50, seeds[1]), 4)
+    found = spatial.knn(a, b, 4, ["s"], "q", "p", "qv", "pv", block=block).collect()
+    assert sorted(((r.s, r.q, r.p, "nan" if r.d2 is not None and math.isnan(r.d2) else r.d2, r.rank) for r in found), key=lambda r: (r[0], r[1], r[4])) == sorted(want, key=lambda r: (r[0], r[1], r[4]))
