@@ -11,24 +11,23 @@ out, a second one leaves out only states that cannot lead below that bound. The
 restored text is scored by a sparse logistic model over its words and their
 first three to eight letters.
 
-The character model and the logistic model are fitted on a bounded sample of
-labelled rows: of each class the ``SAMPLE_POSITIVE`` / ``SAMPLE_NEGATIVE`` rows
-of smallest hash. Every row is scored over its whole text, one pass, no shuffle
-of texts.
+The character model and the logistic model are fitted on all labelled rows:
+their grams, words and features are counted in tasks, and the weights are those
+of Spark's logistic regression. Every row is scored over its whole text, one
+pass; texts of labelled rows are shuffled once, others not.
 
 Defined results: a null text counts as empty, and a text without known words
 has the prior's score. Without labels of both classes the score is the share of
 label 1 among the labels, 0 if there are none. Rows of the label table that
 share an id count once, with their largest label; null ids and labels are
 ignored. Of document rows that share an id one, of the least text, is learnt
-from, so the sample's bound holds. Repeated document rows get equal scores;
+from. Repeated document rows get equal scores;
 readings of equal cost go to the one found first; very long texts are scored
 whole, very long tokens in overlapping windows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from collections import Counter
@@ -41,10 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLE_POSITIVE = 2500
-SAMPLE_NEGATIVE = 5000
 #: Tokens whose weight a worker keeps before it forgets them all.
 MEMO_TOKENS = 400_000
+#: Tokens or features that a task counts before it passes its counts on.
+COUNTED = 500_000
 #: States of the first pass over a lattice, whose cost bounds the exact one.
 BEAM = 4
 
@@ -268,60 +267,69 @@ def restored_words(text: str, model: CharModel, memo: dict[str, list[str]]) -> s
     return out
 
 
-def fit_logistic(documents: list[list[str]], labels: np.ndarray, l1: float = 0.4, l2: float = 0.02, rounds: int = 800) -> tuple[float, dict[str, float]]:
-    """Sparse logistic regression by accelerated proximal gradient; features of
-    documents are how many of their words have them, four at most. Candidates
-    are features seen in two documents of label 1 and clearly more often there."""
-    total_p, total_n = max(int(labels.sum()), 1), max(int((1 - labels).sum()), 1)
-    # features of label 1 are counted first and the rest only where they can
-    # matter, so that memory follows the label-1 texts and not all features
-    positive: Counter = Counter()
-    for words, label in zip(documents, labels):
-        if label:
-            positive.update({f for w in words for f in word_features(w)})
-    positive = {f: n for f, n in positive.items() if n >= 2}
-    negative = dict.fromkeys(positive, 0)
-    for words, label in zip(documents, labels):
-        if not label:
-            for f in {f for w in words for f in word_features(w)}:
-                if f in negative:
-                    negative[f] += 1
-    good = {f for f, n in positive.items() if n / total_p > 3 * negative[f] / total_n}
-    del positive, negative
-    number: dict[str, int] = {}
-    rows, columns, values = [], [], []
-    for row, words in enumerate(documents):
-        counts = Counter(f for w in words for f in word_features(w) if f in good)
-        for f, n in counts.items():
-            rows.append(row)
-            columns.append(number.setdefault(f, len(number)))
-            values.append(min(n, 4))
-    names = list(number)
-    r, c, v = np.array(rows, np.int64), np.array(columns, np.int64), np.array(values, float)
-    n, m = len(documents), len(names)
-
-    def forward(w: np.ndarray) -> np.ndarray:
-        return np.bincount(r, v * w[c], n)
-
-    probe = np.ones(m)
-    top = 1.0
-    for _ in range(20):
-        probe = np.bincount(c, v * forward(probe)[r], m)
-        top = np.linalg.norm(probe) or 1.0
-        probe = probe / top
-    step = 1 / (0.25 * (top + n) + l2)
-    w, b = np.zeros(m), math.log(total_p / total_n)
-    z, zb, t = w.copy(), b, 1.0
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(forward(z) + zb, -50, 50)))
-        error = p - labels
-        after = z - step * (np.bincount(c, v * error[r], m) + l2 * z)
-        after = np.maximum(np.abs(after) - step * l1, 0) * np.sign(after)
-        after_b = zb - step * error.sum()
-        grown = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        z, zb = after + (t - 1) / grown * (after - w), after_b + (t - 1) / grown * (after_b - b)
-        w, b, t = after, after_b, grown
-    return float(b), {names[k]: float(w[k]) for k in np.flatnonzero(w)}
+def feature_counts(words: DataFrame) -> DataFrame:
+    """(feature, positive, negative) of rows (words, y): texts of either label
+    that have a feature. Tasks pass on partial counts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def partial() -> pa.RecordBatch:
+            names = list(counts[0].keys() | counts[1].keys())
+            out = [pa.array(names, pa.string()), *[pa.array([c[f] for f in names], pa.int64()) for c in (counts[1], counts[0])]]
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays(out, names=["feature", "positive", "negative"])
+
+        for batch in batches:
+            for found, y in zip(batch.column(0), batch.column(1).to_pylist()):
+                counts[y].update({f for w in found.as_py() for f in word_features(w)})
+                if len(counts[0]) + len(counts[1]) > COUNTED:
+                    yield partial()
+        yield partial()
+
+    partial = words.select("words", "y").mapInArrow(work, "feature string, positive bigint, negative bigint")
+    return partial.groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+
+
+def fit_logistic(words: DataFrame, l1: float = 0.4, l2: float = 0.02, rounds: int = 200) -> tuple[float, dict[str, float]] | None:
+    """Sparse logistic regression of all rows (words, y), by Spark's own in as
+    many tasks as it likes; features of a text are how many of its words have
+    them, four at most. Candidates are features seen in two texts of label 1 and
+    clearly more often there. None without texts of both labels."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    n = {r.y: r["count"] for r in words.groupBy("y").count().collect()}
+    if len(n) < 2:
+        return None
+    often = (F.col("positive") >= 2) & (F.col("positive") / F.lit(float(n[1])) > 3 * F.col("negative") / F.lit(float(n[0])))
+    names = [r.feature for r in feature_counts(words).filter(often).select("feature").orderBy("feature").collect()]  # the model's words
+    if not names:
+        return math.log(n[1] / n[0]), {}
+    spark = words.sparkSession
+    number = spark.sparkContext.broadcast({f: k for k, f in enumerate(names)})
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = number.value
+        for batch in batches:
+            at, value = [], []
+            for found in batch.column(0):
+                counts = sorted(Counter(of[f] for w in found.as_py() for f in word_features(w) if f in of).items())
+                at.append([k for k, _ in counts])
+                value.append([min(c, 4) for _, c in counts])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.int32())), batch.column(1)], names=["at", "value", "y"])
+
+    # equal rows, such as the many without a candidate, count as one of their weight
+    coded = stored(words.select("words", "y").mapInArrow(rows, "at array<int>, value array<int>, y int").groupBy("at", "value", "y").agg(F.count(F.lit(1)).cast("double").alias("weight")), "toxicity-rows")
+    size = len(names)
+    vector = F.udf(lambda at, value: Vectors.sparse(size, at, value), VectorUDT())
+    total = float(sum(n.values()))
+    learner = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=(l1 + l2) / total, elasticNetParam=l1 / (l1 + l2), standardization=False, maxIter=rounds, tol=1e-7)
+    model = learner.fit(coded.select(vector("at", "value").alias("x"), F.col("y").cast("double").alias("label"), "weight"))
+    number.destroy()
+    w = model.coefficients.toArray()
+    return float(model.intercept), {names[k]: float(w[k]) for k in np.flatnonzero(w)}
 
 
 class ToxicityModel:
@@ -370,65 +378,62 @@ class ToxicityModel:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column | None) -> tuple[DataFrame, int, int]:
-    """Bounded sample (id, text, y) and the numbers of labels 1 and 0."""
+    """(id, text, y) of every usable labelled row, one an id, and the numbers of
+    labels 1 and 0, also of ids without a text."""
     y = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isNotNull())
     y = y.groupBy("id").agg(F.max("y").alias("y"))
     if usable is not None:
         y = y.filter(usable)
     n = {bool(r[0]): r[1] for r in y.groupBy(F.col("y") == 1).count().collect()}
-    order = [F.xxhash64("id"), F.col("id")]
-    chosen = y.filter("y = 1").orderBy(*order).limit(SAMPLE_POSITIVE).unionByName(y.filter("y <> 1").orderBy(*order).limit(SAMPLE_NEGATIVE))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max((F.col("y") == 1).cast("int")).alias("y"))  # at most SAMPLE_POSITIVE + SAMPLE_NEGATIVE ids
-    return stored(sample, "toxicity-sample"), n.get(True, 0), n.get(False, 0)
+    each = texts.join(y, "id").groupBy("id").agg(F.min("text").alias("text"), F.max((F.col("y") == 1).cast("int")).alias("y"))
+    return stored(each, "toxicity-labelled"), n.get(True, 0), n.get(False, 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", usable: Column | None = None) -> ToxicityModel:
     """``usable``: a condition on column ``id`` that labelled rows must meet."""
-    sample, positive, negative = training_sample(docs, labels, id_col, text_col, label_col, usable)
+    labelled, positive, negative = training_sample(docs, labels, id_col, text_col, label_col, usable)
     share = positive / (positive + negative) if positive + negative else 0.0
     prior = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
     if not positive or not negative:
         return ToxicityModel({}, prior, {})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
         total: Counter = Counter()
+
+        def spell() -> None:
+            for token, n in seen.items():
+                if not ODD.search(token) and (w := plain(token)) and w.isalpha():
+                    for gram, k in grams(iter([w])).items():
+                        total[gram] += n * k
+            seen.clear()
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total.update(grams(w for t in set(text.lower().split()) if not ODD.search(t) and (w := plain(t)) and w.isalpha()))
+            for text in batch.column(0):
+                seen.update(set(text.as_py().lower().split()))
+                if len(seen) > COUNTED:
+                    spell()
+        spell()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
 
-    counted = sample.select("text").mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
-    gram_counts = {r.gram: r.n for r in counted.collect()}  # character trigrams of the bounded sample
+    counted = labelled.select("text").mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
+    gram_counts = {r.gram: r.n for r in counted.collect()}  # the character model
+    known = labelled.sparkSession.sparkContext.broadcast(gram_counts)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars = CharModel(gram_counts)
+        chars = CharModel(known.value)
         memo: dict[str, list[str]] = {}
-        for batch in batches:
-            found = [sorted(restored_words(t, chars, memo)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], names=["words", "y"])
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        documents: list[list[str]] = []
-        y: list[int] = []
-        shared: dict[str, str] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                documents += [[shared.setdefault(w, w) for w in words] for words in part.column(0).to_pylist()]
-            y += batch.column(1).to_pylist()
-        if not y or min(y) == max(y):
-            yield pa.RecordBatch.from_arrays([pa.array([json.dumps([None, {}])])], names=["model"])
-            return
-        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(fit_logistic(documents, np.array(y, float)))])], names=["model"])
-
-    # words are restored in many tasks; one task fits, of the bounded sample's words only
-    got = sample.select("text", "y").repartition(12).mapInArrow(words, "words array<string>, y int").repartition(1).mapInArrow(train, "model string").collect()
-    bias, weights = json.loads(got[0].model) if got else (None, {})
-    if bias is None:
-        return ToxicityModel(gram_counts, prior, {})
-    n1, n0 = min(positive, SAMPLE_POSITIVE), min(negative, SAMPLE_NEGATIVE)
-    return ToxicityModel(gram_counts, bias + prior - math.log(n1 / n0), weights)
+                found = [sorted(restored_words(t.as_py(), chars, memo)) for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), part.column(1)], names=["words", "y"])
+
+    restored = stored(labelled.select("text", "y").mapInArrow(words, "words array<string>, y int"), "toxicity-words")
+    known.destroy()
+    bias, weights = fit_logistic(restored) or (prior, {})
+    return ToxicityModel(gram_counts, bias, weights)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.3) -> DataFrame:

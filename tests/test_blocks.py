@@ -69,3 +69,41 @@ def test_nearest_of_blocks_equal_all_pairs(spark, seeds, block):
     a, b, want = plain_nearest(spark, vector_rows(60, seeds[0]), vector_rows(50, seeds[1]), 4)
     found = spatial.knn(a, b, 4, ["s"], "q", "p", "qv", "pv", block=block).collect()
     assert sorted(((r.s, r.q, r.p, "nan" if r.d2 is not None and math.isnan(r.d2) else r.d2, r.rank) for r in found), key=lambda r: (r[0], r[1], r[4])) == sorted(want, key=lambda r: (r[0], r[1], r[4]))
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Word, label and counts of rows that a bounded sample would have left out."""
+    from siltstone.llm import toxicity
+
+    rows = [(k, f"plain text number {k}" + (" villainous" if k % 3 == 0 else " benign"), int(k % 3 == 0)) for k in range(9000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    taken, positive, negative = toxicity.training_sample(docs, labels, "doc_id", "text", "toxic", None)
+    assert (taken.count(), positive, negative) == (9000, 3000, 6000)
+    model = toxicity.fit(docs, labels)
+    assert model.gram_counts["  v"] == 3000 and model.gram_counts["  b"] == 6000
+    scored = toxicity.score_documents(docs, model).join(labels, "doc_id")
+    assert scored.filter("predicted <> toxic").count() == 0
+
+
+def test_logistic_weights_are_the_optimum(spark):
+    """Against proximal gradient on the same rows, dense and in memory."""
+    from siltstone.llm import toxicity
+
+    rng = np.random.default_rng(2)
+    rows = [(sorted({f"w{int(x)}" for x in rng.zipf(1.3, 12) if x < 60} | ({"bad"} if y and rng.random() < 0.8 else set())), y) for y in rng.integers(0, 2, 600).tolist()]
+    words = spark.createDataFrame(rows, "words array<string>, y int")
+    bias, weights = toxicity.fit_logistic(words)
+    counts = {r.feature: (r.positive, r.negative) for r in toxicity.feature_counts(words).collect()}
+    n1 = sum(y for _, y in rows)
+    names = sorted(f for f, (p, n) in counts.items() if p >= 2 and p / n1 > 3 * n / (len(rows) - n1))
+    x = np.array([[min(sum(f in toxicity.word_features(w) for w in ws), 4) for f in names] for ws, _ in rows], float)
+    y = np.array([r[1] for r in rows], float)
+    w, b = np.zeros(len(names)), 0.0
+    step = 1 / (0.25 * (np.linalg.norm(x, 2) ** 2 + len(y)) + 0.02)
+    for _ in range(20000):
+        e = 1 / (1 + np.exp(-(x @ w + b))) - y
+        v = w - step * (x.T @ e + 0.02 * w)
+        w, b = np.sign(v) * np.maximum(abs(v) - step * 0.4, 0), b - step * e.sum()
+    got = np.array([weights.get(f, 0.0) for f in names])
+    assert "w:bad" in weights and np.abs(x @ got + bias - x @ w - b).max() < 0.02
