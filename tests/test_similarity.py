@@ -174,3 +174,29 @@ def test_the_longest_of_similar_chains_stays(spark):
     assert len(got) == len(rows) and got[24] == (24, True)
     for k in range(8):
         assert [got[3 * k + n] for n in range(3)] == [(3 * k, False), (3 * k, True), (3 * k, False)]
+
+
+def test_no_seed_table_goes_through_the_driver(spark):
+    """A task's output looks as small as its input: 20 sequences of some bytes have thousands of seeds."""
+    rng = np.random.default_rng(3)
+    one = spark.createDataFrame([(k, 400, "".join(rng.choice(list("ACDE"), 400))) for k in range(20)], "id long, size int, seq string")
+    seeded = S.seeds(one, lambda batch: map(S.group_codes, batch.column(2).to_pylist()), S.PATTERNS)
+    near = S.candidates(seeded, 0.8)
+    joined = S.aligned(near, one, 0.3, 0.8)
+    for df in (near, joined):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    counts = {(r.a, r.b): r for r in near.collect()}
+    places = {}
+    for r in seeded.collect():
+        places.setdefault(r.key, []).append((r.id, r.pos))
+    assert all(len(v) <= S.MEMBERS for v in places.values())
+    want = {}
+    for v in places.values():
+        for i, p in v:
+            for j, q in v:
+                if i < j:
+                    of = want.setdefault((i, j), {})
+                    of[p - q] = of.get(p - q, 0) + 1
+    assert set(counts) == {k for k, of in want.items() if sum(of.values()) >= 2}
+    for k, r in counts.items():
+        assert r.diagonal == max((n, diagonal) for diagonal, n in want[k].items())[1]
