@@ -16,7 +16,7 @@ from ..operators import ordered as O
 from ..operators import relational as R
 from ..operators import spatial as P
 from ..operators.quantiles import exact_quantiles
-from ..operators.shared import stored
+from ..operators.shared import by_shuffle, dealt, stored
 from .registry import query, table as t
 
 # cells of the hash-picked stand-in coordinates: the first three components, in units of ten
@@ -274,7 +274,8 @@ EDGES = "SELECT DISTINCT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM orders
 def edges(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("a"))
     l = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_suppkey") * 2 + 1).alias("b"))  # noqa: E741
-    return o.join(l, "o_orderkey").select("a", "b").distinct()
+    size = l.count()
+    return dealt(o, size, "o_orderkey").join(by_shuffle(dealt(l, size, "o_orderkey")), "o_orderkey").select("a", "b")
 
 
 #: Rounds of the smallest label across edges; the driver tables settle in far fewer.
@@ -286,16 +287,17 @@ COMPONENTS = f"e AS MATERIALIZED ({EDGES}), s AS MATERIALIZED (SELECT a, b FROM
 @query(f"WITH {COMPONENTS} SELECT node, component FROM r12")
 def components(spark, d):
     """Customers and suppliers joined by the lines of all orders."""
-    e = edges(spark, d)
+    e = stored(edges(spark, d), "lines")
     return G.components(e.select("a").union(e.select("b")), e)
 
 
 @query(f"WITH {COMPONENTS}, n AS (SELECT a AS node, count(*) AS size FROM s GROUP BY 1) SELECT component, arg_max(node, (size, -node)) AS node, count(*) AS members FROM r12 JOIN n USING (node) GROUP BY 1")
 def component_rep(spark, d):
     """The member of each component with most links, the smallest id on ties."""
-    e = edges(spark, d)
+    lines = stored(edges(spark, d), "lines")
+    e = stored(dealt(lines, lines.count(), "a", "b").distinct(), "distinct-lines")
     links = e.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("size"))
-    c = G.components(e.select("a").union(e.select("b")), e).join(links, "node")
+    c = G.components(e.select("a").union(e.select("b")), e).join(by_shuffle(links), "node")
     return G.representatives(c, "node", "component", "size")
 
 

@@ -218,3 +218,29 @@ def test_knn_in_blocks_is_brute_force(spark, monkeypatch):
         got = spatial.knn(asked, points, 4, ["s"], "q", "p", "qv", "pv", block=16)
         assert {tuple(r) for r in got.collect()} == want
     assert spatial.knn(asked, points.limit(0), 4, ["s"], "q", "p", "qv", "pv").count() == 0
+
+
+def test_a_hub_and_many_edges_are_dealt_to_tasks_by_rows(spark, monkeypatch):
+    """Tasks of 50 rows: a hub of 700 edges, chains, loops, repeated and null edges; no task groups more than its rows."""
+    from siltstone.operators import shared
+
+    for module in (shared, graph):
+        monkeypatch.setattr(module, "TASK_ROWS", 50)
+    edges = [(5000, 1000 + i) for i in range(700)] * 2 + [(i, i + 1) for i in range(0, 90) if i % 10] + [(3, 3), (None, 4), (7, None)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    nodes = df.select("a").union(df.select("b")).filter("a IS NOT NULL")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert {r.node: r.component for r in graph.components(nodes, df).collect()} == {x: find(x) for x in [*root, 4, 7]}
+    spread = shared.dealt(df, 1448, "a", "b").select("a", F.spark_partition_id().alias("p"))
+    assert spread.select("p").distinct().count() > 20
+    assert shared.dealt(df, 50, "a").rdd.getNumPartitions() == df.rdd.getNumPartitions()
