@@ -16,7 +16,7 @@ from ..operators import ordered as O
 from ..operators import relational as R
 from ..operators import spatial as P
 from ..operators.quantiles import exact_quantiles
-from ..operators.shared import by_shuffle, dealt, stored
+from ..operators.shared import by_shuffle, dealt, stored, stored_by
 from .registry import query, table as t
 
 # cells of the hash-picked stand-in coordinates: the first three components, in units of ten
@@ -321,26 +321,33 @@ def minhash_clusters(spark, d):
 
 def near_text_clusters(docs):
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-    sets = stored(docs.select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("words")).mapInArrow(shingle_bands, "doc_id bigint, shingles array<bigint>, same binary, keys array<bigint>"), "shingles").filter(F.size("shingles") > 0)
+    made = docs.select("doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("words")).mapInArrow(shingle_bands, "doc_id bigint, shingles array<bigint>, same binary, keys array<bigint>")
+    # written by id, so that the sets, as large as the texts, are never shuffled
+    sets = stored_by(made.filter(F.size("shingles") > 0).withColumn("size", F.size("shingles")), "shingles", "doc_id")
     # equal sets are joined to their smallest id and only that one is compared
     low = sets.groupBy("same").agg(F.min("doc_id").alias("low"))
-    equal = sets.select("doc_id", "same").join(low, "same").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
-    one = stored(sets.join(low, (sets["same"] == low["same"]) & (sets["doc_id"] == low["low"]), "left_semi").dropDuplicates(["doc_id"]), "shingle-sets")
-    keyed = stored(one.select("doc_id", F.posexplode("keys").alias("band", "key")), "bands")
-    first = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    near = keyed.join(first, ["band", "key"])
-    star = verified(near.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct(), one)
+    equal = sets.select("doc_id", "same").join(by_shuffle(low), "same").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+    one = stored(low.groupBy(F.col("low").alias("doc_id")).agg(F.min("same").alias("least")), "shingle-sets")
+    # by two bounds: an equality would become a second key of the join, and the sets be shuffled for it
+    alone = lambda *columns: sets.select("doc_id", "same", *columns).join(by_shuffle(one), "doc_id").filter("same >= least AND same <= least").select("doc_id", *columns)
+    keyed = stored(alone("size", "keys").select("doc_id", "size", F.posexplode("keys").alias("band", "key")), "bands")
+    first = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("low"), F.min_by("size", "doc_id").alias("low_size"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    near = stored(keyed.join(by_shuffle(first), ["band", "key"]), "buckets")
+    # sets whose sizes differ by more than the bound cannot be so alike
+    sized = lambda x, y: F.least(x, y) >= 0.8 * F.greatest(x, y)
+    star = verified(near.filter("doc_id <> low").filter(sized("size", "low_size")).select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct(), alone)
     # members that are not like their bucket's first are compared with all others of it
-    apart = near.filter("doc_id <> low").join(star, (F.col("low") == star["a"]) & (F.col("doc_id") == star["b"]), "left_anti").select("band", "key", F.col("doc_id").alias("u"))
-    rest = apart.join(near.select("band", "key", "doc_id", "low"), ["band", "key"]).filter("u <> doc_id AND doc_id <> low")
-    more = verified(rest.select(F.least("u", "doc_id").alias("a"), F.greatest("u", "doc_id").alias("b")).distinct(), one)
+    apart = near.filter("doc_id <> low").join(by_shuffle(star), (F.col("low") == star["a"]) & (F.col("doc_id") == star["b"]), "left_anti").select("band", "key", F.col("doc_id").alias("u"), F.col("size").alias("u_size"))
+    rest = apart.join(by_shuffle(near.select("band", "key", "doc_id", "low", "size")), ["band", "key"]).filter("u <> doc_id AND doc_id <> low").filter(sized("u_size", "size"))
+    more = verified(rest.select(F.least("u", "doc_id").alias("a"), F.greatest("u", "doc_id").alias("b")).distinct(), alone)
     links = equal.unionByName(star).unionByName(more)
     return G.components(docs.select("doc_id"), links).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster_id"))
 
 
 def verified(pairs, sets, least=0.8):
-    """The pairs whose shingle sets have a Jaccard index of ``least`` or more."""
-    side = lambda i, v: sets.select(F.col("doc_id").alias(i), F.col("shingles").alias(v))
+    """The pairs whose shingle sets have a Jaccard index of ``least`` or more;
+    only the first set of each pair travels."""
+    side = lambda i, v: by_shuffle(sets("shingles").select(F.col("doc_id").alias(i), F.col("shingles").alias(v)))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return stored(both.filter(common >= least * (F.size("x") + F.size("y") - common)).select("a", "b"), "near-texts")

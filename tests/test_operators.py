@@ -244,3 +244,24 @@ def test_a_hub_and_many_edges_are_dealt_to_tasks_by_rows(spark, monkeypatch):
     spread = shared.dealt(df, 1448, "a", "b").select("a", F.spark_partition_id().alias("p"))
     assert spread.select("p").distinct().count() > 20
     assert shared.dealt(df, 50, "a").rdd.getNumPartitions() == df.rdd.getNumPartitions()
+
+
+def test_shingle_sets_are_not_shuffled(spark, monkeypatch):
+    """What is as large as the texts meets its pairs where it is stored; an id with two texts has one set."""
+    from siltstone.plans import groups
+
+    kept, plain = [], groups.verified
+
+    def seen(pairs, sets, *rest):
+        kept.append(sets("shingles"))
+        return plain(pairs, sets, *rest)
+
+    monkeypatch.setattr(groups, "verified", seen)
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, text), (6, text), (7, text + " tail"), (8, "other words of a text that is alone"), (8, text + " tail"), (9, None)]
+    found = {r.doc_id: r.cluster_id for r in groups.near_text_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {5: 5, 6: 5, 7: 5, 8: 5, 9: 9}
+    for df in kept:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        side = plan[plan.index("SortMergeJoin") :].split("Exchange")[0]
+        assert "Bucketed: true" in side and df.groupBy("doc_id").count().filter("count > 1").isEmpty()
