@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,12 +73,27 @@ ODD = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|^[\d$@!|+€][^\W\d_]{2}|[^\W\d_]{2}
 OPEN = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|[\d@$!|+€£¢(¡#]|/\\|\\/|([^\W\d_])\1")
 SPACED = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|+€£¢(¡#])(?:[\s.\-_*~^'`·,/\\]+(?:[^\W_]|[@$!|+€£¢(¡#])){2,}(?![^\s.,;:!?])")
 LETTER = re.compile(r"[^\W\d_]")
+LETTERS = re.compile(r"[^\W\d_]{3,}")
 REPEATS = re.compile(r"([^\W\d_])\1+")
 MOST = 48
 #: A word's first letters that are features beside the word itself.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 
 
+class Costs(dict):
+    """Costs of grams, each made by ``make`` when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, gram: str) -> float:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[gram] = self.make(gram)
+        return found
+
+
 class CharModel:
     """Interpolated character trigrams; log probabilities by dictionary."""
 
@@ -90,33 +106,39 @@ class CharModel:
             self.after_one[gram[1]] += n
             self.one[gram[2]] += n
         self.total = sum(self.one.values()) or 1
-        self.known: dict[str, float] = {}
+        self.cost = Costs(self._cost).__getitem__
+        self.least, self.least_after = Costs(self._least).__getitem__, Costs(self._least_after).__getitem__
         self.floor: dict[str, float] = {}
 
-    def cost(self, gram: str) -> float:
-        found = self.known.get(gram)
-        if found is None:
-            p = 0.9 * self.one.get(gram[2], 0) / self.total + 0.1 / 256
-            n = self.after_one.get(gram[1], 0)
-            p = (self.two.get(gram[1:], 0) + 4 * p) / (n + 4)
-            n = self.after_two.get(gram[:2], 0)
-            p = (self.three.get(gram, 0) + 4 * p) / (n + 4)
-            found = self.known[gram] = -math.log(p)
-            if len(self.known) > 500_000:
-                self.known = {}
-        return found
-
-    def least(self, letter: str) -> float:
-        """No gram that ends with ``letter`` costs less."""
+    def _cost(self, gram: str) -> float:
+        p = 0.9 * self.one.get(gram[2], 0) / self.total + 0.1 / 256
+        n = self.after_one.get(gram[1], 0)
+        p = (self.two.get(gram[1:], 0) + 4 * p) / (n + 4)
+        n = self.after_two.get(gram[:2], 0)
+        p = (self.three.get(gram, 0) + 4 * p) / (n + 4)
+        return -math.log(p)
+
+    def _floors(self) -> dict[str, float]:
+        """Least costs by last letter and by last two, of grams that were seen
+        and of shorter contexts."""
         if not self.floor:
             best: dict[str, float] = {}
             for gram in self.three:
                 for context in (gram[:2], "\0" + gram[1], "\0\0"):
                     found = self.cost(context + gram[2])
-                    if found < best.get(gram[2], math.inf):
-                        best[gram[2]] = found
+                    for end in (gram[2], gram[1:]) if context[1] != "\0" else (gram[2],):
+                        if found < best.get(end, math.inf):
+                            best[end] = found
             self.floor = best
-        return min(self.floor.get(letter, math.inf), self.cost("\0\0" + letter))
+        return self.floor
+
+    def _least(self, letter: str) -> float:
+        """No gram that ends with ``letter`` costs less."""
+        return min(self._floors().get(letter, math.inf), self.cost("\0\0" + letter))
+
+    def _least_after(self, two: str) -> float:
+        """No gram that ends with these two letters costs less."""
+        return min(self._floors().get(two, math.inf), self.cost("\0" + two))
 
     def restore(self, observed: str) -> str:
         """Likeliest reading of one obfuscated token or run of letters; a blank
@@ -127,8 +149,9 @@ class CharModel:
         letter_gone = 12.0
         for drawn, c in DRAWN.items():
             observed = observed.replace(drawn, c)
-        cost, text, exact = self.search(observed, letter_gone, math.inf)
-        return text if exact else self.search(observed, letter_gone, cost)[1]
+        # a reading that drops no letter bounds the cost of those that may
+        bound = self.search(observed, math.inf, math.inf)[0]
+        return self.search(observed, letter_gone, bound)[1]
 
     def undoubled(self, letters: str) -> str:
         """The search for a token of letters only, which hides repetitions and
@@ -147,6 +170,47 @@ class CharModel:
             at = run.end()
         return "".join(out) + letters[at:]
 
+    def rests(self, steps: list[tuple]) -> list[float]:
+        """What the characters from each place on, and the end, cost at least.
+
+        A character costs its cheapest reading after a letter that may stand
+        before it. What lies between must be read as nothing then, and what this
+        costs more than its own least counts to the character: no other shares
+        it. Behind a place that excess may be paid already; then the first
+        character that is read is taken at its least after any letter."""
+        n = len(steps)
+        least, after = self.least, self.least_after
+        own, lower, excess, letters = [], [], [], []
+        for k in range(n + 1):
+            read, gone, border = steps[k] if k < n else ((), math.inf, True)
+            enter = BORDER if k < n else 0.0
+            low = min([gone, *[min(REPEATED, price + least(x)) for x, price in read]])
+            best, paid, j = gone, 0.0, k - 1
+            while paid < best:
+                for y in letters[j] if j >= 0 else " ":
+                    for x, price in read:
+                        found = paid + price + after(y + x)
+                        if found < best:
+                            best = found
+                        if x == y and paid + REPEATED < best:
+                            best = paid + REPEATED
+                    if border and (y != " " or k == n):
+                        best = min(best, paid + enter + (after(y + " ") if y != " " else 0.0))
+                if j < 0:
+                    break
+                paid += excess[j]
+                j -= 1
+            own.append(best)
+            lower.append(min(low, enter) if border else low)
+            excess.append(gone - best)
+            letters.append([x for x, _ in read] + [" "] * border)
+        out, slack, total = [0.0] * (n + 1), 0.0, 0.0
+        for k in range(n, -1, -1):
+            slack = max(own[k] - lower[k], slack - excess[k] if k < n else 0.0)
+            total += own[k]
+            out[k] = total - slack
+        return out
+
     def search(self, observed: str, letter_gone: float, bound: float) -> tuple[float, str, bool]:
         """(cost, reading, whether no state was left out that could be better).
 
@@ -154,36 +218,32 @@ class CharModel:
         one, all states from which the rest can cost so little."""
         cost = self.cost
         steps = [options(c, letter_gone) for c in observed]
-        rest = [0.0] * (len(steps) + 1)
-        if bound < math.inf:
-            for k in range(len(steps) - 1, -1, -1):
-                readings, gone, border = steps[k]
-                cheap = [gone, *(min(REPEATED, price + self.least(x)) for x, price in readings)]
-                rest[k] = rest[k + 1] + min(min(cheap), BORDER if border else math.inf)
+        rest = self.rests(steps) if bound < math.inf else []
         states: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
         exact = True
         for k, (readings, gone, border) in enumerate(steps, 1):
+            most = bound - rest[k] + 1e-9 if rest else math.inf
             after: dict[str, tuple[float, str]] = {}
             for state, (spent, text) in states.items():
+                last = state[1]
                 for x, price in readings:
-                    if x == state[1]:  # a repetition: nothing more is written
+                    if x == last:  # a repetition: nothing more is written
                         total = spent + REPEATED
-                        if state not in after or total < after[state][0]:
+                        if total <= most and (state not in after or total < after[state][0]):
                             after[state] = (total, text)
-                    total, to = spent + price + cost(state + x), state[1] + x
-                    if to not in after or total < after[to][0]:
-                        after[to] = (total, text + x)
-                if border and state[1] != " ":
+                    total = spent + price + cost(state + x)
+                    if total <= most:
+                        to = last + x
+                        if to not in after or total < after[to][0]:
+                            after[to] = (total, text + x)
+                if border and last != " ":
                     total = spent + BORDER + cost(state + " ")
-                    if "  " not in after or total < after["  "][0]:
+                    if total <= most and ("  " not in after or total < after["  "][0]):
                         after["  "] = (total, text + " ")
                 total = spent + gone
-                if total < math.inf and (state not in after or total < after[state][0]):
+                if total <= most and total < math.inf and (state not in after or total < after[state][0]):
                     after[state] = (total, text)
-            if bound < math.inf:
-                most = bound - rest[k] + 1e-9
-                states = {state: found for state, found in after.items() if found[0] <= most}
-            elif len(after) > BEAM:
+            if not rest and len(after) > BEAM:
                 states, exact = dict(sorted(after.items(), key=lambda e: e[1][0])[:BEAM]), False
             else:
                 states = after
@@ -211,6 +271,28 @@ def grams(words: Iterator[str]) -> Counter:
     return counts
 
 
+def gram_batch(tokens: dict[str, int]) -> pa.RecordBatch:
+    """(gram, n) of the plain words among tokens and their numbers, as
+    :func:`grams` has them; characters as whole numbers of 21 bits, three a gram."""
+    words, times = [], []
+    for token, n in tokens.items():
+        word = token if token.isalpha() else plain(token)
+        if word.isalpha() and not ODD.search(token):
+            words.append(f"  {word} ")
+            times.append(n)
+    size = np.array(list(map(len, words)), np.int64)
+    c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    key, times = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:], np.repeat(np.array(times, np.int64), size)[:-2]
+    inside = np.ones(len(key), bool)
+    ends = np.cumsum(size)[:-1]  # a gram of two words begins at the last two characters of one
+    inside[ends - 1] = inside[ends - 2] = False
+    keys, where = np.unique(key[inside], return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, where, times[inside])
+    names = np.stack([keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+    return pa.RecordBatch.from_arrays([pa.array([names[k : k + 3] for k in range(0, len(names), 3)], pa.string()), pa.array(n)], names=["gram", "n"])
+
+
 def plain(token: str) -> str:
     """A token in lower case without signs at its edges."""
     return EDGE.sub("", token)
@@ -222,14 +304,16 @@ def readings(token: str, model: CharModel) -> list[str]:
     characters are read in overlapping windows, so none is passed over."""
     if token.isalpha() and not REPEATS.search(token):
         return [token]
-    word = plain(token)
     bare = token.rstrip(".,;:!?\"')").lstrip("\"'(")
+    if bare.isalpha() and not REPEATS.search(bare):
+        return [bare]
+    word = bare if bare.isalpha() else plain(token)
     if not LETTER.search(bare) or not OPEN.search(bare):
         return [word] if word else []
     out = [word] if word else []
     for start in range(0, max(1, len(bare) - MOST // 2), MOST // 2):
         restored = model.restore(bare[start : start + MOST])
-        out += [x for x in re.findall(r"[^\W\d_]+", restored) if len(x) > 2]
+        out += LETTERS.findall(restored)
     return list(dict.fromkeys(out))
 
 
@@ -244,7 +328,7 @@ def readings_of_spaced(run: str, model: CharModel) -> list[str]:
         part = run[start : start + 2 * MOST]
         # a first letter may be a word of its own, which trigrams tell poorly
         for read in (part, part[1:].lstrip(BLANKS + SEPARATORS)):
-            out += re.findall(r"[^\W\d_]{3,}", model.restore(read))
+            out += LETTERS.findall(model.restore(read))
     return list(dict.fromkeys(out))
 
 
@@ -267,26 +351,56 @@ def restored_words(text: str, model: CharModel, memo: dict[str, list[str]]) -> s
     return out
 
 
+def coded_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, code of the word) of each word of (words, y), and the words by code."""
+    lists = batch.column(0)
+    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    return row, coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def counted_features(batch: pa.RecordBatch) -> pa.Table:
+    """(feature, positive, negative) of rows (words, y), as :func:`word_features`
+    names them. A row has a word once, of words of one beginning it may have more."""
+    row, code, words = coded_words(batch)
+    toxic = batch.column(1).to_numpy() == 1
+    found = [("w:", words, row, code)]
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    for k in PREFIXES:
+        begun = pc.utf8_slice_codeunits(words, 0, k).dictionary_encode()
+        long = size[code] > k
+        n = max(len(begun.dictionary), 1)
+        pair = np.unique(row[long] * n + begun.indices.to_numpy()[code[long]])
+        found.append((f"{k}:", begun.dictionary, pair // n, pair % n))
+    tables = []
+    for name, values, rows, codes in found:
+        every, positive = (np.bincount(c, minlength=len(values)) for c in (codes, codes[toxic[rows]]))
+        some = np.flatnonzero(every)
+        feature = pc.binary_join_element_wise(pa.scalar(name), values.take(pa.array(some)), "")
+        tables.append(pa.table({"feature": feature, "positive": positive[some], "negative": (every - positive)[some]}))
+    return pa.concat_tables(tables)
+
+
+def summed(parts: list[pa.Table]) -> pa.Table:
+    total = pa.concat_tables(parts).group_by("feature").aggregate([("positive", "sum"), ("negative", "sum")])
+    return total.select(["feature", "positive_sum", "negative_sum"]).rename_columns(["feature", "positive", "negative"])
+
+
 def feature_counts(words: DataFrame) -> DataFrame:
     """(feature, positive, negative) of rows (words, y): texts of either label
     that have a feature. Tasks pass on partial counts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-
-        def partial() -> pa.RecordBatch:
-            names = list(counts[0].keys() | counts[1].keys())
-            out = [pa.array(names, pa.string()), *[pa.array([c[f] for f in names], pa.int64()) for c in (counts[1], counts[0])]]
-            for c in counts:
-                c.clear()
-            return pa.RecordBatch.from_arrays(out, names=["feature", "positive", "negative"])
-
+        parts: list[pa.Table] = []
         for batch in batches:
-            for found, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                counts[y].update({f for w in found.as_py() for f in word_features(w)})
-                if len(counts[0]) + len(counts[1]) > COUNTED:
-                    yield partial()
-        yield partial()
+            for start in range(0, batch.num_rows, 1024):
+                parts.append(counted_features(batch.slice(start, 1024)))
+                if sum(p.num_rows for p in parts) > 2 * COUNTED:
+                    parts = [summed(parts)]
+                    if parts[0].num_rows > COUNTED:
+                        yield from parts.pop().to_batches()
+        if parts:
+            yield from summed(parts).to_batches()
 
     partial = words.select("words", "y").mapInArrow(work, "feature string, positive bigint, negative bigint")
     return partial.groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
@@ -312,13 +426,23 @@ def fit_logistic(words: DataFrame, l1: float = 0.4, l2: float = 0.02, rounds: in
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = number.value
+        begins = pa.array(sorted({f[2:5] for f in of}), pa.string())
         for batch in batches:
-            at, value = [], []
-            for found in batch.column(0):
-                counts = sorted(Counter(of[f] for w in found.as_py() for f in word_features(w) if f in of).items())
-                at.append([k for k, _ in counts])
-                value.append([min(c, 4) for _, c in counts])
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.int32())), batch.column(1)], names=["at", "value", "y"])
+            row, code, words = coded_words(batch)
+            # features of the words whose beginning a feature has; most have none
+            some = np.flatnonzero(pc.is_in(pc.utf8_slice_codeunits(words, 0, 3), begins).to_numpy(zero_copy_only=False))
+            ids = [[of[f] for f in word_features(w) if f in of] for w in words.take(pa.array(some)).to_pylist()]
+            place = np.full(len(words), -1)
+            place[some] = np.arange(len(some))
+            lengths = np.array([len(x) for x in ids] or [0])
+            flat, starts = np.array([f for x in ids for f in x], np.int64), np.cumsum(lengths) - lengths
+            row, at = row[place[code] >= 0], place[code][place[code] >= 0]
+            each = lengths[at] if len(at) else np.zeros(0, np.int64)
+            inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            pair, count = np.unique(np.repeat(row, each) * len(of) + flat[np.repeat(starts[at], each) + inside], return_counts=True)
+            ends = pa.array(np.searchsorted(pair, np.arange(batch.num_rows + 1) * len(of)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (pair % len(of), np.minimum(count, 4))]
+            yield pa.RecordBatch.from_arrays([*lists, batch.column(1)], names=["at", "value", "y"])
 
     # equal rows, such as the many without a candidate, count as one of their weight
     coded = stored(words.select("words", "y").mapInArrow(rows, "at array<int>, value array<int>, y int").groupBy("at", "value", "y").agg(F.count(F.lit(1)).cast("double").alias("weight")), "toxicity-rows")
@@ -332,6 +456,20 @@ def fit_logistic(words: DataFrame, l1: float = 0.4, l2: float = 0.02, rounds: in
     return float(model.intercept), {names[k]: float(w[k]) for k in np.flatnonzero(w)}
 
 
+def in_order(texts: set[str]):
+    """Matches where a text's characters, or signs that resemble them, stand in
+    order with anything between: else no reading has it, as a reading writes
+    none that is not there. Letters drawn with several signs are not seen."""
+
+    def step(x: str) -> str:
+        signs = "".join(map(re.escape, sorted({x, *(c for c, like in LOOKS_LIKE.items() if x in like)})))
+        return f"[^{signs}]*[{signs}]"
+
+    # a text that begins with another has nothing to add
+    least = [t for t in sorted(texts) if not any(t[:k] in texts for k in range(1, len(t)))]
+    return re.compile("|".join("".join(map(step, t)) for t in least) or r"(?!)").match
+
+
 class ToxicityModel:
     def __init__(self, gram_counts: dict[str, int], bias: float, weights: dict[str, float]):
         self.gram_counts, self.bias, self.weights = gram_counts, bias, weights
@@ -343,6 +481,19 @@ class ToxicityModel:
         by_prefix = [(k, known) for k in PREFIXES if (known := {f[2:]: x for f, x in weights.items() if f[0] == str(k)})]
 
         begins = {f[2:][:3] for f in weights}  # a word of another begin has no feature
+        # readings of letters alone differ in repetitions only
+        first, single = {b[:1] for b in begins}, {REPEATS.sub(r"\1", b) for b in begins}
+        hidden = in_order({f[2:] for f in weights})
+
+        def weightless(raw: str) -> bool:
+            """Whether no reading of a token can have a feature."""
+            bare = raw.rstrip(".,;:!?\"')").lstrip("\"'(")
+            if not bare.isalpha() or len(bare) > MOST:
+                return "\\" not in raw and not hidden(raw)
+            if bare[0] not in first:
+                return True
+            once = REPEATS.sub(r"\1", bare)
+            return once[:3] not in single and once[:2] not in single and once[:1] not in single
 
         def weigh(word: str) -> float:
             if word[:3] not in begins:
@@ -356,7 +507,7 @@ class ToxicityModel:
         def token(raw: str) -> tuple[tuple[str, float], ...]:
             if len(memo) >= MEMO_TOKENS:
                 memo.clear()
-            found = tuple((w, x) for w in readings(raw, chars) if (x := weigh(w)))
+            found = () if weightless(raw) else tuple((w, x) for w in readings(raw, chars) if (x := weigh(w)))
             if len(raw) <= 64:
                 memo[raw] = found
             return found
@@ -400,22 +551,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        total: Counter = Counter()
-
-        def spell() -> None:
-            for token, n in seen.items():
-                if not ODD.search(token) and (w := plain(token)) and w.isalpha():
-                    for gram, k in grams(iter([w])).items():
-                        total[gram] += n * k
-            seen.clear()
-
         for batch in batches:
             for text in batch.column(0):
                 seen.update(set(text.as_py().lower().split()))
                 if len(seen) > COUNTED:
-                    spell()
-        spell()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
+                    yield gram_batch(seen)
+                    seen.clear()
+        yield gram_batch(seen)
 
     counted = labelled.select("text").mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
     gram_counts = {r.gram: r.n for r in counted.collect()}  # the character model

@@ -271,6 +271,36 @@ def test_toxicity_fit_of_repeated_ids(spark):
     assert sorted((r.id, r.y) for r in sample.collect()) == [(0, 1), (1, 0), (2, 1), (3, 0)] and (positive, negative) == (2, 2)
 
 
+def test_toxicity_searches_only_where_a_feature_may_hide(spark, monkeypatch):
+    chars_of = {w: 50 for w in ["idiot", "stupid", "letter", "moron", "follow"]}
+    counted = toxicity.gram_batch({**chars_of, "llle": 3, "a-b": 2, "12": 1, '"Fine.': 4})
+    by_hand = toxicity.grams(w for w, n in {**chars_of, "Fine": 4}.items() for _ in range(n))
+    assert dict(zip(*[c.to_pylist() for c in counted.columns])) == by_hand
+    model = toxicity.ToxicityModel(dict(by_hand), -3.0, {"w:idiot": 5.0, "4:stup": 5.0})
+    calls, search = [], toxicity.CharModel.search
+    monkeypatch.setattr(toxicity.CharModel, "search", lambda self, *how: calls.append(how) or search(self, *how))
+    score = model.scorer()
+    assert score("aubebe$$$ rowhn### letter, ab12cd 0405bce1 foll-ow") < 0.1 and not calls
+    chars = toxicity.CharModel(model.gram_counts)
+    for odd in ("1d10t", "st.u.p1d###", "$tuupid", "idi\u00a10t", "x-1d107"):
+        words = [w for w in toxicity.readings(odd, chars) if w == "idiot" or w.startswith("stup") and len(w) > 4]
+        assert (score(odd) > 0.5) == bool(words), odd
+    assert calls
+    for observed in ("1d10t", "st.u.p1d", "a$$ b", "moor0n"):
+        steps = [toxicity.options(c, 12.0) for c in observed]
+        assert chars.rests(steps)[0] <= cheapest_by_hand(chars, observed, 12.0) + 1e-9
+
+
+def test_features_are_counted_by_texts(spark):
+    rows = [(["idiot", "idioms", "id", "été"], 1), (["idiotic", "idiot"], 0), ([], 1), (["étés", "x" * 9], 0)]
+    got = toxicity.feature_counts(spark.createDataFrame(rows, "words array<string>, y int")).collect()
+    want = {}
+    for found, y in rows:
+        for f in {f for w in found for f in toxicity.word_features(w)}:
+            want.setdefault(f, [0, 0])[1 - y] += 1
+    assert {r.feature: [r.positive, r.negative] for r in got} == want
+
+
 # 5 urls
 def test_urls(spark):
     pages = spark.createDataFrame(
