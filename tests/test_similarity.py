@@ -200,3 +200,18 @@ def test_no_seed_table_goes_through_the_driver(spark):
     assert set(counts) == {k for k, of in want.items() if sum(of.values()) >= 2}
     for k, r in counts.items():
         assert r.diagonal == max((n, diagonal) for diagonal, n in want[k].items())[1]
+
+
+def test_seeds_of_a_pair_are_superposed_together(monkeypatch):
+    draw = np.random.default_rng(5)
+    x, y = (np.cumsum(draw.normal(size=(21, 3)) * 2, 0) for _ in range(2))
+    calls, svd = [], np.linalg.svd
+    monkeypatch.setattr(np.linalg, "svd", lambda a, **how: calls.append(np.shape(a)) or svd(a, **how))
+    score = S.tm_score(x, y)
+    assert len(calls) < 60  # one a length and a round, not one a seed
+    monkeypatch.setattr(S, "CELLS", 1)  # each alone
+    assert abs(S.tm_score(x, y) - score) < 1e-12
+    turns, moves = S.superposed(np.stack([x, y]), np.stack([y, x]))
+    for k, (a, b) in enumerate(((x, y), (y, x))):
+        turn, move = S.superposed(a, b)
+        assert np.allclose(turn, turns[k], atol=1e-12) and np.allclose(move, moves[k], atol=1e-12)
