@@ -1,17 +1,18 @@
 """Structures as mmCIF files, one a structure.
 
 Lines are made as columns: each row of each category is one text with its place
-in its file. A range exchange by structure and place and a sort put them in
-order, and one Spark partition writes each file as a stream of lines, so that no
-structure is gathered in memory.
+in its file. An exchange by structure and a sort by place put them in order, and
+a task writes its files one by one as streams of lines, so that no structure is
+gathered in memory and tasks grow with the rows, not with the files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import dense_ids
+from ..operators.shared import TASK_ROWS
 
 # Words that a bare value must not be, or begin with.
 RESERVED = r"(?i)^(?:data_|save_|loop_$|stop_$|global_$)"
@@ -64,7 +65,7 @@ def entity_rows(atoms: DataFrame, polymers: DataFrame) -> tuple[DataFrame, DataF
 
 
 def write_structures(atoms: DataFrame, folder: str, polymers: DataFrame | None = None, bonds: DataFrame | None = None, digits: int = 3) -> None:
-    """A file ``part-*.txt`` of ``folder`` for each structure of ``atoms``.
+    """A file ``file=*/part-*.txt`` of ``folder`` for each structure of ``atoms``.
 
     ``atoms``: structure (a text, the data block's name and entry id), serial, and
     any of the columns of :data:`ATOM_ITEMS`; ``polymers`` (structure, entity,
@@ -72,6 +73,7 @@ def write_structures(atoms: DataFrame, folder: str, polymers: DataFrame | None =
     :func:`siltstone.sources.mmcif.bonds` gives, but for the file) the bonds
     between residues. Repeated rows are written as they are; null values are
     unknown; coordinates have ``digits`` places."""
+    spark = atoms.sparkSession
     named = atoms.select("structure", *[(F.col(c) if c in atoms.columns else F.lit(DEFAULTS.get(c)).cast("string")).alias(c) for c in ATOM_ITEMS])
     number = lambda c: F.format_string(f"%.{digits}f", F.col(c).cast("double"))
     named = named.withColumns({c: F.when(F.col(c).isNotNull(), number(c)) for c in "xyz"})
@@ -91,25 +93,12 @@ def write_structures(atoms: DataFrame, folder: str, polymers: DataFrame | None =
     for k, part in enumerate(parts):
         spread = part.select("structure", "place", "head", "line", *[(F.col("at") if j == k else F.lit(None).cast(p.schema["at"].dataType)).alias(f"at{j}") for j, p in enumerate(parts)])
         lines = spread if lines is None else lines.unionByName(spread)
-    files = dense_ids(lines, ["structure"], "file")
-    count = structures.count()
-    order = ["file", "place", *[f"at{k}" for k in range(len(parts))]]
-    sorted_lines = files.withColumn("file", F.col("file").cast("int")).repartitionById(max(count, 1), "file").sortWithinPartitions(*order)
+    files = dense_ids(lines, ["structure"], "file").withColumn("file", F.col("file").cast("int"))
+    # a task writes its files one after the other, as one a file would each report to the driver
+    tasks = max(spark.sparkContext.defaultParallelism, -(-atoms.count() // TASK_ROWS))
+    order = Window.partitionBy("file", "place").orderBy(*[f"at{k}" for k in range(len(parts))])
+    placed = files.repartition(tasks, "file").withColumn("number", F.row_number().over(order))
     # a loop's head goes before its first line: lines of a file are a stream
-    first = sorted_lines.mapInArrow(_with_heads, "value string")
-    first.write.option("lineSep", "\n").text(folder)
-
-
-def _with_heads(batches):
-    """Lines in order, each loop's head before its first."""
-    import pyarrow as pa
-
-    last = None
-    for batch in batches:
-        out = []
-        for file, place, head, line in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("file", "place", "head", "line")]):
-            if head is not None and (file, place) != last:
-                out.append(head)
-            last = (file, place)
-            out.append(line)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+    value = F.when(F.col("number") == 1, F.concat_ws("\n", "head", "line")).otherwise(F.col("line"))
+    # the sort begins with the files, so that writing them apart does not sort again
+    placed.sortWithinPartitions("file", "place", "number").select("file", value.alias("value")).write.partitionBy("file").option("lineSep", "\n").text(folder)

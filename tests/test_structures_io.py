@@ -173,3 +173,16 @@ def test_written_structures_come_back(spark, tmp_path):
     read = mmcif.bonds(back).collect()
     assert [tuple(r)[1:] for r in read] == [("covale", "A", 1, "GLY", "O5'", "B", 2, "ALA", "a b")]
     assert mmcif.sequences(back).count() > 0
+
+
+def test_many_structures_are_few_tasks(spark, tmp_path):
+    n = 20 * spark.sparkContext.defaultParallelism
+    atoms = spark.range(2 * n).select((F.col("id") % n).cast("string").alias("structure"), F.col("id").alias("serial"), F.lit("C").alias("atom"), F.lit("A").alias("chain"), F.lit("1").alias("entity"), F.lit(1).alias("seq_id"), *[F.lit(0.5).alias(a) for a in "xyz"])
+    mmcif_writer.write_structures(atoms, str(tmp_path / "many"))
+    files = list((tmp_path / "many").rglob("part-*.txt"))
+    assert len(files) == n and len({f.name[:10] for f in files}) <= spark.sparkContext.defaultParallelism
+    for f in files[::9]:
+        text = f.read_text()
+        assert text.startswith("data_") and text.count("loop_") == 1
+        serials = [int(line.split()[1]) for line in text.splitlines() if line.startswith("ATOM")]
+        assert len(serials) == 2 and serials[1] == serials[0] + n and text.index("loop_") < text.index("ATOM ")
