@@ -44,7 +44,13 @@ from .common import stored
 #: Tokens whose weight a worker keeps before it forgets them all.
 MEMO_TOKENS = 400_000
 #: Tokens or features that a task counts before it passes its counts on.
-COUNTED = 500_000
+COUNTED = 150_000
+#: Characters of the texts whose tokens it counts before it does so.
+COUNTED_CHARS = 1 << 25
+#: Characters whose grams are counted at once, some 100 bytes each.
+GRAM_CHARS = 1 << 17
+#: Words of rows, or bytes of texts, that are worked on at once, one row at least.
+AT_ONCE = 1 << 17
 #: States of the first pass over a lattice, whose cost bounds the exact one.
 BEAM = 4
 
@@ -274,25 +280,57 @@ def grams(words: Iterator[str]) -> Counter:
 def gram_batch(tokens: dict[str, int]) -> pa.RecordBatch:
     """(gram, n) of the plain words among tokens and their numbers, as
     :func:`grams` has them; characters as whole numbers of 21 bits, three a gram."""
-    words, times = [], []
+    found, pieces, times, chars = [], [], [], 0
     for token, n in tokens.items():
         word = token if token.isalpha() else plain(token)
         if word.isalpha() and not ODD.search(token):
-            words.append(f"  {word} ")
-            times.append(n)
-    size = np.array(list(map(len, words)), np.int64)
-    c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-    key, times = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:], np.repeat(np.array(times, np.int64), size)[:-2]
-    inside = np.ones(len(key), bool)
-    ends = np.cumsum(size)[:-1]  # a gram of two words begins at the last two characters of one
-    inside[ends - 1] = inside[ends - 2] = False
-    keys, where = np.unique(key[inside], return_inverse=True)
-    n = np.zeros(len(keys), np.int64)
-    np.add.at(n, where, times[inside])
+            word = f"  {word} "
+            for k in range(0, len(word) - 2, GRAM_CHARS):  # pieces of a long word share two characters
+                pieces.append(word[k : k + GRAM_CHARS + 2])
+                times.append(n)
+                chars += len(pieces[-1])
+                if chars >= GRAM_CHARS:
+                    found.append(piece_grams(pieces, times))
+                    pieces, times, chars = [], [], 0
+                if len(found) > 64:
+                    found = [summed_grams(*map(np.concatenate, zip(*found)))]
+    found.append(piece_grams(pieces, times))
+    keys, n = summed_grams(*map(np.concatenate, zip(*found)))
     names = np.stack([keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
     return pa.RecordBatch.from_arrays([pa.array([names[k : k + 3] for k in range(0, len(names), 3)], pa.string()), pa.array(n)], names=["gram", "n"])
 
 
+def piece_grams(pieces: list[str], times: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, n) of the grams within pieces that count so many times."""
+    size = np.array(list(map(len, pieces)), np.int64)
+    c = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(np.int64)
+    inside = np.ones(max(len(c) - 2, 0), bool)
+    ends = np.cumsum(size)[:-1]  # a gram of two pieces begins at the last two characters of one
+    inside[ends - 1] = inside[ends - 2] = False
+    return summed_grams(((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[inside], np.repeat(np.array(times, np.int64), size)[:-2][inside])
+
+
+def summed_grams(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    each, where = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(each), np.int64)
+    np.add.at(total, where, n)
+    return each, total
+
+
+def gram_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts (gram, n) of rows (text): a text has a token once."""
+    seen, chars = Counter(), 0
+    for batch in batches:
+        for value in batch.column(0):
+            text = value.as_py()
+            seen.update(set(text.lower().split()))
+            chars += len(text)
+            if len(seen) > COUNTED or chars > COUNTED_CHARS:
+                yield gram_batch(seen)
+                seen, chars = Counter(), 0
+    yield gram_batch(seen)
+
+
 def plain(token: str) -> str:
     """A token in lower case without signs at its edges."""
     return EDGE.sub("", token)
@@ -351,6 +389,18 @@ def restored_words(text: str, model: CharModel, memo: dict[str, list[str]]) -> s
     return out
 
 
+def cut(batch: pa.RecordBatch, sizes: pa.Array, most: int = 0) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of rows whose ``sizes`` add up to ``most`` at most, by
+    default ``AT_ONCE``, or of one row. A slice needs memory by its size, and a
+    batch has as many rows as Spark likes, of any size."""
+    ends, start = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + (most or AT_ONCE), "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def coded_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(row, code of the word) of each word of (words, y), and the words by code."""
     lists = batch.column(0)
@@ -386,23 +436,31 @@ def summed(parts: list[pa.Table]) -> pa.Table:
     return total.select(["feature", "positive_sum", "negative_sum"]).rename_columns(["feature", "positive", "negative"])
 
 
+def feature_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts (feature, positive, negative) of rows (words, y)."""
+    parts: list[pa.Table] = []
+    for batch in batches:
+        for part in cut(batch, pc.list_value_length(batch.column(0))):
+            parts.append(counted_features(part))
+            if sum(p.num_rows for p in parts) > 2 * COUNTED:
+                # what was seen once is passed on first: its like may not come again
+                total = summed(parts)
+                once = pc.equal(pc.add(total["positive"], total["negative"]), 1)
+                yield from total.filter(once).to_batches(max_chunksize=COUNTED)
+                parts = [total.filter(pc.invert(once))]
+                if parts[0].num_rows > COUNTED:
+                    yield from parts.pop().to_batches(max_chunksize=COUNTED)
+                pa.default_memory_pool().release_unused()
+    if parts:
+        yield from summed(parts).to_batches(max_chunksize=COUNTED)
+    parts.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def feature_counts(words: DataFrame) -> DataFrame:
     """(feature, positive, negative) of rows (words, y): texts of either label
     that have a feature. Tasks pass on partial counts."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.Table] = []
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                parts.append(counted_features(batch.slice(start, 1024)))
-                if sum(p.num_rows for p in parts) > 2 * COUNTED:
-                    parts = [summed(parts)]
-                    if parts[0].num_rows > COUNTED:
-                        yield from parts.pop().to_batches()
-        if parts:
-            yield from summed(parts).to_batches()
-
-    partial = words.select("words", "y").mapInArrow(work, "feature string, positive bigint, negative bigint")
+    partial = words.select("words", "y").mapInArrow(feature_parts, "feature string, positive bigint, negative bigint")
     return partial.groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
 
 
@@ -427,7 +485,7 @@ def fit_logistic(words: DataFrame, l1: float = 0.4, l2: float = 0.02, rounds: in
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = number.value
         begins = pa.array(sorted({f[2:5] for f in of}), pa.string())
-        for batch in batches:
+        for batch in (part for whole in batches for part in cut(whole, pc.list_value_length(whole.column(0)))):
             row, code, words = coded_words(batch)
             # features of the words whose beginning a feature has; most have none
             some = np.flatnonzero(pc.is_in(pc.utf8_slice_codeunits(words, 0, 3), begins).to_numpy(zero_copy_only=False))
@@ -549,17 +607,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not positive or not negative:
         return ToxicityModel({}, prior, {})
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(set(text.as_py().lower().split()))
-                if len(seen) > COUNTED:
-                    yield gram_batch(seen)
-                    seen.clear()
-        yield gram_batch(seen)
-
-    counted = labelled.select("text").mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
+    counted = labelled.select("text").mapInArrow(gram_parts, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
     gram_counts = {r.gram: r.n for r in counted.collect()}  # the character model
     known = labelled.sparkSession.sparkContext.broadcast(gram_counts)
 
@@ -567,8 +615,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         chars = CharModel(known.value)
         memo: dict[str, list[str]] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in cut(batch, pc.binary_length(batch.column(0)), 8 * AT_ONCE):
                 found = [sorted(restored_words(t.as_py(), chars, memo)) for t in part.column(0)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), part.column(1)], names=["words", "y"])
 

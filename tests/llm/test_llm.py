@@ -301,6 +301,43 @@ def test_features_are_counted_by_texts(spark):
     assert {r.feature: [r.positive, r.negative] for r in got} == want
 
 
+def test_toxicity_counts_in_little_memory(monkeypatch):
+    """What a task holds depends on neither its rows nor their length."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw = random.Random(8)
+    tokens = {"".join(draw.choices("abcdefghijklmnop", k=12)): 1 + k % 3 for k in range(200_000)}
+    tracemalloc.start()
+    try:
+        got = toxicity.gram_batch(tokens)
+        assert tracemalloc.get_traced_memory()[1] < 60e6  # 210 MB when all characters were one array
+    finally:
+        tracemalloc.stop()
+    assert dict(zip(*[c.to_pylist() for c in got.columns])) == toxicity.grams(w for w, n in tokens.items() if not toxicity.ODD.search(w) for _ in range(n))
+    long = "".join(draw.choices(["ab", "bc", "ac"], k=toxicity.GRAM_CHARS + 5))
+    got = toxicity.gram_batch({long: 2, "ab": 1})
+    assert dict(zip(*[c.to_pylist() for c in got.columns])) == toxicity.grams([long, long, "ab"])
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array([[f"x{k % 40}y{j}" for j in range(k % 30)] for k in range(3000)], pa.list_(pa.string())), pa.array([k % 3 == 0 for k in range(3000)]).cast("int32")], names=["words", "y"])
+
+    whole = toxicity.counted_features(rows())
+    want = {f: (p, n) for f, p, n in zip(*[c.to_pylist() for c in whole.columns])}
+    at_once, counted = [], toxicity.counted_features
+    monkeypatch.setattr(toxicity, "counted_features", lambda b: at_once.append(len(b.column(0).flatten())) or counted(b))
+    monkeypatch.setattr(toxicity, "AT_ONCE", 500)
+    monkeypatch.setattr(toxicity, "COUNTED", 300)
+    found, sizes = {}, []
+    for part in toxicity.feature_parts(iter([rows()])):
+        sizes.append(part.num_rows)
+        for f, p, n in zip(*[c.to_pylist() for c in part.columns]):
+            had = found.get(f, (0, 0))
+            found[f] = (had[0] + p, had[1] + n)
+    assert found == want and max(at_once) <= 500 and max(sizes) <= 300 and len(at_once) > 50
+
+
 # 5 urls
 def test_urls(spark):
     pages = spark.createDataFrame(
